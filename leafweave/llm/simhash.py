@@ -75,7 +75,10 @@ def links(reps: DataFrame, crowd: int = CROWD) -> DataFrame:
 
     def pairs(df, *keys):
         x, y = df.select(*keys, F.col("fp").alias("a")), df.select(*keys, F.col("fp").alias("b"))
-        return x.join(y, list(keys)).where("a < b and bit_count(a ^ b) <= 2").select("a", "b")
+        # Of the variants a pair shares, the one at its differing bit, or the first of an equal segment, speaks for it.
+        own = "(case when (key >> 40) < 32 then shiftrightunsigned(a ^ b, 32) else (a ^ b) & 4294967295L end)"
+        bit = "cast((key >> 40) & 31 as int)"
+        return x.join(y, list(keys)).where(f"a < b and bit_count(a ^ b) <= 2 and ({own} = shiftleft(1L, {bit}) or ({own} = 0 and {bit} = 0))").select("a", "b")
 
     met = materialise(met, "met")
     few, many = met.where(F.col("n") <= crowd), met.where(F.col("n") > crowd)
