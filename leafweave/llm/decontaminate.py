@@ -4,7 +4,7 @@ Documents are read once into the places of benchmark words (all other words can
 to a common subsequence). Passages are pairs of neighbouring half-passages of `half` words, so they overlap by half. Their
 TF-IDF matrix, with frequencies counted over all half-passages of all documents, is decomposed by a randomised Nystrom
 SVD: tasks sum A'(A Omega) over their rows, partial sums meet in two levels by slices of the vocabulary, and the small rest is done on
-the driver, whose arrays are bounded by the benchmark (`block` items at a time, their words by `block` + 64 directions). The items
+the driver, whose arrays are bounded by the benchmark (`block` items at a time, their words by `block` + 32 directions). The items
 themselves are rows of the matrix with a weight of the corpus' own, so their directions are in the space however rare
 they are in the corpus. Passages whose latent cosine with an item reaches `cosine` are candidates.
 
@@ -30,17 +30,24 @@ from pyspark.sql import functions as F
 from leafweave.llm.common import materialise, table
 
 WORD = re.compile(r"[^\W_]+")
-HALF, BLOCK, COSINE, SAME, ALIKE, RARE = 32, 256, 0.3, 0.8, 0.6, 4
+HALF, BLOCK, COSINE, SAME, ALIKE, RARE = 48, 256, 0.3, 0.8, 0.6, 4
 #: Words of over this share of half-passages stay out of the vectors, not out of the subsequences.
-COMMON = 0.05
+COMMON = 0.01
 SLICES, FAN = 16, 32
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+#: Characters past ASCII that are no part of a word; a text without them is cut by bytes.
+OTHER = re.compile(r"[^\x00-\x7f\w]")
+GAPS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def _places(vocabulary: dict[str, int]):
+def words(text: str | None) -> list[bytes]:
+    """Runs of letters and digits, lower-cased, in UTF-8."""
+    t = (text or "").lower()
+    return [w.encode() for w in WORD.findall(t)] if OTHER.search(t) else t.encode().translate(GAPS).split()
+
+
+def _places(vocabulary: dict[bytes, int]):
     def rows(batches):
         get = vocabulary.get
         for b in batches:
@@ -80,6 +87,19 @@ def _batches(b, size: int, half: int, remap: np.ndarray):
     return cat(h), cat(t), cat(f), np.array(first + [at0])
 
 
+def _parts(batches, words: int = 100_000):
+    """Batches cut by documents into parts of about so many words, which bounds a task's arrays."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = np.cumsum(np.asarray(b.column(1)))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + words, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def _frequencies(size: int, half: int):
     def rows(batches):
         df, n = np.zeros(size, np.int64), 0
@@ -96,13 +116,9 @@ def _frequencies(size: int, half: int):
 def _latent(h: np.ndarray, t: np.ndarray, v: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The half-passages that have a term, and their sums of weighted rows of a basis."""
     start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-    out = np.empty((len(start), basis.shape[1]), np.float32)
-    step = 20_000
-    ends = np.append(start, len(h))
-    for k in range(0, len(start), step):
-        s = slice(ends[k], ends[min(k + step, len(start))])
-        out[k : k + step] = np.add.reduceat(basis[t[s]] * v[s, None], start[k : k + step] - ends[k], axis=0)
-    return h[start], out
+    if not len(start):
+        return start, np.empty((0, basis.shape[1]), np.float32)
+    return h[start], np.add.reduceat(basis[t] * v[:, None], start, axis=0)
 
 
 def _sketch(idf, omega, size: int, half: int, remap: np.ndarray):
@@ -111,7 +127,7 @@ def _sketch(idf, omega, size: int, half: int, remap: np.ndarray):
     def rows(batches):
         w, o = idf.value, omega.value
         total = np.zeros(o.shape, np.float32)
-        for b in batches:
+        for b in _parts(batches):
             h, t, f, _ = _batches(b, size, half, remap)
             v = ((1 + np.log(f)) * w[t]).astype(np.float32)
             keep = v > 0
@@ -124,10 +140,7 @@ def _sketch(idf, omega, size: int, half: int, remap: np.ndarray):
             by = np.argsort(t, kind="stable")
             t, v, row = t[by], v[by], row[by]
             start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-            ends = np.append(start, len(t))
-            for k in range(0, len(start), 256):
-                s = slice(ends[k], ends[min(k + 256, len(start))])
-                total[t[start[k : k + 256]]] += np.add.reduceat(z[row[s]] * v[s, None], start[k : k + 256] - ends[k], axis=0)
+            total[t[start]] += np.add.reduceat(z[row] * v[:, None], start, axis=0)
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() // FAN
@@ -179,7 +192,7 @@ def _search(idf, basis, latent, items, size: int, half: int, remap: np.ndarray,
 
     def rows(batches):
         w, basis_, lat = idf.value, basis.value, latent.value
-        for b in batches:
+        for b in _parts(batches):
             h, t, f, first = _batches(b, size, half, remap)
             v = ((1 + np.log(f)) * w[t]).astype(np.float32)
             keep = v > 0
@@ -245,7 +258,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, half: int = HALF, block
             for t, n in zip(*np.unique(remap[[vocabulary[w] for w in x]], return_counts=True), strict=True):
                 q[k, t] = (1 + np.log(n)) * idf[t]
         unit = q / np.maximum(np.linalg.norm(q, axis=1), 1e-9)[:, None]
-        rank = min(len(own), len(part) + 64)
+        rank = min(len(own), len(part) + 32)
         omega = np.random.default_rng(11).standard_normal((len(own), rank)).astype(np.float32)
         send = spark.sparkContext.broadcast
         idf_b = send(idf)

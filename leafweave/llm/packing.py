@@ -34,7 +34,7 @@ from leafweave.llm.common import materialise, table
 
 UNIT = 1 << 16
 #: Of text encoded at a time.
-TEXT_BYTES = 32 << 20
+TEXT_BYTES = 12 << 20
 #: The vocabulary's own pattern (a fixed value) and where it never joins: before a space, around a newline. Texts with a
 #: longer run of white space, white space of another kind, an added token or the mark itself are encoded whole.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
