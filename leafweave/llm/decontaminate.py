@@ -31,7 +31,7 @@ from leafweave.llm.common import materialise, table
 
 WORD = re.compile(r"[^\W_]+")
 HALF, BLOCK, COSINE, SAME, ALIKE, RARE = 48, 256, 0.3, 0.8, 0.6, 4
-#: Words of over this share of half-passages stay out of the vectors, not out of the subsequences.
+#: Words of over this share of half-passages stay out of the vectors (but for the rarer half of an item's), not out of the subsequences.
 COMMON = 0.01
 SLICES, FAN = 16, 32
 
@@ -243,9 +243,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, half: int = HALF, block
     counts = {r[0]: r[1] for r in places.mapInArrow(_frequencies(size, half), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
     total = max(1, counts.get(-1, 0))
     df = np.array([counts.get(k, 0) for k in range(size)])
-    every = np.where(df > COMMON * total, 0.0, np.log((total + 1) / (df + 1)))
-    if not every.any():  # so small a corpus that every word is common
-        every = np.log((total + 1) / (df + 1)) + 1e-3
+    # Words of over COMMON of the half-passages stay out, but never the rarer half of an item's words: an item may itself be common.
+    own_words = np.zeros(size, bool)
+    for _, x in items:
+        g = sorted({vocabulary[w] for w in x}, key=lambda t: (df[t], t))
+        own_words[g[: max(RARE, -(-len(g) // 2))]] = True
+    every = np.where((df > COMMON * total) & ~own_words, 0.0, np.log((total + 1) / (df + 1)) + 0.05)
     found = None
     for at in range(0, len(items), block):
         part = items[at : at + block]

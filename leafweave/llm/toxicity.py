@@ -38,8 +38,8 @@ SEEDS = {
 }
 PATTERNS = ["bare_insult", "aimed_insult", "negated_insult", "reported_insult", "bare_threat", "aimed_threat", "negated_threat", "reported_threat"]
 #: Logistic weights of a clause of each pattern before any label is seen, and the intercept.
-PRIOR = np.array([2.5, 3.5, 0.5, 0.5, 0.3, 3.0, 0.1, 0.3])
-PRIOR_BIAS = -2.5
+PRIOR = np.array([3.2, 4.2, 0.5, 0.5, 0.3, 3.2, 0.1, 0.3])
+PRIOR_BIAS = -2.0
 STEMS = (4, 5, 6)
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
 REACH = 3
