@@ -246,16 +246,15 @@ def _keep(run: int):
     return rows
 
 
-def extract(pages: DataFrame, run: int = RUN, per_shard: int = 2000) -> DataFrame:
+def extract(pages: DataFrame, run: int = RUN, per_shard: int = 1000) -> DataFrame:
     """page_id, url, text of every row of pages."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     read = materialise(p.mapInArrow(_read, "page_id long, url string, host string, main string, words array<string>, marks array<boolean>"), "read")
     marked = read.where("main is not null").select("page_id", "url", F.col("main").alias("text"))
-    # A host with no page to decide needs no array.
-    wanted = read.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("main").isNull().cast("long")).alias("undecided"))
-    hosts = wanted.select("host", F.ceil(F.col("n") / per_shard).cast("long").alias("shards"))
+    hosts = read.groupBy("host").agg(F.count("*").alias("n")).select("host", F.ceil(F.col("n") / per_shard).cast("long").alias("shards"))
     w = read.select("page_id", "url", "host", F.col("main").isNull().alias("wanted"), "words", "marks")
     w = w.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")))
+    w = w.repartition("host", "shard")  # else the join's deal by host alone would serve, and a large host be one task
     s = materialise(w.groupBy("host", "shard").applyInArrow(_shard(run), SHARD), "shards")
     o = s.where(F.size("open") > 0).select("host", "page_id", F.explode("open").alias("w"))
     again = o.groupBy("host", "w").agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).where("lo < hi").select("host", "w")
