@@ -68,6 +68,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     occ = materialise(d.mapInArrow(_occurrences(min_chars), "doc_id long, key binary"), "lines")
     common = occ.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")).where(F.col("n") >= min_docs)
+    common = materialise(common, "common")  # both sides of the join are then plain exchanges, whose hot keys can be split
     gone = occ.join(common, "key").where("doc_id <> keep_id").groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
     return d.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_rebuild(min_chars), "doc_id long, text string, n_lines long, n_dropped long")
 
