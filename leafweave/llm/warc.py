@@ -147,6 +147,7 @@ def write_warc(pages: DataFrame, out_dir: str, min_bytes: int = 1000, max_bytes:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha1"))
     big = p.where((F.octet_length("html") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "sha1")
     winners = big.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("refers_to <> least").drop("least")
+    winners = materialise(winners, "winners")  # both sides of the join are then plain exchanges, whose hot keys can be split
     again = big.join(winners, "sha1").where("page_id <> refers_to").distinct()
     rows = p.join(again, ["page_id", "sha1"], "left").select("page_id", "url", "html", "refers_to")
     return materialise(rows.mapInArrow(_writer(out_dir, max_bytes), MANIFEST), "manifest")
