@@ -146,7 +146,7 @@ def _contexts(batches):
         for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             for k in _forms(TOKEN.findall((t or "").lower())):
                 seen[k] = seen.get(k, 0) | (2 if y else 1)
-        if len(seen) > 500_000:
+        if len(seen) > 200_000:
             yield _context_batch(seen)
             seen = {}
     if seen:
