@@ -75,12 +75,14 @@ edges AS (
 )
 
 
-def _roles(spark, sf):
-    return nodes.blocks(t(spark, sf, "documents")).withColumn("role", nodes.role(F.col("markdown")))
+def _roles(spark, sf, by_document=False):
+    """by_document: deal documents by id first, so that every window over a document that follows needs no exchange of its blocks."""
+    d = t(spark, sf, "documents").select("doc_id", "text")
+    return nodes.blocks(d.repartition("doc_id") if by_document else d).withColumn("role", nodes.role(F.col("markdown")))
 
 
 def _evidence(spark, sf):
-    return nodes.evidence(nodes.with_sections(_roles(spark, sf)))
+    return nodes.evidence(nodes.with_sections(_roles(spark, sf, True)))
 
 
 def flagship(spark, sf):
@@ -112,7 +114,7 @@ p AS (SELECT *, last_value(CASE WHEN lv = 1 THEN section_no END IGNORE NULLS) OV
 SELECT doc_id, section_no::BIGINT AS section_no, lv::BIGINT AS level, CASE WHEN lv = 2 THEN up END::BIGINT AS parent_no, block_no FROM p WHERE role = 'section_heading'"""
 )
 def sections(spark, sf):
-    return nodes.with_sections(_roles(spark, sf)).where("role = 'section_heading'").select("doc_id", F.col("section_no").cast("long").alias("section_no"), F.col("head_level").cast("long").alias("level"), F.col("parent_no").cast("long").alias("parent_no"), "block_no")
+    return nodes.with_sections(_roles(spark, sf, True)).where("role = 'section_heading'").select("doc_id", F.col("section_no").cast("long").alias("section_no"), F.col("head_level").cast("long").alias("level"), F.col("parent_no").cast("long").alias("parent_no"), "block_no")
 
 
 @query("WITH " + EVIDENCE + " SELECT node_id, doc_id, document_order, page, reason IS NULL AS is_complete, reason FROM evidence")
@@ -185,7 +187,8 @@ SELECT doc_id, kinds / total < 0.35 AS low_unique, most >= 6 AND most / total >=
 WHERE kinds / total < 0.35 OR (most >= 6 AND most / total >= 0.25) OR pairs >= 4"""
 )
 def repetition_flags(spark, sf):
-    k = t(spark, sf, "documents").where("text is not null").select("doc_id", tx.tokens(F.col("text")).alias("a")).where(F.size("a") >= 12)
+    # Dealt by document once: both counts below then need no exchange of their exploded tokens.
+    k = t(spark, sf, "documents").where("text is not null").select("doc_id", "text").repartition("doc_id").select("doc_id", tx.tokens(F.col("text")).alias("a")).where(F.size("a") >= 12)
     pairs = F.transform(F.sequence(F.lit(0), F.size("a") - 2), lambda i: F.concat(F.get("a", i), F.lit(" "), F.get("a", i + 1)))
     x = k.select("doc_id", F.explode(F.concat(F.transform("a", lambda v: F.struct(F.lit(1).alias("n"), v.alias("x"))), F.transform(pairs, lambda v: F.struct(F.lit(2).alias("n"), v.alias("x"))))).alias("e"))
     c = x.groupBy("doc_id", "e").agg(F.count("*").alias("c"))
