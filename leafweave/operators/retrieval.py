@@ -47,3 +47,62 @@ def channels(nodes: DataFrame, weights: DataFrame, window: int = 2, k: int = 2,
     same = s.join(n, ["doc_id", "a"]).join(m, ["doc_id", "b"]).where("sa = sb").select("doc_id", "a", "b", "similarity")
     all_ = near.unionByName(best(s, k, "embedding_top_k")).unionByName(best(same, section_k, "same_section"))
     return all_.groupBy("doc_id", "a", "b").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+
+
+# Reasons that make a pair mandatory, and reasons from the language of a relation.
+MANDATORY = ["anaphoric_reference_signal", "formula_context_signal", "explicit_figure_reference", "explicit_table_reference", "explicit_equation_reference", "cross_content_unit_bridge"]
+RELATION = ["background_discourse_signal", "contrasts_with_language_signal", "depends_on_language_signal", "evidence_claim_signal", "explains_language_signal", "mention_detail_signal", "qualifies_language_signal", "results_in_language_signal"]
+
+
+def quotas(pairs: DataFrame, similarity_k: int = 2, role_k: int = 1, cross_k: int = 1, far: int = 3) -> DataFrame:
+    """Pairs (doc_id, a, b, similarity, role_complement, cross_section, anchor) that some node's quota keeps, with the reasons: the most similar, the most similar of a
+    complementary role, the most similar far away in another section; anchors always."""
+    d = F.abs(F.col("b") - F.col("a"))
+    both = pairs.withColumn("distance", d).withColumn("e", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))).select("*", "e.*")
+
+    def first(k, when, distance, reason):
+        w = Window.partitionBy("doc_id", "node").orderBy(F.desc("when"), F.desc("similarity"), distance, "other")
+        return F.when(F.col("when") & (F.row_number().over(w) <= k), reason), when
+
+    kept = both
+    for reason, k, when, distance in (("similarity_quota", similarity_k, F.lit(True), F.asc("distance")), ("role_complement_quota", role_k, F.col("role_complement"), F.desc("distance")), ("long_cross_section_quota", cross_k, F.col("cross_section") & (F.col("distance") >= far), F.desc("distance"))):
+        c, when = first(k, when, distance, reason)
+        kept = kept.withColumn("when", when).withColumn(reason, c)
+    all_ = F.array("similarity_quota", "role_complement_quota", "long_cross_section_quota", F.when(F.col("anchor"), "deterministic_anchor"))
+    return kept.select("doc_id", "a", "b", F.explode(F.array_compact(all_)).alias("reason")).groupBy("doc_id", "a", "b").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+
+
+def candidate_score(threshold: float = 0.5) -> tuple:
+    """Columns (score, evidence) of a pair from its similarity, distance and reasons (an array)."""
+    r, s, d = F.col("reasons"), F.col("similarity"), F.col("distance")
+    must = F.arrays_overlap(r, F.array(*map(F.lit, MANDATORY)))
+    strong = F.coalesce(s >= threshold, F.lit(False))
+    entity, anchor = F.array_contains(r, "shared_entities"), F.array_contains(r, "shared_anchor_signal")
+    n = F.size(F.array_intersect(r, F.array(*map(F.lit, RELATION))))
+    parts = [F.when(must, 100.0), F.when(d == 1, 50.0).when(d == 2, 1.0), F.when(strong, 4.0 + 10.0 * (s - threshold)), F.when(entity, 2.0), F.when(anchor, 2.0), F.least(F.lit(3.0), 1.25 * n), F.when(F.array_contains(r, "same_section"), 0.25)]
+    score = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
+    names = [(must, "mandatory_reference_or_continuity"), (d == 1, "immediate_neighbor"), (strong, "strong_embedding"), (entity, "shared_entities"), (anchor, "shared_anchor"), (n > 0, "relation_language_or_role")]
+    return F.round(score, 6), F.array_compact(F.array(*(F.when(c, v) for c, v in names)))
+
+
+def keep_greedily(rows: list[tuple], per_node: int) -> list[int]:
+    """Positions kept of rows (score, distance, a, b, evidence?): best first, mandatory (50 or more) always, others while both ends have room; all kept use room."""
+    used, kept = {}, []
+    for i in sorted(range(len(rows)), key=lambda i: (-rows[i][0], rows[i][1], rows[i][2], rows[i][3])):
+        score, _, a, b, evidence = rows[i]
+        if score >= 50 or (evidence and max(used.get(a, 0), used.get(b, 0)) < per_node):
+            kept.append(i)
+            for x in (a, b):
+                used[x] = used.get(x, 0) + 1
+    return kept
+
+
+def prune(pairs: DataFrame, per_node: int = 3, threshold: float = 0.5) -> DataFrame:
+    """Pairs (doc_id, a, b, similarity, distance, reasons) that survive the greedy quota, with score. Each choice depends on those before it, hence one grouped function per document."""
+    score, evidence = candidate_score(threshold)
+    p = pairs.select("doc_id", "a", "b", F.coalesce("distance", F.lit(10**9)).cast("long").alias("distance"), score.alias("score"), (F.size(evidence) > 0).alias("evidence"))
+
+    def one(pdf):
+        return pdf.iloc[keep_greedily(list(zip(pdf["score"], pdf["distance"], pdf["a"], pdf["b"], pdf["evidence"], strict=True)), per_node)][["doc_id", "a", "b", "score"]]
+
+    return p.groupBy("doc_id").applyInPandas(one, "doc_id long, a long, b long, score double")

@@ -561,3 +561,6 @@ def strided_shards(spark, sf):
     c = c.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     k = F.row_number().over(Window.partitionBy("slice").orderBy("id"))
     return o.withColumn("k", k).join(c, "slice").select("id", ((F.col("before") + F.col("k") - 1) % 4).alias("shard"))
+
+
+from leafweave.plans import decisions  # noqa: E402,F401  (registers its queries here)
