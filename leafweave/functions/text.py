@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Patterns that decide roles, completeness and entities.
 TERMINAL = r"[.!?][\]\)\}\"'’”]*$"
-UNFINISHED = r"(?i)\b(?:a|an|the|and|or|but|of|to|in|on|at|for|from|with|by|as|that|which|is|are|was|were)$"
+UNFINISHED = r"(?i)(?<![\p{L}\p{N}_])(?:a|an|the|and|or|but|of|to|in|on|at|for|from|with|by|as|that|which|is|are|was|were)$"
 EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
 URL = r"(?i)\b(?:https?://|www\.)[^\s<>()]+"
 DOI = r"(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b"
@@ -29,7 +29,7 @@ def incomplete_reason(text: Column) -> Column:
     t = F.regexp_replace(text, r"\s+$", "")
     return (
         F.when(t == "", "empty_text")
-        .when(F.regexp_like(t, F.lit(r"\w-$")), "ends_with_hyphenated_word")
+        .when(F.regexp_like(t, F.lit(r"[\p{L}\p{N}_]-$")), "ends_with_hyphenated_word")
         .when(F.regexp_like(t, F.lit(UNFINISHED)), "ends_with_unfinished_phrase")
         .when(~F.regexp_like(t, F.lit(TERMINAL)), "does_not_end_with_terminal_punctuation")
     )

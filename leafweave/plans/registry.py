@@ -57,8 +57,8 @@ plain AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS
   trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(markdown, '(?m)^#{1,6}\s*', '', 'g'), '!\[([^\]]*)\]\([^)]+\)', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '[*~`]', '', 'g'), ' ') AS plain
   FROM secs WHERE role = 'evidence_content'),
 evidence AS (SELECT *, format('{:d}_EV_{:06d}', doc_id, document_order) AS node_id, CASE WHEN e = '' THEN 'empty_text'
-  WHEN regexp_matches(e, '\w-$') THEN 'ends_with_hyphenated_word'
-  WHEN regexp_matches(e, '(?i)\b(?:a|an|the|and|or|but|of|to|in|on|at|for|from|with|by|as|that|which|is|are|was|were)$') THEN 'ends_with_unfinished_phrase'
+  WHEN regexp_matches(e, '[\p{L}\p{N}_]-$') THEN 'ends_with_hyphenated_word'
+  WHEN regexp_matches(e, '(?i)(?:^|[^\p{L}\p{N}_])(?:a|an|the|and|or|but|of|to|in|on|at|for|from|with|by|as|that|which|is|are|was|were)$') THEN 'ends_with_unfinished_phrase'
   WHEN NOT regexp_matches(e, '[.!?][\]\)\}"''’”]*$') THEN 'does_not_end_with_terminal_punctuation' END AS reason
   FROM (SELECT *, regexp_replace(plain, '\s+$', '') AS e FROM plain))"""
 )
@@ -563,4 +563,4 @@ def strided_shards(spark, sf):
     return o.withColumn("k", k).join(c, "slice").select("id", ((F.col("before") + F.col("k") - 1) % 4).alias("shard"))
 
 
-from leafweave.plans import decisions  # noqa: E402,F401  (registers its queries here)
+from leafweave.plans import decisions, reviews  # noqa: E402,F401  (they register their queries here)
