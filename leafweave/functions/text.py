@@ -80,3 +80,30 @@ def number_of(label: Column) -> Column:
         lambda s: s["sum"],
     )
     return F.when(F.regexp_like(t, F.lit(r"^\d+$")), t.cast("int")).when(F.regexp_like(t, F.lit("^[IVXLCDM]+$")), F.nullif(total, F.lit(0)))
+
+
+# Patterns of telephone numbers, with a cue before them or in international form, and of ISBNs.
+PHONE_CUE = r"(?i)\b(?:tel|telephone|phone|fax|mobile|mob)\.?\s*[:：]?\s*(\+?\d[\d\s().\-]{5,}\d)"
+PHONE_PLUS = r"(?<![\p{L}\p{N}_])(\+\d[\d\s().\-]{6,}\d)(?![\p{L}\p{N}_])"
+ISBN = r"(?i)\b(?:ISBN(?:-1[03])?:?\s*)?(?:97[89][-\s]?)?\d[-\s]?\d{2,5}[-\s]?\d{2,7}[-\s]?\d[-\s]?[0-9X]\b"
+
+
+def digits(c: Column) -> Column:
+    return F.regexp_replace(c, r"[^\p{Nd}]+", "")
+
+
+def phones(text: Column) -> Column:
+    """Distinct telephone numbers of 7 to 16 digits and at most one point, those with a cue first, white space squeezed."""
+    all_ = F.concat(F.regexp_extract_all(text, F.lit(PHONE_CUE), F.lit(1)), F.regexp_extract_all(text, F.lit(PHONE_PLUS), F.lit(1)))
+    good = F.filter(all_, lambda x: F.char_length(digits(x)).between(7, 16) & (F.char_length(F.regexp_replace(x, "[^.]+", "")) <= 1))
+    return F.array_distinct(F.transform(good, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))))
+
+
+def isbns(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(ISBN), F.lit(0))
+
+
+def masked_fully(text: Column) -> Column:
+    """masked, and telephone numbers before the others, ISBNs after them."""
+    plain = F.aggregate(phones(text), text, lambda t, p: F.replace(t, p, F.lit("[UNVERIFIED_PHONE]")))
+    return F.regexp_replace(masked(plain), ISBN, "[UNVERIFIED_ISBN]")

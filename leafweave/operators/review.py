@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from leafweave.functions import text as tx
@@ -162,5 +165,67 @@ def verify(blocks: DataFrame, allow_medium: bool = False) -> DataFrame:
     s = F.col("status")
     medium = F.lit(allow_medium) & (level == "medium") & s.isin("entity_masked", "needs_review")
     second = _has(*ENTITIES, "text_density_outlier_for_bbox", DENSE, *LOOPS, KEYWORD) & (text != "")
-    index = F.when(s == "entity_masked", tx.masked(text)).when(s.isin("accepted", "needs_review"), text).otherwise("")
+    index = F.when(s == "entity_masked", tx.masked_fully(text)).when(s.isin("accepted", "needs_review"), text).otherwise("")
     return b.select("*", index.alias("index_text"), ((s == "accepted") | medium).alias("use_for_embedding"), (s == "accepted").alias("use_for_nodes"), second.alias("needs_second_reading"))
+
+
+# Words of imprints and advertisements, and layout types of pictures.
+IMPRINT = ["produced for", "published by", "printed by", "advertisement", "advertising", "marketing and circulation", "general distribution", "head of media", "head of development", "content and production", "technical illustrator", "advertising sales", "recruitment sales", "issn", "iop publishing", "tel:", "fax:", "email:", "e-mail"]
+PICTURES = ["picture", "image", "figure"]
+
+
+def region_containers(blocks: DataFrame) -> DataFrame:
+    """Regions of blocks (page, block_id, regions: array, region_type) in order of block_id: page, region, type (the first that is known), blocks, container (two blocks or more)."""
+    r = blocks.select("page", "block_id", "region_type", F.explode("regions").alias("region")).where("region is not null")
+    g = r.groupBy("page", "region").agg(F.count("*").alias("blocks"), F.min(F.when(F.col("region_type") != "", F.struct("block_id", "region_type")))["region_type"].alias("type"))
+    return g.select("page", "region", "type", "blocks", (F.col("blocks") >= 2).alias("container"))
+
+
+def block_flags(blocks: DataFrame) -> DataFrame:
+    """Blocks (page, block_id, text, regions, region_type) with flags, sorted: layout, imprint words and entities. Repetition, odd characters and density have operators of their own."""
+    b = blocks.join(region_containers(blocks).withColumnRenamed("region", "r").select("page", "r", "type", "container").groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("r", F.struct("type", "container")))).alias("by")), "page", "left")
+    of = F.filter(F.transform(F.coalesce("regions", F.array().cast("array<long>")), lambda x: F.try_element_at("by", x)), lambda x: x.isNotNull())
+    layout = F.flatten(F.transform(of, lambda x: F.array(F.when(x["container"], CONTAINER), F.concat(F.lit("layout_type_"), x["type"]), F.when(x["type"].isin(PICTURES), VISUAL))))
+    text = F.coalesce("text", F.lit(""))
+    low = F.lower(text)
+    words = reduce(lambda a, c: a | c, (F.contains(low, F.lit(x)) for x in IMPRINT))
+    e = tx.entities(text)
+    own = F.array(
+        F.when(F.col("region_type") == "table", "inside_table_like_region"),
+        F.when(F.col("region_type").isin(PICTURES), "inside_visual_region_possible_valid"),
+        F.when(words, KEYWORD),
+        F.when(F.size(tx.phones(text)) > 0, "phone_number_detected"),
+        *(F.when(F.size(e[k]) > 0, f"{k}_detected") for k in ("email", "url", "doi")),
+        F.when(F.size(tx.isbns(text)) > 0, "isbn_detected"),
+        F.when(text == "", "empty_text"),
+    )
+    return b.withColumn("flags", F.array_sort(F.array_distinct(F.array_compact(F.concat(layout, own))))).drop("by")
+
+
+@F.pandas_udf(DoubleType())
+def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratio of matching characters; 0 where either is missing or empty."""
+    squeeze = lambda x: " ".join((x or "").lower().split())
+    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(map(squeeze, a), map(squeeze, b), strict=True)], dtype="float64")
+
+
+def second_reading(blocks: DataFrame) -> DataFrame:
+    """Blocks (text, second: the text of another reading) with overlap (share of the text's words in it) and disagreement, the flags that follow.
+
+    Characters are compared only where the words already disagree strongly: the comparison is the one step that needs Python.
+    """
+    text, other = F.coalesce("text", F.lit("")), F.coalesce("second", F.lit(""))
+    a, b = F.array_distinct(tx.tokens(text)), F.array_distinct(tx.tokens(other))
+    d = blocks.withColumn("overlap", F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0))
+    long = (F.char_length(text) >= 40) & (other != "")
+    far = long & (F.col("overlap") < 0.20)
+    d = d.withColumn("_like", _likeness(F.when(far, text), F.when(far, other)))
+    strong = far & (F.col("_like") < 0.30)
+    mine, theirs = (F.filter(F.transform(tx.phones(x), tx.digits), lambda x: F.char_length(x) >= 7) for x in (text, other))
+    agree = F.exists(mine, lambda x: F.exists(theirs, lambda y: F.contains(x, y) | F.contains(y, x)))
+    flags = F.array(
+        F.when(strong, "secondary_ocr_strong_disagreement").when(long & (F.col("overlap") < 0.35), "secondary_ocr_partial_disagreement"),
+        F.when((other != "") & (F.size(mine) > 0) & (F.size(theirs) == 0), "phone_not_supported_by_secondary_ocr").when((F.size(mine) > 0) & (F.size(theirs) > 0) & ~agree, "phone_digit_sequence_disagreement"),
+        F.when(other == "", "secondary_ocr_empty"),
+    )
+    return d.withColumn("disagreement", F.array_sort(F.array_compact(flags))).drop("_like")

@@ -83,7 +83,8 @@ d AS (SELECT *, CASE WHEN risk_score >= 0.7 THEN 'high' WHEN risk_score >= 0.35
 s AS (SELECT *, CASE WHEN text = '' THEN 'empty' WHEN kw AND box AND risk_level <> 'low' THEN 'metadata_only' WHEN risk_level = 'high' AND (de OR lo) THEN 'quarantined' WHEN ent AND risk_level <> 'low' THEN 'entity_masked'
   WHEN risk_level = 'medium' THEN 'needs_review' WHEN risk_level = 'high' THEN 'quarantined' ELSE 'accepted' END AS status FROM d)
 SELECT doc_id, risk_score, risk_level, status, status = 'accepted' AS use_for_embedding, (ent OR de OR lo OR kw) AND text <> '' AS needs_second_reading, md5(CASE WHEN status IN ('accepted', 'needs_review') THEN text WHEN status = 'entity_masked' THEN
-  regexp_replace(regexp_replace(regexp_replace(text, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b', '[UNVERIFIED_EMAIL]', 'g'), '(?i)\b(?:https?://|www\.)[^\s<>()]+', '[UNVERIFIED_URL]', 'g'), '(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b', '[UNVERIFIED_DOI]', 'g') ELSE '' END) AS index_md5 FROM s"""
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(list_reduce(phones, lambda t, p: replace(t, p, '[UNVERIFIED_PHONE]'), text), '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b', '[UNVERIFIED_EMAIL]', 'g'), '(?i)\b(?:https?://|www\.)[^\s<>()]+', '[UNVERIFIED_URL]', 'g'), '(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b', '[UNVERIFIED_DOI]', 'g'), '(?i)\b(?:ISBN(?:-1[03])?:?\s*)?(?:97[89][-\s]?)?\d[-\s]?\d{2,5}[-\s]?\d{2,7}[-\s]?\d[-\s]?[0-9X]\b', '[UNVERIFIED_ISBN]', 'g') ELSE '' END) AS index_md5 FROM (SELECT *, list_distinct(list_transform(list_filter(regexp_extract_all(text, '(?i)\b(?:tel|telephone|phone|fax|mobile|mob)\.?\s*[:：]?\s*(\+?\d[\d\s().\-]{5,}\d)', 1) || regexp_extract_all(text, '(?:^|\W)(\+\d[\d\s().\-]{6,}\d)(?:\W|$)', 1),
+  lambda x: length(regexp_replace(x, '\D', '', 'g')) BETWEEN 7 AND 16 AND length(regexp_replace(x, '[^.]+', '', 'g')) <= 1), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')))) AS phones FROM s)"""
 )
 def verification_decisions(spark, sf):
     """Flags of e-mails and addresses from the text, the others from keys."""
@@ -95,6 +96,37 @@ def verification_decisions(spark, sf):
     return v.select("doc_id", "risk_score", "risk_level", "status", "use_for_embedding", "needs_second_reading", F.md5("index_text").alias("index_md5"))
 
 
+@query(
+    """WITH b AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS block_id, l_partkey FROM lineitem),
+r AS (SELECT page, block_id, CASE l_partkey % 4 WHEN 0 THEN 'figure' WHEN 1 THEN 'table' WHEN 2 THEN '' END AS type, unnest([l_partkey % 3, 3 + l_partkey % 2]) AS region FROM b)
+SELECT page, region, arg_min(type, block_id) FILTER (WHERE type <> '') AS type, count(*) AS blocks, count(*) >= 2 AS container FROM r GROUP BY page, region"""
+)
+def region_containers(spark, sf):
+    return review.region_containers(_lines_in_regions(spark, sf))
+
+
+def _lines_in_regions(spark, sf):
+    k = F.col("l_partkey")
+    i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")).cast("long")
+    kind = F.when(k % 4 == 0, "figure").when(k % 4 == 1, "table").when(k % 4 == 2, "")
+    return t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), i.alias("block_id"), kind.alias("region_type"), F.array(k % 3, 3 + k % 2).alias("regions"))
+
+
+@query()
+def block_flags(spark, sf):
+    """Documents as blocks, ten a page."""
+    d = F.col("doc_id")
+    b = t(spark, sf, "documents").select(F.floor(d / 10).alias("page"), d.alias("block_id"), "text", F.array(d % 3, 3 + d % 4).alias("regions"), F.when(d % 4 == 0, "figure").when(d % 4 == 1, "table").alias("region_type"))
+    return review.block_flags(b).select("page", "block_id", F.array_join("flags", ",").alias("flags"))
+
+
+@query()
+def second_readings(spark, sf):
+    """Each turn beside the next of its conversation as if that were another reading of it."""
+    c = t(spark, sf, "conversations").select("conv_id", "turn", "text", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("second"))
+    return review.second_reading(c).select("conv_id", "turn", F.round("overlap", 6).alias("overlap"), F.array_join("disagreement", ",").alias("disagreement"))
+
+
 # --- selections ---------------------------------------------------------------------------------
 
 UNITS = """nod AS (SELECT l_suppkey % 50 AS doc_id, row_number() OVER (PARTITION BY l_suppkey % 50 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS idx FROM lineitem),
