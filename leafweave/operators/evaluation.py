@@ -53,3 +53,21 @@ def stratified(rows: DataFrame, share: float) -> DataFrame:
     o = w.orderBy(F.sha2(F.col("id").cast("string"), 256), "id")
     n = F.count("*").over(w)
     return rows.withColumn("calibration", F.row_number().over(o) <= F.greatest(F.lit(1), F.round(n * share)))
+
+
+def closed_scores(pairs: DataFrame) -> DataFrame:
+    """One row over a closed universe of pairs (gold, found as booleans): tp, fp, fn, tn, precision, recall, f1, accuracy; a share of nothing is 0."""
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    g, f = F.col("gold"), F.col("found")
+    c = pairs.agg(n(g & f).alias("tp"), n(~g & f).alias("fp"), n(g & ~f).alias("fn"), n(~g & ~f).alias("tn"))
+    share = lambda a, b: F.when(b > 0, F.round(a / b, 8)).otherwise(0.0)
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    return c.select("*", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"), share(tp + tn, tp + fp + fn + tn).alias("accuracy"))
+
+
+def set_changes(old: DataFrame, new: DataFrame, gold: DataFrame) -> DataFrame:
+    """Counts of pairs (a, b) added, removed and kept from old to new, and of those that are gold."""
+    mark = lambda d, x: d.select("a", "b", F.lit(x).alias("from")).distinct()
+    p = mark(old, "old").unionByName(mark(new, "new")).unionByName(mark(gold, "gold")).groupBy("a", "b").agg(*(F.bool_or(F.col("from") == x).alias(x) for x in ("old", "new", "gold")))
+    change = F.when(F.col("old") & F.col("new"), "kept").when(F.col("new"), "added").when(F.col("old"), "removed").otherwise("missed")
+    return p.groupBy(change.alias("change")).agg(F.count("*").alias("pairs"), F.count_if("gold").alias("gold"))

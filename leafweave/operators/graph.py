@@ -58,3 +58,9 @@ def components(edges: DataFrame, checkpoint_every: int = 2, most: int = 60) -> D
                 return r
             seen = now
     raise RuntimeError("components did not settle")
+
+
+def strongest_edges(edges: DataFrame) -> DataFrame:
+    """Of edges (seq, source, target, cue, confidence) one for each source and target: the most confident, the first of equals. Edges to oneself go."""
+    best = F.max_by(F.struct("seq", "cue", "confidence"), F.struct(F.coalesce("confidence", F.lit(0.0)), -F.col("seq")))
+    return edges.where("source <> target").groupBy("source", "target").agg(best.alias("e")).select("source", "target", "e.*")

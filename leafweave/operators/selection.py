@@ -92,3 +92,9 @@ def outer_pages(pages: DataFrame, front: int, back: int) -> DataFrame:
     p = pages.select("doc_id", "page").distinct()
     a, z = F.row_number().over(_doc().orderBy("page")), F.row_number().over(_doc().orderBy(F.desc("page")))
     return p.withColumn("a", a).withColumn("z", z).where((F.col("a") <= front) | (F.col("z") <= back)).select("doc_id", "page")
+
+
+def ranking_tasks(pairs: DataFrame) -> DataFrame:
+    """Pairs (doc_id, a, b) seen from both ends: each node with its distinct partners in order."""
+    both = pairs.select("doc_id", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("doc_id", "e.*")
+    return both.groupBy("doc_id", "node").agg(F.array_sort(F.collect_set("other")).alias("candidates"))

@@ -563,4 +563,4 @@ def strided_shards(spark, sf):
     return o.withColumn("k", k).join(c, "slice").select("id", ((F.col("before") + F.col("k") - 1) % 4).alias("shard"))
 
 
-from leafweave.plans import beginnings, decisions, reviews  # noqa: E402,F401  (they register their queries here)
+from leafweave.plans import beginnings, comparisons, decisions, reviews  # noqa: E402,F401  (they register their queries here)
