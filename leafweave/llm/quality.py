@@ -7,7 +7,8 @@ document's score is its chance to be labelled good, a logistic function of its s
 threshold on the score is one on the strength; keep_best thresholds at a quantile of the strengths instead.
 
 Labels come only from rows that are not held out, and from a bounded sample: the `sample` rows of each label with the
-smallest hash; pairs are `pairs` draws of them with a fixed seed.
+smallest hash; pairs are `pairs` draws of them with a fixed seed. The logistic function is fitted with each label at its
+share among all rows that are not held out.
 
 Defined cases: null and empty texts are measured as empty; without labelled rows of both kinds every strength is zero and every
 score the share of good labels (0.5 without any); rows repeated in documents are each scored; an empty table gives an empty
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafweave.llm.common import held_out, table
-from leafweave.llm.toxicity import sample_labels
+from leafweave.llm.toxicity import label_weights, sample_labels
 
 SAMPLE, PAIRS, STEPS = 4000, 40_000, 12
 MARKS = b"|!*$&%#<>{}=@"
@@ -89,8 +90,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * strength + self.bias, -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 2.0) -> Model:
-    """Bradley-Terry weights from pairs (good over bad), then the logistic map of strengths to labels."""
+def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 2.0, weights: np.ndarray | None = None) -> Model:
+    """Bradley-Terry weights from pairs (good over bad), then the logistic map of strengths to labels, each row at its weight."""
     width = x.shape[1] if x.ndim == 2 else 0
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.5
@@ -122,10 +123,11 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 2.0) ->
     s = np.column_stack([model.strength(x), np.ones(len(x))])
     v = np.array([1.0, 0.0])
     # The sample takes labels in other shares than the rows do; the caller's weights undo that.
+    rows = np.ones(len(x)) if weights is None else weights
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(s @ v, -40, 40)))
-        h = (s * (p * (1 - p))[:, None]).T @ s + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, s.T @ (p - y) + 1e-3 * (v - [1.0, 0.0]))
+        h = (s * (rows * p * (1 - p))[:, None]).T @ s + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, s.T @ (rows * (p - y)) + 1e-3 * (v - [1.0, 0.0]))
         v -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
@@ -136,7 +138,8 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 2.0) ->
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     got = sample_labels(docs, labels, "quality", sample).mapInArrow(_measured, "x array<double>, y boolean").collect()
     x = np.array([r["x"] for r in got]) if got else np.zeros((0, len(measure(""))))
-    return fit(x, np.array([r["y"] for r in got], float))
+    y = np.array([r["y"] for r in got], float)
+    return fit(x, y, weights=label_weights(docs, labels, "quality", y))
 
 
 def _score(model: Model):

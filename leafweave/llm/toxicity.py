@@ -111,17 +111,18 @@ def _logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights of the patterns and the intercept, by Newton steps on the loss with a pull to the prior."""
+def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, weights: np.ndarray | None = None) -> np.ndarray:
+    """Weights of the patterns and the intercept, by Newton steps on the loss (each row at its weight) with a pull to the prior."""
+    rows = np.ones(len(x)) if weights is None else weights
     x = np.column_stack([np.log1p(x), np.ones(len(x))])
     prior = np.append(PRIOR, PRIOR_BIAS)
     w = prior.copy()
     for _ in range(30):
         p = _logistic(x @ w)
-        g = x.T @ (p - y) + ridge * (w - prior)
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        g = x.T @ (rows * (p - y)) + ridge * (w - prior)
+        h = (x * (rows * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
-        w -= step
+        w -= np.clip(step, -2, 2)  # whole steps from afar can overshoot for good
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -192,9 +193,21 @@ def _features(grammar: Grammar):
     return rows
 
 
+def _learnt_from(labels: DataFrame, label: str) -> DataFrame:
+    return labels.where(F.col(label).isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(F.col(label) == 1).alias("y"))
+
+
+def label_weights(docs: DataFrame, labels: DataFrame, label: str, y: np.ndarray) -> np.ndarray:
+    """Weights of sampled rows with labels y, their mean 1: each label weighs as it does among all rows that are not held out."""
+    n = docs.select("doc_id").join(_learnt_from(labels, label), "doc_id").groupBy("y").agg(F.count("*").alias("n"))
+    n = {r["y"]: r["n"] for r in n.collect()}
+    w = np.where(y == 1, n.get(True, 0) / max(1, (y == 1).sum()), n.get(False, 0) / max(1, (y != 1).sum()))
+    return w / w.mean() if len(w) else w
+
+
 def sample_labels(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """text and y (boolean) of at most `most` documents of each label, those with the smallest hash; never held-out rows. The label side is that small, so it is broadcast."""
-    ids = labels.where(F.col(label).isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(F.col(label) == 1).alias("y"))
+    ids = _learnt_from(labels, label)
     order = F.xxhash64(F.col("doc_id").cast("long"))
     few = [ids.where(F.col("y") == v).orderBy(order, "doc_id").limit(most) for v in (True, False)]
     few = few[0].unionByName(few[1])
@@ -209,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Gra
     y = np.array([r["y"] for r in got], float)
     if not len(y) or y.min() == y.max():
         return grammar, np.append(PRIOR, PRIOR_BIAS)
-    return grammar, fit_weights(np.array([r["x"] for r in got]), y)
+    return grammar, fit_weights(np.array([r["x"] for r in got]), y, weights=label_weights(docs, labels, "toxic", y))
 
 
 def _score(grammar: Grammar, w: np.ndarray):
