@@ -338,6 +338,12 @@ def connected_components(spark, sf):
     return graph.components(e)
 
 
+@query()
+def connected_components_whole(spark, sf):
+    """Orders and parts (as -1 - l_partkey), linked by every row of lineitem."""
+    return graph.components(t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("source"), (-1 - F.col("l_partkey")).alias("target")))
+
+
 INVERSE = {"SUPPORTS": "IS_SUPPORTED_BY", "EXPLAINS": "IS_EXPLAINED_BY", "ELABORATES": "IS_ELABORATED_BY"}
 
 
