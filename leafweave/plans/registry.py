@@ -344,6 +344,38 @@ def connected_components_whole(spark, sf):
     return graph.components(t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("source"), (-1 - F.col("l_partkey")).alias("target")))
 
 
+WHOLE = """e AS (SELECT o_orderkey AS seq, o_custkey AS source, (SELECT max(c_custkey) FROM customer) - o_custkey AS target, CASE o_orderkey % 4 WHEN 0 THEN 'CAPTION_OF' WHEN 1 THEN 'IN_DOCUMENT' ELSE 'NEXT' END AS edge_type FROM orders),
+a AS (SELECT c_custkey AS s, c_custkey // 2 AS c FROM customer WHERE c_custkey % 3 = 0), on_ AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 11 <> 0),
+""" + REMAP[REMAP.index("m AS (") :]
+
+
+def _whole(spark, sf):
+    """The edges of orders over all customers, the customers' aliases and the active ones."""
+    c, k = t(spark, sf, "customer"), F.col("o_orderkey")
+    kind = F.when(k % 4 == 0, "CAPTION_OF").when(k % 4 == 1, "IN_DOCUMENT").otherwise("NEXT")
+    e = t(spark, sf, "orders").crossJoin(F.broadcast(c.agg(F.max("c_custkey").alias("most"))))
+    e = e.select(k.alias("seq"), F.col("o_custkey").alias("source"), (F.col("most") - F.col("o_custkey")).alias("target"), kind.alias("edge_type"))
+    a = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("source_node_id"), F.floor(F.col("c_custkey") / 2).alias("canonical_node_id"))
+    return e, a, c.where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("node_id"))
+
+
+@query(f"WITH {WHOLE} SELECT seq, source, target, edge_type FROM d WHERE outcome = 'output'")
+def edge_remap_whole(spark, sf):
+    return graph.remap(*_whole(spark, sf), ["CAPTION_OF"]).where("outcome = 'output'").drop("outcome")
+
+
+@query(f"WITH {WHOLE} SELECT outcome, count(*) AS edges FROM d GROUP BY outcome")
+def edge_remap_stats_whole(spark, sf):
+    return graph.remap(*_whole(spark, sf), ["CAPTION_OF"]).groupBy("outcome").agg(F.count("*").alias("edges"))
+
+
+@query(f"WITH {WHOLE} SELECT seq, source, target FROM e WHERE source NOT IN (SELECT id FROM on_) OR target NOT IN (SELECT id FROM on_)")
+def dangling_edges_whole(spark, sf):
+    e, _, on = _whole(spark, sf)
+    bad = e.join(on, e["source"] == on["node_id"], "left_anti").unionByName(e.join(on, e["target"] == on["node_id"], "left_anti"))
+    return bad.select("seq", "source", "target").distinct()
+
+
 INVERSE = {"SUPPORTS": "IS_SUPPORTED_BY", "EXPLAINS": "IS_EXPLAINED_BY", "ELABORATES": "IS_ELABORATED_BY"}
 
 
