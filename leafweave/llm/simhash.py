@@ -2,16 +2,20 @@
 
 A fingerprint has 64 bits. Two that differ in at most k = 2 bits, cut into k // 2 + 1 = 2 segments of 32, have a segment
 in which they differ by at most one bit; so each segment is indexed under its 32 one-wildcard variants, variants meet
-by equality, and every meeting is verified over all 64 bits. Copies never meet: distinct fingerprints are indexed, each
-standing for its documents by their smallest doc_id. A variant that more than `crowd` fingerprints share is not joined
+by equality, and every meeting is verified over all 64 bits. Copies never meet: distinct fingerprints are indexed.
+
+One half of a segment keeps its 16 bits under a wildcard in the other half. Fingerprints travel once under each of their
+four halves and get that half's 16 variants where they arrive, so 4 rows are exchanged and not 64. A half that over
+`hot` fingerprints have is dealt by variant instead. A variant that more than `crowd` fingerprints share is not joined
 in pairs: its members are indexed again under the variants of what is left of the fingerprint (the other segment and
 the wildcard bit, 33 bits, two segments of one wildcard each), with the first variant as part of the key.
 
-Components of the links come from alternating star steps over written tables.
+Nodes are fingerprints; those of one doc_id are linked. Components come from alternating star steps over written tables.
 
 Defined cases: null and empty texts, and texts without words, have fingerprint zero, linked like any other; fewer than
-three words are one shingle; rows repeated with one doc_id are one document; a null doc_id keeps a null component unless
-linked to others, whose smallest id it takes; an empty table gives an empty result; other columns are ignored.
+three words are one shingle; very long texts are hashed whole, their bits counted in slices; rows repeated with one doc_id
+are one document; a null doc_id keeps a null component unless linked to others, whose smallest id it takes; there are no
+ties (a component's smallest id is its name); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +25,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from leafweave.llm.common import connected_components, materialise, table
+from leafweave.llm.common import buckets_for, connected_components, materialise, slices, table
 
 BITS, SHINGLE, DISTANCE, SEED = 64, 3, 2, 42
-CROWD = 64
+CROWD, HOT = 64, 4096
+#: Rows of halves in a task, each of which becomes 16 variants there.
+PER_TASK = 50_000
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -50,7 +57,7 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def _rows(batches):
-    for b in batches:
+    for b in slices(batches):
         f = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.int64())], names=["doc_id", "fp"])
 
@@ -65,13 +72,32 @@ def _variants(value: str, width: int, base: int) -> list[str]:
     return [f"(({base + i}L << 40) | ({value} & ~(1L << {i})))" for i in range(width)]
 
 
-def links(reps: DataFrame, crowd: int = CROWD) -> DataFrame:
+def _half(k: int) -> str:
+    """SQL for the k-th 16 bits, the highest first; halves 0 and 1 are the first segment."""
+    return f"(shiftrightunsigned(fp, {48 - 16 * k}) & 65535L)"
+
+
+def _met(reps: DataFrame, hot: int) -> DataFrame:
+    """fp, key (wildcard's place above 40 bits, segment without that bit below), n of every variant that n > 1 fingerprints share."""
+    # Half k stays, its neighbour in the segment has the wildcard; a wildcard's place counts from the segment's lowest bit.
+    halves = reps.select("fp", F.expr(f"explode(array({', '.join(f'struct({k} as half, {_half(k)} as held)' for k in range(4))}))").alias("h")).select("fp", "h.*")
+    many = materialise(halves.groupBy("half", "held").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("half", "held"), "hot")
+    segment = "(case when half < 2 then shiftrightunsigned(fp, 32) else (fp & 4294967295L) end)"
+    place = "(case when half < 2 then 0 else 32 end + case when half % 2 = 0 then 0 else 16 end)"
+    variants = [f"((cast({place} + {i} as long) << 40) | ({segment} & ~(1L << cast({place} % 32 + {i} as int))))" for i in range(16)]
+    variants = F.expr(f"explode(array({', '.join(variants)}))").alias("key")
+    # At most four rows a `hot` fingerprints, and no more than four times 65536 whatever the input.
+    tasks = buckets_for(4 * reps.count(), PER_TASK)
+    few = halves.join(F.broadcast(many), ["half", "held"], "left_anti").repartition(tasks, "half", "held").select("fp", "half", "held", variants)
+    few = few.withColumn("n", F.count("*").over(Window.partitionBy("half", "held", "key"))).where("n > 1").select("fp", "key", "n")
+    keyed = halves.join(F.broadcast(many), ["half", "held"], "left_semi").select("fp", variants)
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return materialise(few.unionByName(keyed.join(materialise(shared, "variants"), "key").select("fp", "key", "n")), "met")
+
+
+def links(reps: DataFrame, crowd: int = CROWD, hot: int = HOT) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints, a < b, that differ in at most two bits."""
     hi, lo = "shiftrightunsigned(fp, 32)", "(fp & 4294967295L)"
-    keyed = reps.select("fp", F.expr(f"explode(array({', '.join(_variants(hi, 32, 0) + _variants(lo, 32, 32))}))").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialise(shared, "variants")
-    met = keyed.join(shared, "key")
 
     def pairs(df, *keys):
         x, y = df.select(*keys, F.col("fp").alias("a")), df.select(*keys, F.col("fp").alias("b"))
@@ -80,7 +106,7 @@ def links(reps: DataFrame, crowd: int = CROWD) -> DataFrame:
         bit = "cast((key >> 40) & 31 as int)"
         return x.join(y, list(keys)).where(f"a < b and bit_count(a ^ b) <= 2 and ({own} = shiftleft(1L, {bit}) or ({own} = 0 and {bit} = 0))").select("a", "b")
 
-    met = materialise(met, "met")
+    met = _met(reps, hot)
     few, many = met.where(F.col("n") <= crowd), met.where(F.col("n") > crowd)
     # What the first key leaves open: the other segment's 32 bits and the wildcard's own bit.
     place = "(key >> 40)"
@@ -91,17 +117,18 @@ def links(reps: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs(few, "key").unionByName(pairs(many, "key", "key2")).distinct()
 
 
-def simhash_dedup(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+def simhash_dedup(docs: DataFrame, crowd: int = CROWD, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
     fps = materialise(fingerprints(docs), "fingerprints")
-    reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    e = links(reps.select("fp"), crowd)
-    ra, rb = reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
-    by_id = e.join(ra, "a").join(rb, "b").select(F.coalesce("ra", F.lit(2**63 - 1)).alias("a"), F.coalesce("rb", F.lit(2**63 - 1)).alias("b"))
-    roots = connected_components(by_id)
-    own = F.coalesce("rep", F.lit(2**63 - 1))
-    classes = reps.withColumn("node", own).join(roots, "node", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    e = links(materialise(fps.select("fp").distinct(), "reps"), crowd, hot)
+    # A document's rows are one, whatever their texts.
+    first = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("doc_id", "a")
+    same = fps.join(first, "doc_id").select("a", F.col("fp").alias("b")).where("a <> b")
+    roots = connected_components(e.unionByName(same))
+    of = materialise(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root")), "classes")
+    # Written, so that the join has a plain exchange on both sides and the rows of a large component can be split.
+    least = materialise(of.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    return of.join(least, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op2_simhash(spark, sf_dir):

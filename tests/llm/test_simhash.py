@@ -43,11 +43,12 @@ def test_against_all_pairs(spark):
             texts.append(" ".join(w))
     texts += ["", None, " \n", "Short", "sHORT", "two words", "É", "é", base[0].upper(), base[0]]
     rows = [(i, t) for i, t in enumerate(texts)]
-    got = simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), crowd=3).collect()
     fp = {i: plain(t) for i, t in rows}
     assert all(fingerprint(t) == fp[i] for i, t in rows)
-    assert {r["doc_id"]: int(r["fingerprint"], 16) for r in got} == fp
-    assert {r["doc_id"]: r["component_id"] for r in got} == components(fp)
+    for crowd, hot in ((3, 4096), (64, 1), (2, 0)):
+        got = simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd, hot=hot).collect()
+        assert {r["doc_id"]: int(r["fingerprint"], 16) for r in got} == fp
+        assert {r["doc_id"]: r["component_id"] for r in got} == components(fp)
 
 
 def test_crowded_variants_lose_no_link(spark):
@@ -58,8 +59,19 @@ def test_crowded_variants_lose_no_link(spark):
     fps = sorted({(123456789 << 32) | (77 ^ (1 << r.randrange(32)) ^ (1 << r.randrange(32)) ^ (1 << r.randrange(12))) for _ in range(150)})
     want = {(a, b) for a in fps for b in fps if a < b and bin(a ^ b).count("1") <= 2}
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
-    for crowd in (2, 1000):
-        assert {(x["a"], x["b"]) for x in links(df, crowd).collect()} == want
+    for crowd, hot in ((2, 4096), (1000, 4096), (2, 10), (1000, 0)):
+        assert {(x["a"], x["b"]) for x in links(df, crowd, hot).collect()} == want
+
+
+def test_null_repeated_and_long(spark):
+    """Null ids name no component and join none; rows of one id are one document; a very long text is read whole."""
+    r = random.Random(9)
+    a, b, c, d = (" ".join(f"{x}{r.randrange(10**6)}" for _ in range(60)) for x in "abcd")
+    long = " ".join(f"l{r.randrange(10**6)}" for _ in range(60_000))
+    rows = [(None, a), (None, b), (5, a + " "), (9, b), (None, c), (11, d), (11, c), (12, long), (13, long + "\n"), (14, d), (14, d), (None, "alone here now")]
+    got = simhash_dedup(spark.createDataFrame([(*x, "f", 1, 7) for x in rows], "doc_id long, text string, fingerprint string, component_id int, fp long")).collect()
+    assert sorted(((x["doc_id"], x["component_id"]) for x in got), key=str) == sorted([(None, 5), (None, 9), (5, 5), (9, 9), (None, 11), (11, 11), (11, 11), (12, 12), (13, 12), (14, 11), (14, 11), (None, None)], key=str)
+    assert {x["fingerprint"] for x in got} == {f"{plain(t):016x}" for _, t in rows}
 
 
 def test_empty(spark):
