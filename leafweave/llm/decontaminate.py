@@ -4,7 +4,8 @@ Documents are read once into the places of benchmark words (all other words can
 to a common subsequence). Passages are pairs of neighbouring half-passages of `half` words, so they overlap by half. Their
 TF-IDF matrix, with frequencies counted over all half-passages of all documents, is decomposed by a randomised Nystrom
 SVD: tasks sum A'(A Omega) over their rows, partial sums meet in two levels by slices of the vocabulary, and the small rest is done on
-the driver, whose arrays are bounded by the benchmark (`block` items at a time, their words by `block` + 32 directions). The items
+the driver, whose arrays are bounded by `block` items, their words by `block` + 32 directions. A benchmark of any size is taken
+`at_once` items at a time, which bounds the vocabulary that documents are read into and all that the driver holds. The items
 themselves are rows of the matrix with a weight of the corpus' own, so their directions are in the space however rare
 they are in the corpus. Passages whose latent cosine with an item reaches `cosine` are candidates.
 
@@ -12,9 +13,11 @@ A candidate is verified on the words: the longest common subsequence of the item
 length on both sides, must hold `same` of the item's words; or, for a paraphrase, `alike` of them with the answer
 check: the item's rarest words, which identify its answer, all occur there in their order.
 
-Defined cases: null and empty texts hold no passage; items without words match nothing; rows repeated with one doc_id are
-one result; rows with a null doc_id are not searched; items with one text are each reported; an empty table on
-either side gives an empty result; other columns are ignored.
+Defined cases: null and empty texts hold no passage; items of fewer than `SHORT` words are too short to judge (a name or a date
+is in many clean documents), match nothing and are listed by too_short; a null item_id is not searched for; very long texts are cut
+into passages like any other; rows repeated with one doc_id are one result, and so are all rows with a null doc_id, which are
+searched like any other; items with one text are each reported, those repeated with one item_id once; of passages that tie the
+result is the same; an empty table on either side gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafweave.llm.common import materialise, table
+from leafweave.llm.common import buckets_for, materialise, slices, table
 
 WORD = re.compile(r"[^\W_]+")
 HALF, BLOCK, COSINE, SAME, ALIKE, RARE = 48, 256, 0.3, 0.8, 0.6, 4
+SHORT, AT_ONCE = 5, 4096
 #: Words of over this share of half-passages stay out of the vectors (but for the rarer half of an item's), not out of the subsequences.
 COMMON = 0.01
 SLICES, FAN = 16, 32
@@ -50,11 +54,11 @@ def words(text: str | None) -> list[bytes]:
 def _places(vocabulary: dict[bytes, int]):
     def rows(batches):
         get = vocabulary.get
-        for b in batches:
+        for b in slices(batches):
             out = [[], [], [], []]
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = words(t)
-                if i is None or not w:
+                if not w:
                     continue
                 term = np.fromiter(map(get, w, repeat(-1)), np.int32, len(w))
                 at = np.flatnonzero(term >= 0).astype(np.int32)
@@ -229,13 +233,39 @@ def _search(idf, basis, latent, items, size: int, half: int, remap: np.ndarray,
 FOUND = "doc_id long, item_id long, common double, cosine double"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, half: int = HALF, block: int = BLOCK, cosine: float = COSINE, same: float = SAME, alike: float = ALIKE) -> DataFrame:
+def _numbered(benchmark: DataFrame) -> DataFrame:
+    """item_id, text of the items that have an id, each pair once."""
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").distinct()
+
+
+def too_short(benchmark: DataFrame) -> DataFrame:
+    """item_id, text of the items that are not searched for."""
+
+    def rows(batches):
+        for b in batches:
+            yield b.filter(pa.array([len(words(t)) < SHORT for t in b.column(1).to_pylist()], pa.bool_()))
+
+    return _numbered(benchmark).mapInArrow(rows, "item_id long, text string")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, half: int = HALF, block: int = BLOCK, cosine: float = COSINE, same: float = SAME, alike: float = ALIKE, at_once: int = AT_ONCE) -> DataFrame:
     """doc_id, item_id, common (share of the item's words in the common subsequence), cosine of every document that holds an item."""
     spark = docs.sparkSession
-    items = [(r[0], words(r[1])) for r in benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null").distinct().orderBy("item_id").collect()]
-    items = [x for x in items if x[1]]
-    if not items:
-        return spark.createDataFrame([], FOUND)
+    b = materialise(_numbered(benchmark), "items")
+    passes = buckets_for(b.count(), at_once)
+    b = b.withColumn("pass", F.pmod(F.xxhash64("item_id"), F.lit(passes)))
+    found = None
+    for k in range(passes):
+        items = [(r[0], words(r[1])) for r in b.where(F.col("pass") == k).select("item_id", "text").orderBy("item_id", "text").collect()]
+        items = [x for x in items if len(x[1]) >= SHORT]
+        f = _searched(docs, items, half, block, cosine, same, alike) if items else spark.createDataFrame([], FOUND)
+        f = materialise(f, "found") if passes > 1 else f
+        found = f if found is None else found.unionByName(f)
+    return found
+
+
+def _searched(docs: DataFrame, items: list, half: int, block: int, cosine: float, same: float, alike: float) -> DataFrame:
+    spark = docs.sparkSession
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, x in items for w in x}))}
     size = len(vocabulary)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -4,13 +4,14 @@ Preference pairs set a document labelled good against one labelled bad; the stre
 features, and the weights minimise the logistic loss of the feature differences of pairs, with a ridge. Features are
 measurements of the whole text, each cut at sample quantiles into steps, so strengths are additive step functions. A
 document's score is its chance to be labelled good, a logistic function of its strength fitted to the same sample, so a
-threshold on the score is one on the strength; keep_best thresholds at a quantile of the strengths instead.
+threshold on the score is one on the strength. Documents at or above the quantile of the strengths that leaves `KEEP` of them are kept.
 
 Labels come only from rows that are not held out, and from a bounded sample: the `sample` rows of each label with the
 smallest hash; pairs are `pairs` draws of them with a fixed seed. The logistic function is fitted with each label at its
 share among all rows that are not held out.
 
-Defined cases: null and empty texts are measured as empty; without labelled rows of both kinds every strength is zero and every
+Defined cases: null and empty texts are measured as empty; very long texts are measured whole, a slice of rows at a time;
+documents tied at the quantile are all kept; without labelled rows of both kinds every strength is zero and every
 score the share of good labels (0.5 without any); rows repeated in documents are each scored; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -19,13 +20,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafweave.llm.common import held_out, table
+from leafweave.llm.common import held_out, materialise, slices, table
 from leafweave.llm.toxicity import label_weights, sample_labels
 
 SAMPLE, PAIRS, STEPS = 4000, 40_000, 12
+#: The share of documents that the quantile keeps.
+KEEP = 0.8
 MARKS = b"|!*$&%#<>{}=@"
 
 
@@ -64,7 +67,7 @@ def measure(text: str | None) -> list[float]:
 
 
 def _measured(batches):
-    for b in batches:
+    for b in slices(batches, column=0):
         x = [measure(t) for t in b.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
@@ -144,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def _score(model: Model):
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             x = np.array([measure(t) for t in b.column(1).to_pylist()]).reshape(b.num_rows, -1)
             s = model.strength(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(s), pa.float64()), pa.array(s, pa.float64())], names=["doc_id", "score", "strength"])
@@ -157,13 +160,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model), "doc_id long, score double, strength double")
 
 
-def keep_best(scored: DataFrame, share: float) -> DataFrame:
-    """The rows whose strength is at or above the quantile that leaves about `share` of them."""
+def keep_best(scored: DataFrame, share: float) -> Column:
+    """Whether a row's strength is at or above the quantile that leaves `share` of the rows, to within a thousandth of them. Ties with the quantile all stay."""
     cut = scored.approxQuantile("strength", [1 - share], 0.001)
-    return scored.where(F.col("strength") >= cut[0]) if cut else scored
+    return F.col("strength") >= (cut[0] if cut else 0.0)
 
 
 def op1_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    s = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return s.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "strength")
+    s = materialise(score(docs, train(docs, table(spark, sf_dir, "labels"))), "scores")
+    return s.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "strength", keep_best(s, KEEP).alias("kept"))

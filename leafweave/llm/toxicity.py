@@ -1,24 +1,27 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become class symbols by a lexicon transducer: insult, threat, target, negation, reported speech, and letters for
-clause ends. Composed over it, a clause machine reads the symbols of each clause that holds an insult or a threat and
-puts the clause into one pattern: bare insult, aimed insult, negated insult, reported insult, and the same for threats
-(an aimed one needs a target, a negated one a negation within reach before it, a reported one a reporting word before
-it). A document is scored by what its matched clauses weigh, through a logistic function; words outside a matched
-pattern weigh nothing.
+Five transducers are composed. The lexicon, a letter trie, turns each word into a class: insult, threat, target,
+negation, reported speech, or another word. The negation machine marks insults and threats within reach of a negation,
+the report machine those after a reporting word, the target machine the ends of clauses that name a target, and the clause machine
+reads what these leave and puts the clause into patterns: bare, aimed, negated or reported insult, and the same for
+threats. Their composition is one deterministic machine, built once, whose clause-end arcs bear the matched patterns and
+their weights. A document is scored by the arcs that its clauses take, through a logistic function: the weight of a pattern
+counts log(1 + n) times for n clauses. Words outside a matched pattern weigh nothing.
 
 Insult entries beside the seeds are learnt from labelled rows: words and word beginnings whose contexts are, beyond
 chance, those of toxic documents. A context is the word before, so copies of one document count once. Pattern weights
 are a ridge logistic fit drawn to the seed weights. Labels come only from rows that are not held out, and from a bounded
-sample: the `sample` rows with the smallest hash of each label.
+sample: the `sample` rows with the smallest hash of each label (ties by doc_id). What is learnt is bounded by that sample.
 
-Defined cases: null and empty texts have no clause and the score of the intercept; without labelled rows of both kinds the
-seeds and seed weights score alone; rows repeated in labels count once (toxic if any says so); rows repeated in documents are each
-scored; an empty table gives an empty result; other columns are ignored.
+Defined cases: null and empty texts have no clause and the score of the intercept; very long texts are read whole, a slice
+of rows at a time; a score of exactly 0.5 is toxic; without labelled rows of both kinds the seeds and seed weights score alone; rows
+repeated in labels count once (toxic if any says so); rows repeated in documents are each scored; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafweave.llm.common import held_out, table
+from leafweave.llm.common import held_out, materialise, slices, table
 
 INSULT, THREAT, TARGET, NEGATION, REPORT = "I", "T", "Y", "N", "R"
 SEEDS = {
@@ -43,7 +46,7 @@ PRIOR_BIAS = -2.0
 STEMS = (4, 5, 6)
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
 REACH = 3
-SAMPLE = 4000
+SAMPLE, CONTEXTS = 4000, 50_000
 
 
 def lexicon(learnt: list[tuple[str, bool]]) -> tuple[dict[str, str], dict[str, str]]:
@@ -55,56 +58,181 @@ def lexicon(learnt: list[tuple[str, bool]]) -> tuple[dict[str, str], dict[str, s
     return words, stems
 
 
-class Grammar:
+class Transducer:
+    """A deterministic letter transducer: arcs[state][symbol] is (next state, output). State 0 is the start."""
+
+    def __init__(self, arcs: list[dict]):
+        self.arcs = arcs
+
+
+def machine(start, symbols: str, step) -> Transducer:
+    """The transducer of a step function (state, symbol) -> (state, output), its states numbered as they are found."""
+    number, arcs, open_ = {start: 0}, [], [start]
+    while open_:
+        state = open_.pop(0)
+        row = {}
+        for x in symbols:
+            after, y = step(state, x)
+            if after not in number:
+                number[after] = len(number)
+                open_.append(after)
+            row[x] = (number[after], y)
+        arcs.append(row)
+    return Transducer(arcs)
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """a's outputs read by b: the product of both, as far as it is reached."""
+    symbols = "".join(a.arcs[0])
+
+    def step(state, x):
+        p, y = a.arcs[state[0]][x]
+        q, z = b.arcs[state[1]][y]
+        return (p, q), z
+
+    return machine((0, 0), symbols, step)
+
+
+#: Another word, the end of a clause, the end of a clause with a target; a negated and a reported insult and threat.
+OTHER, END, AIMED = "-", ".", "!"
+NEGATED, REPORTED = {INSULT: "i", THREAT: "t"}, {INSULT: "J", THREAT: "U"}
+CLASSES = INSULT + THREAT + TARGET + NEGATION + REPORT + OTHER + END
+
+
+def _negation(left: int, x: str):
+    if x in NEGATED:
+        return max(0, left - 1), NEGATED[x] if left else x
+    return (REACH if x == NEGATION else 0 if x == END else max(0, left - 1)), x
+
+
+def _report(told: bool, x: str):
+    return (x != END and (told or x == REPORT)), REPORTED[x] if told and x in REPORTED else x
+
+
+def _target(aimed: bool, x: str):
+    return (x != END and (aimed or x == TARGET)), AIMED if aimed and x == END else x
+
+
+#: The gravest mention counts: a plain one before a reported before a negated one.
+GRAVITY = {"i": (0, 1), "J": (0, 2), INSULT: (0, 3), "t": (1, 1), "U": (1, 2), THREAT: (1, 3)}
+
+
+def _clause(best: tuple[int, int], x: str):
+    if x in GRAVITY:
+        k, g = GRAVITY[x]
+        return tuple(max(g, v) if i == k else v for i, v in enumerate(best)), ()
+    if x not in (END, AIMED):
+        return best, ()
+    # Patterns stand in fours: bare, aimed, negated, reported.
+    return (0, 0), tuple(4 * i + ((1 if x == AIMED else 0) if v == 3 else 3 if v == 2 else 2) for i, v in enumerate(best) if v)
+
+
+def clause_machine() -> Transducer:
+    """Classes of words in, the patterns of each clause out, at its end."""
+    negation = machine(0, CLASSES, _negation)
+    read = CLASSES + "".join(NEGATED.values())
+    report = machine(False, read, _report)
+    read += "".join(REPORTED.values())
+    target = machine(False, read, _target)
+    return compose(compose(compose(negation, report), target), machine((0, 0), read + AIMED, _clause))
+
+
+class Lexicon:
+    """A trie of letters: a word's class stands at its end, a stem's at the letter that completes it; whole words come first, then the shortest stem."""
+
     def __init__(self, words: dict[str, str], stems: dict[str, str]):
-        self.words, self.stems = words, stems
-        self.lengths = sorted({len(s) for s in stems})
+        self.arcs: list[dict[str, int]] = [{}]
+        self.whole: dict[int, str] = {}
+        self.begun: dict[int, str] = {}
+        for forms, at in ((words, self.whole), (stems, self.begun)):
+            for form, k in forms.items():
+                state = 0
+                for c in form:
+                    if c not in self.arcs[state]:
+                        self.arcs[state][c] = len(self.arcs)
+                        self.arcs.append({})
+                    state = self.arcs[state][c]
+                at[state] = k
+
+    def __call__(self, word: str) -> str:
+        state, stem = 0, None
+        for c in word:
+            state = self.arcs[state].get(c, -1)
+            if state < 0:
+                return stem or OTHER
+            stem = stem or self.begun.get(state)
+        return self.whole.get(state) or stem or OTHER
+
+
+class Grammar:
+    """The composed machine over a lexicon; weights of the patterns stand on its clause-end arcs."""
+
+    MEMO = 100_000
 
-    def symbol(self, w: str) -> str | None:
-        if k := self.words.get(w):
-            return k
-        for n in self.lengths:
-            if k := self.stems.get(w[:n]):
-                return k
-        return None
+    def __init__(self, words: dict[str, str], stems: dict[str, str], weights: np.ndarray | None = None):
+        self.words, self.stems = words, stems
+        self.lexicon, self.machine, self.memo = Lexicon(words, stems), clause_machine(), {}
+        self.weigh(np.zeros(len(PATTERNS) + 1) if weights is None else weights)
+
+    def weigh(self, weights: np.ndarray) -> Grammar:
+        """Puts weights on the arcs: each clause end bears (pattern, weight) for what it matched."""
+        self.bias = float(weights[-1])
+        self.ends = [tuple((p, float(weights[p])) for p in row[END][1]) for row in self.machine.arcs]
+        self.next = [{x: q for x, (q, _) in row.items()} for row in self.machine.arcs]
+        return self
+
+    def tape(self, text: str) -> str:
+        """The lexicon's output over a whole text."""
+        memo, out = self.memo, []
+        for w in TOKEN.findall(text.lower()):
+            k = memo.get(w)
+            if k is None:
+                if len(memo) >= self.MEMO:
+                    memo.clear()
+                k = memo[w] = END if len(w) == 1 and w in ".!?;:\n" else self.lexicon(w)
+            out.append(k)
+        return "".join(out)
+
+    def arcs(self, text: str | None):
+        """The clause-end arcs that a text takes, as far as they match a pattern."""
+        for clause in self.tape(text or "").split(END):
+            if INSULT in clause or THREAT in clause:
+                state, follow = 0, self.next
+                for x in clause:
+                    state = follow[state][x]
+                yield self.ends[state]
 
     def clauses(self, text: str | None) -> np.ndarray:
         """How many clauses match each pattern."""
         out = np.zeros(len(PATTERNS))
-        if not text:
-            return out
-        # First machine: words to symbols, only classed words and ends kept, with their places.
-        tape, hot = [], False
-        symbol = self.symbol
-        for at, w in enumerate(TOKEN.findall(text.lower())):
-            if len(w) == 1 and w in ".!?;:\n":
-                if hot:
-                    self._accept(tape, out)
-                    hot = False
-                tape = []
-            elif k := symbol(w):
-                tape.append((at, k))
-                hot = hot or k in (INSULT, THREAT)
-        if hot:
-            self._accept(tape, out)
+        for arc in self.arcs(text):
+            for p, _ in arc:
+                out[p] += 1
         return out
 
-    @staticmethod
-    def _accept(tape: list[tuple[int, str]], out: np.ndarray) -> None:
-        """The second machine, over one clause: states are what was read (a negation in reach, a report, a target)."""
-        aimed = any(k == TARGET for _, k in tape)
-        negated, reported, best = -REACH - 1, False, {}
-        for at, k in tape:
-            if k == NEGATION:
-                negated = at
-            elif k == REPORT:
-                reported = True
-            elif k in (INSULT, THREAT):
-                p = 2 if at - negated <= REACH else 3 if reported else 1 if aimed else 0
-                base = 0 if k == INSULT else 4
-                best[base] = max(best.get(base, -1), {0: 2, 1: 3, 2: 0, 3: 1}[p])
-        for base, rank in best.items():
-            out[base + {2: 0, 3: 1, 0: 2, 1: 3}[rank]] += 1
+    def weight(self, text: str | None) -> tuple[float, int]:
+        """What a text's arcs weigh together, the n-th of a pattern as log(1 + n) - log(n), and how many match."""
+        total, seen = self.bias, [0] * len(PATTERNS)
+        for arc in self.arcs(text):
+            for p, w in arc:
+                seen[p] += 1
+                total += w * math.log((1 + seen[p]) / seen[p])
+        return total, sum(seen)
+
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and numbers of matches."""
+        got = [self.weight(t) for t in texts]
+        return _logistic(np.array([g[0] for g in got], float)), np.array([g[1] for g in got], np.int64)
+
+    def __getstate__(self):
+        return self.words, self.stems, np.array([*self._weights(), self.bias])
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def _weights(self) -> list[float]:
+        by = dict(x for end in self.ends for x in end)
+        return [by[p] for p in range(len(PATTERNS))]
 
 
 def _logistic(x):
@@ -141,15 +269,15 @@ def _forms(words: list[str]):
 
 
 def _contexts(batches):
-    """Distinct (form, stem, word before) of a task's documents, and whether toxic ones hold it."""
+    """Distinct (form, stem, word before) of a task's documents, as far as they fit `CONTEXTS` at a time, and whether toxic ones hold it."""
     seen: dict = {}
-    for b in batches:
+    for b in slices(batches, column=0):
         for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             for k in _forms(TOKEN.findall((t or "").lower())):
                 seen[k] = seen.get(k, 0) | (2 if y else 1)
-        if len(seen) > 200_000:
-            yield _context_batch(seen)
-            seen = {}
+                if len(seen) >= CONTEXTS:
+                    yield _context_batch(seen)
+                    seen = {}
     if seen:
         yield _context_batch(seen)
 
@@ -161,10 +289,11 @@ def _context_batch(seen):
 
 
 def learn_insults(rows: DataFrame) -> list[tuple[str, bool]]:
-    """Forms whose contexts are toxic documents' beyond chance (a G test at a level that allows for all forms tried), at most 2000."""
+    """Forms whose contexts are toxic documents' beyond chance (a G test at a level that allows for all forms tried), as many as the labelled rows bear out."""
     c = rows.select("text", "y").mapInArrow(_contexts, "form string, stem boolean, before string, toxic boolean, clean boolean")
     c = c.groupBy("form", "stem", "before").agg(F.max("toxic").alias("toxic"), F.max("clean").alias("clean"))
     c = c.groupBy("form", "stem").agg(F.sum((F.col("toxic") & ~F.col("clean")).cast("long")).alias("p"), F.sum(F.col("clean").cast("long")).alias("n"))
+    c = materialise(c, "forms")
     base = c.where("not stem").agg(F.sum("p"), F.sum("n"), F.count("*")).first()
     if not base[0] or not base[1]:
         return []
@@ -173,7 +302,7 @@ def learn_insults(rows: DataFrame) -> list[tuple[str, bool]]:
     p, n = F.col("p"), F.col("n")
     m = p + n
     g = 2 * (p * F.log(p / (m * share)) + F.when(n > 0, n * F.log(n / (m * (1 - share)))).otherwise(0.0))
-    found = c.where(p > 0).withColumn("g", g).where((F.col("g") > float(need)) & (p >= 0.9 * m)).orderBy(F.desc("g"), "form").limit(2000).collect()
+    found = c.where(p > 0).withColumn("g", g).where((F.col("g") > float(need)) & (p >= 0.9 * m)).orderBy(F.desc("g"), "form").collect()
     # A longer form that holds nearly all of a stem's contexts says the same more exactly.
     exact = {r["form"] for r in found if r["stem"] and any(o is not r and o["form"].startswith(r["form"]) and o["p"] >= 0.9 * r["p"] for o in found)}
     found = [r for r in found if not (r["stem"] and r["form"] in exact)]
@@ -186,7 +315,7 @@ def learn_insults(rows: DataFrame) -> list[tuple[str, bool]]:
 
 def _features(grammar: Grammar):
     def rows(batches):
-        for b in batches:
+        for b in slices(batches, column=0):
             x = [grammar.clauses(t).tolist() for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
@@ -214,33 +343,43 @@ def sample_labels(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "y")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Grammar, np.ndarray]:
-    rows = sample_labels(docs, labels, "toxic", sample).cache()
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
+    """The grammar with its weights."""
+    rows = materialise(sample_labels(docs, labels, "toxic", sample), "sample")
     grammar = Grammar(*lexicon(learn_insults(rows)))
     got = rows.mapInArrow(_features(grammar), "x array<double>, y boolean").collect()
-    rows.unpersist()
     y = np.array([r["y"] for r in got], float)
     if not len(y) or y.min() == y.max():
-        return grammar, np.append(PRIOR, PRIOR_BIAS)
-    return grammar, fit_weights(np.array([r["x"] for r in got]), y, weights=label_weights(docs, labels, "toxic", y))
+        return grammar.weigh(np.append(PRIOR, PRIOR_BIAS))
+    return grammar.weigh(fit_weights(np.array([r["x"] for r in got]), y, weights=label_weights(docs, labels, "toxic", y)))
 
 
-def _score(grammar: Grammar, w: np.ndarray):
+def _score(grammar: Grammar):
     def rows(batches):
-        for b in batches:
-            x = np.array([grammar.clauses(t) for t in b.column(1).to_pylist()]).reshape(-1, len(PATTERNS))
-            s = _logistic(np.log1p(x) @ w[:-1] + w[-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(x.sum(1).astype(np.int64), pa.int64())], names=["doc_id", "score", "clauses"])
+        for b in slices(batches):
+            s, n = grammar.score(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(n, pa.int64())], names=["doc_id", "score", "clauses"])
 
     return rows
 
 
-def score(docs: DataFrame, grammar: Grammar, weights: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """doc_id, score, clauses (matched) of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(grammar, weights), "doc_id long, score double, clauses long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(grammar), "doc_id long, score double, clauses long")
+
+
+def keep_clean(docs: DataFrame, grammar: Grammar, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that score under the threshold."""
+    at = docs.columns.index("text")
+
+    def rows(batches):
+        for b in slices(batches, column=at):
+            yield b.filter(pa.array(grammar.score(b.column(at).to_pylist())[0] < threshold))
+
+    return docs.mapInArrow(rows, docs.schema)
 
 
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    s = score(docs, *train(docs, table(spark, sf_dir, "labels")))
+    s = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return s.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "clauses")

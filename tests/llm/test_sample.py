@@ -12,7 +12,7 @@ def test_scores_keep_the_share_of_labels(spark):
     n = spark.createDataFrame([(i, int(y[i]), int(not y[i])) for i in range(1500)], "doc_id long, quality int, toxic int")
     for sample in (60, 4000):
         assert abs(quality.score(d, quality.train(d, n, sample)).first()["score"] - 0.1) < 0.03
-        assert toxicity.score(d, *toxicity.train(d, n, sample)).first()["score"] > 0.8
+        assert toxicity.score(d, toxicity.train(d, n, sample)).first()["score"] > 0.8
 
 
 def test_weights_are_those_of_all_rows():
