@@ -1,33 +1,43 @@
 """HTML main-text extraction with a suffix array per host.
 
-A page is read as a stream of tags and text. Text inside a marked article (article, main, role=main) is the main text;
-text in parts that markup or class names call menus, headers, footers, sidebars, notices, adverts, forms or comments is
-not. A page without a marked article keeps what its host does not repeat: the words of the host's pages outside marked
-articles are concatenated with separators, a suffix array with longest common prefixes finds the runs of `run` words or
-more that occur in two distinct pages or more, and covered runs go. A page all but covered is a copy of another, not
-boilerplate, and stays whole. Inside a marked article nothing is removed for being repeated: articles quote and repeat each
-other, and such text belongs to them.
-
-A host's pages are dealt to shards of about `per_shard` pages; windows of words that no page of a shard shares are then
-compared between the shards of a host by their hashes, aggregated before they travel, so a host of any size gives what
-one array over it would give.
-
-Defined cases: null html gives empty text; null url is a host of its own; rows repeated with one page_id give a row each;
-an empty table gives an empty result; other columns are ignored.
+A page is read as a stream of blocks of words. Markup gives each block a feature: within a marked article (article, main,
+role=main), within a part that tags, roles or whole class tokens call a menu, header, footer, sidebar, notice, advert, form
+or comments, or neither. A mark never silences an article or what surrounds it, unless the page has another article outside
+marks; only menus, footers, asides, comments and related items hold articles that are not the page's own.
+
+The streams of a host's distinct pages are concatenated, blocks parted by pads and pages by separators, and a suffix array with
+longest common prefixes counts for each run of `run` words in how many distinct pages it is found. It decides every block that
+markup leaves open, inside marked articles and, on pages without one, everywhere: a block goes if each of its runs is found in
+`share` of the host's distinct pages and in `least` of them. Pads let a run end with its block, so that a short block counts as
+a whole. So phrases, quotations and copies among a host's pages stay, and what most of its pages repeat goes, whole blocks at a
+time. Boxes inside an article are a small part of it: if repeated blocks hold over `box` of its words, the page is one of many near
+copies and its article stays whole. On pages with a marked article, text outside it is not main text.
+
+Pages of one content are read once; a host's contents are dealt to shards of about `per_shard` pages and `per_words` words. A run
+that is found in `share` of a host's pages is so in a shard of it at least, so shards name those, count each other's, and the
+sums decide: a host of any size gives what one array over it would give.
+
+Defined cases: null html gives empty text; null url is a host of its own; very long pages are read whole and have a shard nearly to
+themselves; rows repeated with one page_id, and null page_ids, give a row each; equal pages count as one; a host of fewer than
+`least` distinct pages repeats nothing; a run found in exactly the share goes; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import html
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafweave.llm.common import materialise, table
+from leafweave.llm.common import materialise, slices, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -39,91 +49,147 @@ TOKEN = re.compile(
 ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav footer aside form head dialog menu".split())
-MARKED = frozenset("ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe signup popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus respond share sharing social related recommended footer header masthead topbar toolbar pagination pager widget widgets login search skip".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-RUN = 6
-
-
-def _attributes(raw: str) -> tuple[bool, bool]:
-    """Whether an element's attributes call it boilerplate, and whether they call it the main part."""
-    off = main = False
+#: Elements by what they are for: those that may hold articles of others, those that may wrap a page's own, those that stand on top.
+APART = frozenset("nav footer aside".split())
+WRAPPING = frozenset("form dialog menu".split())
+HEAD = frozenset("title meta link base style script noscript template".split())
+#: Elements that an opening tag ends where they are left open.
+ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"td", "th", "tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+MAIN = frozenset("article main".split())
+#: Class tokens and ids, whole or joined by hyphens with each other and with words that say nothing.
+CALLED_APART = frozenset("comment comments disqus respond related recommended nav navbar navigation menu footer breadcrumb breadcrumbs pagination pager".split())
+CALLED = frozenset("ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe signup popup modal overlay sidebar share sharing social topbar toolbar widget widgets login search skip".split())
+CALLED_TOP = frozenset("header masthead".split())
+PLAIN_WORDS = frozenset("site page main top bottom left right box block container wrapper wrap list section area bar link links text inner outer slot unit item items form reader readers user primary secondary global the js id".split())
+ROLES_APART = frozenset("navigation contentinfo complementary".split())
+ROLES = frozenset("search dialog alert alertdialog menu menubar toolbar form".split())
+#: What a mark does: nothing, silence what does not hold the page's article, silence outside articles, silence all.
+FREE, SOFT, TOP, HARD = 0, 1, 2, 3
+ARTICLE, OPEN, MARKED = 0, 1, 2
+RUN, SHARE, LEAST, BOX = 6, 0.5, 3, 0.2
+PER_SHARD, PER_WORDS = 256, 150_000
+
+
+@functools.lru_cache(4096)
+def _called(token: str) -> int:
+    parts = [x for x in re.split(r"[-_]+", token) if x]
+    marks = CALLED_APART | CALLED | CALLED_TOP
+    if not any(x in marks for x in parts) or not all(x in marks or x in PLAIN_WORDS or x.isdigit() for x in parts):
+        return FREE
+    return HARD if not CALLED_APART.isdisjoint(parts) else SOFT if not CALLED.isdisjoint(parts) else TOP
+
+
+def _attributes(raw: str) -> tuple[int, bool]:
+    """What an element's attributes mark it as, and whether they call it the main part."""
+    mark, main = FREE, False
     for m in ATTR.finditer(raw):
         k, v = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if k in ("class", "id"):
-            off |= not MARKED.isdisjoint(re.split(r"[^a-z0-9]+", v))
+            for x in v.split():
+                mark = max(mark, _called(x))
         elif k == "role":
-            off |= v in ROLES
             main |= v == "main"
-        elif k == "style":
-            off |= "display:none" in v.replace(" ", "")
-        elif k == "hidden" or k == "aria-hidden":
-            off |= v != "false"
-    return off, main
-
-
-def read_page(page: str) -> tuple[list[str] | None, list[tuple[str, bool]]]:
-    """The words of the marked article, None if there is none, and the words outside with whether markup calls them boilerplate."""
-    main: list[str] = []
-    rest: list[list] = []
-    stack: list[tuple[str, bool, bool]] = []
-    off = inside = seen = False
-    at, parts = 0, None
-
-    def text(s: str) -> None:
-        nonlocal parts
-        if inside:
-            if not off:
-                main.append(s)
-        else:
-            if parts is None or parts[1] != off:
-                parts = [[], off]
-                rest.append(parts)
-            parts[0].append(s)
+            mark = max(mark, HARD if v in ROLES_APART else SOFT if v in ROLES else TOP if v == "banner" else FREE)
+        elif (k == "style" and "display:none" in v.replace(" ", "")) or (k in ("hidden", "aria-hidden") and v != "false"):
+            mark = max(mark, SOFT)
+    return mark, main
+
+
+class _Tree:
+    """A page's elements, as far as they matter, and its text by element; None in the text is the border of a block."""
+
+    def __init__(self):
+        self.parent, self.mark, self.main, self.wraps = [-1], [FREE], [False], [False]
+        self.text: list[tuple[int, str] | None] = []
+
+    def add(self, parent: int, mark: int, main: bool, wraps: bool) -> int:
+        for x, v in ((self.parent, parent), (self.mark, mark), (self.main, main), (self.wraps, wraps)):
+            x.append(v)
+        return len(self.parent) - 1
+
+    def zones(self) -> tuple[list[int], bool]:
+        """The zone of each element, and whether any is a marked article."""
+
+        def resolve(spared: set[int]) -> list[int]:
+            zone = [OPEN]
+            for k in range(1, len(self.parent)):
+                above, mark = zone[self.parent[k]], self.mark[k]
+                silent = above == MARKED or (not self.main[k] and (mark == HARD or (mark == TOP and above != ARTICLE) or (mark == SOFT and k not in spared)))
+                zone.append(MARKED if silent else ARTICLE if self.main[k] else above)
+            return zone
+
+        zone = resolve(set())
+        if ARTICLE in zone or not any(self.main):
+            return zone, ARTICLE in zone
+        # Every article lies in something marked: what wraps one, and is not apart, does not silence it.
+        spared: set[int] = set()
+        for k, main in enumerate(self.main):
+            way, at = [], k
+            while main and at > 0:
+                way.append(at)
+                at = self.parent[at]
+            if not any(self.mark[x] == HARD and not self.main[x] for x in way):
+                spared.update(way)
+        zone = resolve(spared)
+        return zone, ARTICLE in zone
+
+
+def read_page(page: str) -> tuple[list[tuple[list[str], int]], bool]:
+    """The blocks of a page, each its words and zone, and whether the page marks an article."""
+    tree, stack, at = _Tree(), [("", 0)], 0
+
+    def border():
+        if tree.text and tree.text[-1] is not None:
+            tree.text.append(None)
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            text(html.unescape(page[at : m.start()]))
+            tree.text.append((stack[-1][1], html.unescape(page[at : m.start()])))
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
-            if not m[1]:
-                continue
-            text(" ")
-            continue
-        if tag in INLINE and tag not in ("label",):
-            if not m[2] and m[4]:
-                o, _ = _attributes(m[4])
-                if o:
-                    stack.append((tag, off, inside))
-                    off = True
-                    continue
-            elif m[2] and stack and stack[-1][0] == tag:
-                _, off, inside = stack.pop()
+            if m[1]:
+                border()
             continue
-        text(" ")
+        inline = tag in INLINE and tag != "label"
+        if not inline:
+            border()
         if tag in VOID:
             continue
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
-                    _, off, inside = stack[k]
                     del stack[k:]
                     break
             continue
-        if tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "tr", "td", "th", "option") and not m[4]:
-            continue  # needs no state of its own, and is often left open
-        stack.append((tag, off, inside))
-        o, called = _attributes(m[4]) if m[4] else (False, False)
-        if called or tag in ("article", "main"):
-            if not o and not off:
-                inside = seen = True
-        off |= o or tag in DROPPED or (tag == "header" and not inside)
-        text(" ")
+        mark, main = _attributes(m[4]) if m[4] else (FREE, False)
+        if inline and mark == FREE and not any(x[0] == tag for x in stack):
+            continue  # of no state, nor inside one whose end it could be taken for
+        while stack[-1][0] in ENDS.get(tag, ()) or (not inline and stack[-1][0] == "p") or (stack[-1][0] == "head" and tag not in HEAD):
+            stack.pop()
+        main |= tag in MAIN
+        if tag in APART or tag == "head":
+            mark = HARD
+        elif tag == "header":
+            mark = max(mark, TOP)
+        elif tag in WRAPPING:
+            mark = max(mark, SOFT)
+        elif tag in ("html", "body"):
+            mark = FREE
+        stack.append((tag, tree.add(stack[-1][1], mark, main, tag in WRAPPING)))
     if at < len(page):
-        text(html.unescape(page[at:]))
-    outside = [(w, o) for p, o in rest for w in "".join(p).split()]
-    return ("".join(main).split() if seen else None), outside
+        tree.text.append((stack[-1][1], html.unescape(page[at:])))
+    zone, seen = tree.zones()
+    blocks, parts = [], {}
+    for x in [*tree.text, None]:
+        if x is not None:
+            parts.setdefault(zone[x[0]], []).append(x[1])
+            continue
+        for z, strings in parts.items():
+            if w := "".join(strings).split():
+                blocks.append((w, z))
+        parts = {}
+    return blocks, seen
 
 
 def _host(url: str | None) -> str:
@@ -131,20 +197,32 @@ def _host(url: str | None) -> str:
     return m[1].rpartition("@")[2].partition(":")[0].lower() if m else ""
 
 
+READ = "uid long, page_id long, url string, host string, key long, open int, n int, words string, ends array<int>, zones array<int>"
+
+
 def _read(batches):
-    for b in batches:
-        hosts, mains, words, marks = [], [], [], []
+    task, row = TaskContext.get().partitionId(), 0
+    for b in slices(batches, column=2):
+        out = [[] for _ in range(8)]
         for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            m, rest = read_page(h or "")
-            hosts.append(_host(u))
-            mains.append(None if m is None else " ".join(m))
-            words.append([w for w, _ in rest])
-            marks.append([o for _, o in rest])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array(mains, pa.string()), pa.array(words, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.bool_()))], names=["page_id", "url", "host", "main", "words", "marks"])
+            blocks, seen = read_page(h or "")
+            words = " ".join(w for x, _ in blocks for w in x)
+            ends, zones = np.cumsum([len(x) for x, _ in blocks], dtype=np.int32), np.array([z for _, z in blocks], np.int32)
+            zone = ARTICLE if seen else OPEN
+            key = xxhash.xxh64_intdigest(words.encode() + b"\0" + ends.tobytes() + zones.tobytes() + bytes([zone])) - (1 << 63)
+            for o, v in zip(out, ((task << 40) + row, _host(u), key, zone, int(ends[-1]) if len(ends) else 0, words, ends, zones), strict=True):
+                o.append(v)
+            row += 1
+        ints = pa.list_(pa.int32())
+        cols = [pa.array(out[0], pa.int64()), b.column(0), b.column(1), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.string()), pa.array(out[6], ints), pa.array(out[7], ints)]
+        yield pa.RecordBatch.from_arrays(cols, names=["uid", "page_id", "url", "host", "key", "open", "n", "words", "ends", "zones"])
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """By prefix doubling."""
+# --- the array ----------------------------------------------------------------------------------
+
+
+def suffix_array(s: np.ndarray, most: int | None = None) -> np.ndarray:
+    """By prefix doubling; with `most`, suffixes are told apart by their first `most` tokens at least."""
     n = len(s)
     rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
     k = 1
@@ -158,9 +236,9 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         new = np.empty(n, np.int64)
         new[order] = np.cumsum(step)
         rank = new
-        if rank[order[-1]] == n - 1 or k >= n:
-            return order
         k *= 2
+        if rank[order[-1]] == n - 1 or k >= n or (most is not None and k >= most):
+            return order
 
 
 def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
@@ -174,94 +252,187 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     return lcp
 
 
-def repeated(pages: list[list[str]], run: int = RUN) -> list[np.ndarray]:
-    """For each page, which of its words lie in a run of at least `run` words found in two distinct pages or more."""
-    lengths = [len(p) for p in pages]
-    n = sum(lengths) + len(pages)
-    words, page = np.empty(n, object), np.repeat(np.arange(len(pages)), [x + 1 for x in lengths])
-    s, ids, at, starts = np.empty(n, np.int64), {}, 0, []
-    for i, p in enumerate(pages):
-        starts.append(at)
-        for w in p:
-            s[at] = ids.setdefault(w, len(ids))
-            at += 1
-        s[at] = -1 - i  # a separator that occurs once
-        at += 1
-    del words
-    sa = suffix_array(s)
-    lcp = common_prefixes(s, sa, run)
-    group = np.cumsum(lcp < run)
-    own = page[sa]
-    lo, hi = np.full(group[-1] + 1, len(pages)), np.full(group[-1] + 1, -1)
-    np.minimum.at(lo, group, own)
-    np.maximum.at(hi, group, own)
-    shared = (lo < hi)[group]
-    marks = np.zeros(n + 1, np.int64)
-    begin = sa[shared]
-    np.add.at(marks, begin, 1)
-    np.add.at(marks, np.minimum(begin + run, n), -1)
-    covered = np.cumsum(marks[:n]) > 0
-    return [covered[a : a + k] for a, k in zip(starts, lengths, strict=True)]
-
-
-def _windows(words: list[str], run: int) -> list[int]:
-    return [xxhash.xxh64_intdigest("\x00".join(words[i : i + run]).encode()) - (1 << 63) for i in range(len(words) - run + 1)]
-
-
-SHARD = "page_id long, url string, host string, wanted boolean, words array<string>, marks array<boolean>, covered array<boolean>, open array<long>"
-
-
-def _shard(run: int):
+class Streams:
+    """The token streams of pages, concatenated: run - 1 pads around every block, a separator of its own after every page."""
+
+    def __init__(self, words: list[str], ends: list[list[int]], run: int):
+        ids: dict[str, int] = {}
+        parts, page, first, last, owner, at = [], [], [], [], [], 0
+        pad = np.full(run - 1, -1, np.int64)
+        for i, (w, e) in enumerate(zip(words, ends, strict=True)):
+            t = np.array([ids.setdefault(x, len(ids)) for x in w.split(" ")] if w else [], np.int64)
+            begin, size = 0, 0
+            for end in e:
+                parts += [pad, t[begin:end]]
+                first.append(at + size)  # of the block's runs, the first begins with its pads
+                size += run - 1 + end - begin
+                last.append(at + size)  # and the last with its last word
+                owner.append(i)
+                begin = end
+            parts += [pad, np.array([-2 - i])]
+            size += run
+            page.append(np.full(size, i))
+            at += size
+        self.run, self.s, self.page = run, np.concatenate(parts) if parts else np.zeros(0, np.int64), np.concatenate(page) if page else np.zeros(0, np.int64)
+        self.first, self.last, self.owner, self.words = np.array(first, np.int64), np.array(last, np.int64), np.array(owner, np.int64), list(ids)
+
+    def counts(self) -> np.ndarray:
+        """For each place, in how many distinct pages the run that begins there is found."""
+        if not len(self.s):
+            return np.zeros(0, np.int64)
+        sa = suffix_array(self.s, self.run)
+        group = np.cumsum(common_prefixes(self.s, sa, self.run) < self.run)
+        pages = int(self.page[-1]) + 1
+        held = np.unique(group * pages + self.page[sa]) // pages
+        out = np.empty(len(sa), np.int64)
+        out[sa] = np.bincount(held, minlength=group[-1] + 1)[group]
+        return out
+
+    def keys(self) -> np.ndarray:
+        """A hash of the run that begins at each place, the same in every shard."""
+        of = np.array([xxhash.xxh64_intdigest(w, 1) for w in self.words] + [7], np.uint64)  # the last for pads
+        h = of[np.where(self.s < 0, len(of) - 1, self.s)]
+        out = np.zeros(len(h), np.uint64)
+        ext = np.concatenate([h, np.zeros(self.run, np.uint64)])
+        with np.errstate(over="ignore"):
+            for j in range(self.run):
+                out = out * np.uint64(0x9E3779B97F4A7C15) + ext[j : j + len(h)]
+                out ^= out >> np.uint64(29)
+        return out.view(np.int64)
+
+    def within(self) -> np.ndarray:
+        """The places where a run of a block begins."""
+        step = np.zeros(len(self.s) + 1, np.int64)
+        np.add.at(step, self.first, 1)
+        np.add.at(step, self.last, -1)
+        return np.cumsum(step[:-1]) > 0
+
+    def least(self, values: np.ndarray) -> list[list]:
+        """By page, of each block the least of its runs' values."""
+        out: list[list] = [[] for _ in range(int(self.page[-1]) + 1)] if len(self.page) else []
+        if len(self.first):
+            cuts = np.column_stack([self.first, self.last]).ravel()
+            low = np.minimum.reduceat(np.append(values, values[-1:]), cuts)[::2]
+            for i, v in zip(self.owner.tolist(), low.tolist(), strict=True):
+                out[i].append(v)
+        return out
+
+
+def needed(pages: int, share: float = SHARE, least: int = LEAST) -> int:
+    """In how many of a host's distinct pages a run must be found to be repeated."""
+    return max(least, math.ceil(share * pages - 1e-9))
+
+
+def kept(words: str, ends: list[int], zones: list[int], zone: int, gone: list[bool], box: float) -> tuple[str, int]:
+    """The main text of a page, and how many of its words the array took."""
+    w, begin, text, size, lost = words.split(" ") if words else [], 0, [], 0, 0
+    own = []
+    for end, z, g in zip(ends, zones, gone, strict=True):
+        if z == zone:
+            own.append((begin, end, g))
+            size += end - begin
+            lost += g * (end - begin)
+        begin = end
+    if zone == ARTICLE and lost > box * size:
+        own, lost = [(a, b, False) for a, b, _ in own], 0
+    for a, b, g in own:
+        if not g:
+            text += w[a:b]
+    return " ".join(text), lost
+
+
+TEXT = "host string, key long, text string, n_repeated int"
+TEXT_ARROW = pa.schema([("host", pa.string()), ("key", pa.int64()), ("text", pa.string()), ("n_repeated", pa.int32())])
+
+
+def _columns(t: pa.Table, *names: str):
+    return (t.column(n).to_pylist() for n in names)
+
+
+def _texts(t: pa.Table, gone: list[list[bool]], box: float) -> pa.Table:
+    out = [kept(*x, g, box) for x, g in zip(zip(*_columns(t, "words", "ends", "zones", "open"), strict=True), gone, strict=True)]
+    return pa.table([t.column("host"), t.column("key"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32())], schema=TEXT_ARROW)
+
+
+def _whole(run: int, share: float, least: int, box: float):
+    """A host in one shard: the array decides."""
+
     def rows(t: pa.Table) -> pa.Table:
-        words = [w or [] for w in t.column("words").to_pylist()]
-        cov = repeated(words, run)
-        several = t.column("shards")[0].as_py() > 1
-        open_ = []
-        for w, c in zip(words, cov, strict=True):
-            h = _windows(w, run) if several else []
-            open_.append(sorted({x for i, x in enumerate(h) if not c[i : i + run].all()}))
-        return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "host": t.column("host"), "wanted": t.column("wanted"), "words": t.column("words"), "marks": t.column("marks"), "covered": pa.array([c.tolist() for c in cov], pa.list_(pa.bool_())), "open": pa.array(open_, pa.list_(pa.int64()))})
+        s = Streams(*_columns(t, "words", "ends"), run)
+        need = needed(t.num_rows, share, least)
+        return _texts(t, [[v >= need for v in x] for x in s.least(s.counts())], box)
 
     return rows
 
 
-def _keep(run: int):
-    def rows(batches):
-        for b in batches:
-            out = []
-            for words, marks, cov, more in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                cov = np.array(cov, bool)
-                if more:
-                    more = set(more)
-                    for i, x in enumerate(_windows(words, run)):
-                        if x in more:
-                            cov[i : i + run] = True
-                own = [i for i, m in enumerate(marks) if not m]
-                left = [i for i in own if not cov[i]]
-                if len(left) < 0.1 * len(own):
-                    left = own
-                out.append(" ".join(words[i] for i in left))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+def _often(run: int, share: float):
+    """A shard: the runs that are found in the share of its own pages."""
+
+    def rows(t: pa.Table) -> pa.Table:
+        s = Streams(*_columns(t, "words", "ends"), run)
+        w = np.unique(s.keys()[(s.counts() >= share * t.num_rows - 1e-9) & s.within()])
+        return pa.table({"host": pa.array([t.column("host")[0].as_py()] * len(w), pa.string()), "w": pa.array(w, pa.int64())})
+
+    return rows
+
+
+def _count(run: int):
+    """A shard: in how many of its pages each run that some shard named is found."""
+
+    def rows(t: pa.Table, named: pa.Table) -> pa.Table:
+        found, k = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if t.num_rows and named.num_rows:
+            s = Streams(*_columns(t, "words", "ends"), run)
+            sought = np.unique(named.column("w").to_numpy())
+            keys = s.keys()
+            at = np.minimum(np.searchsorted(sought, keys), len(sought) - 1)
+            hit = (sought[at] == keys) & s.within()
+            pairs = np.unique(at[hit] * t.num_rows + s.page[hit]) // t.num_rows
+            found, k = np.unique(pairs, return_counts=True)
+            found = sought[found]
+        host = t.column("host")[0].as_py() if t.num_rows else None
+        return pa.table({"host": pa.array([host] * len(found), pa.string()), "w": pa.array(found, pa.int64()), "k": pa.array(k, pa.int64())})
+
+    return rows
+
+
+def _decide(run: int, box: float):
+    """A shard: its texts without the blocks all of whose runs are repeated."""
+
+    def rows(t: pa.Table, repeated: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return TEXT_ARROW.empty_table()
+        s = Streams(*_columns(t, "words", "ends"), run)
+        hit = np.isin(s.keys(), repeated.column("w").to_numpy()) if repeated.num_rows else np.zeros(len(s.s), bool)
+        return _texts(t, s.least(hit), box)
 
     return rows
 
 
-def extract(pages: DataFrame, run: int = RUN, per_shard: int = 1000) -> DataFrame:
-    """page_id, url, text of every row of pages."""
+def extract(pages: DataFrame, run: int = RUN, share: float = SHARE, least: int = LEAST, box: float = BOX, per_shard: int = PER_SHARD, per_words: int = PER_WORDS) -> DataFrame:
+    """page_id, url, text, n_repeated (words that the array took) of every row of pages."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    read = materialise(p.mapInArrow(_read, "page_id long, url string, host string, main string, words array<string>, marks array<boolean>"), "read")
-    marked = read.where("main is not null").select("page_id", "url", F.col("main").alias("text"))
-    hosts = read.groupBy("host").agg(F.count("*").alias("n")).select("host", F.ceil(F.col("n") / per_shard).cast("long").alias("shards"))
-    w = read.select("page_id", "url", "host", F.col("main").isNull().alias("wanted"), "words", "marks")
-    w = w.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")))
-    w = w.repartition("host", "shard")  # else the join's deal by host alone would serve, and a large host be one task
-    s = materialise(w.groupBy("host", "shard").applyInArrow(_shard(run), SHARD), "shards")
-    o = s.where(F.size("open") > 0).select("host", "page_id", F.explode("open").alias("w"))
-    again = o.groupBy("host", "w").agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).where("lo < hi").select("host", "w")
-    more = o.join(again, ["host", "w"]).groupBy("page_id").agg(F.collect_set("w").alias("more"))
-    undecided = s.where("wanted").join(more, "page_id", "left").select("page_id", "url", "words", "marks", "covered", "more")
-    return marked.unionByName(undecided.mapInArrow(_keep(run), "page_id long, url string, text string"))
+    read = materialise(p.mapInArrow(_read, READ), "read")
+    contents = materialise(read.groupBy("host", "key").agg(F.min("uid").alias("uid"), F.max("n").alias("n")), "contents")
+    hosts = contents.groupBy("host").agg(F.count("*").alias("pages"), F.greatest(F.ceil(F.count("*") / per_shard), F.ceil(F.sum("n") / per_words)).cast("long").alias("shards"))
+    hosts = materialise(hosts, "hosts")
+    dealt = contents.join(hosts, "host").select("uid", "pages", "shards", F.pmod("key", "shards").alias("shard"))
+    reps = read.select("uid", "host", "key", "open", "words", "ends", "zones").join(dealt, "uid")
+    reps = materialise(reps.repartition("host", "shard"), "streams")
+    one = reps.where("shards = 1").groupBy("host", "shard").applyInArrow(_whole(run, share, least, box), TEXT)
+    many = reps.where("shards > 1")
+    large = hosts.where("shards > 1")
+    each = large.select("host", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"))
+    named = materialise(many.groupBy("host", "shard").applyInArrow(_often(run, share), "host string, w long").distinct(), "named")
+    named = named.join(each, "host")
+    counted = many.groupBy("host", "shard").cogroup(named.groupBy("host", "shard")).applyInArrow(_count(run), "host string, w long, k long")
+    counted = counted.groupBy("host", "w").agg(F.sum("k").alias("k")).join(large, "host")
+    need = F.greatest(F.lit(least), F.ceil(F.col("pages") * share - 1e-9))
+    repeated = materialise(counted.where(F.col("k") >= need).select("host", "w"), "repeated").join(each, "host")
+    rest = many.groupBy("host", "shard").cogroup(repeated.groupBy("host", "shard")).applyInArrow(_decide(run, box), TEXT)
+    texts = materialise(one.unionByName(rest), "texts")
+    return read.select("page_id", "url", "host", "key").join(texts, ["host", "key"]).select("page_id", "url", "text", "n_repeated")
 
 
 def op9_html_extract(spark, sf_dir):
-    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated")
