@@ -5,16 +5,18 @@ its deficit counter cut down to whole chunks of `chunk` tokens, and the rest of
 The chunks of all queues, round after round, form one stream, cut every `window` tokens; so any stretch of the stream
 holds each source in its target proportion to within a chunk, and every window but the last is full.
 
-What a queue has sent after r rounds has a closed form, S_i(r) = chunk * floor(r * quantum_i / chunk), at most its total.
-So any task can place any chunk by itself: deficits carry over windows and over partitions without a sequential pass.
-Only totals travel: tokens by queue (at most `max_queues` rows, the bound on what is collected) and by queue and bucket.
-
-A document's ids are made once and written with 16 bits each; documents meet in buckets of about `per_bucket` of one
-queue, a hot source having more buckets. Targets default to the sources' own shares.
-
-Defined cases: null text is empty (its one id 0 is still packed); null source is a queue of its own; beyond
-max_queues sources, queues are hash groups of sources; rows repeated with one doc_id are packed each; an empty table
-gives an empty result; other columns are ignored.
+What a queue has sent after r rounds has a closed form, S_i(r) = chunk * floor(r * quantum_i / chunk), at most its total; so
+chunk c of queue i leaves in round ceil(end of c / quantum_i), known without any other queue. Chunks sorted by round, queue and
+place are the stream, and a running sum of their lengths is where each stands: sums within the ranges of a distributed sort, then
+over the ranges. Deficits so carry over windows and partitions without a sequential pass, for any number of queues; nothing comes to
+the driver but a sum for each range (at most `RANGES`).
+
+A document's ids are made once and written with 16 bits each; documents meet in buckets of about `per_bucket` of all queues.
+Targets default to the sources' own shares; given weights must name every source.
+
+Defined cases: null text is empty (its one id 0 is still packed); null source is a queue of its own, named ''; very long texts are
+encoded whole and cut into pieces; rows repeated with one doc_id, and rows with a null one, are packed each; of queues that send in
+one round the lesser name comes first; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,15 +28,19 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafweave.llm.common import materialise, table
+from leafweave.llm.common import buckets_for, materialise, table
 
+#: Parts of a token in a quantum; a queue of up to 2^46 tokens stays within 64 bits.
 UNIT = 1 << 16
 #: Of text encoded at a time.
-TEXT_BYTES = 12 << 20
+TEXT_BYTES = 6 << 20
+#: Chunks in a range of the sort, and how many ranges there are at most.
+PER_RANGE, RANGES = 250_000, 10_000
 #: The vocabulary's own pattern (a fixed value) and where it never joins: before a space, around a newline. Texts with a
 #: longer run of white space, white space of another kind, an added token or the mark itself are encoded whole.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -152,98 +158,142 @@ def _slices(batches, most: int):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+TOKENS = "row long, doc_id long, source string, n long, ids binary"
+
+
 def _tokenise(vocabulary: str):
     def rows(batches):
         encode = Encoder(vocabulary)
         end = np.zeros(1, encode.dtype).tobytes()
+        row = TaskContext.get().partitionId() << 40
         for t in _slices(batches, TEXT_BYTES):
             text = pc.fill_null(t.column(1), "").combine_chunks()
             ids = [x + end for x in encode(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text)]
             n = [len(x) // len(end) for x in ids]
-            out = pa.table({"doc_id": t.column(0), "source": t.column(2), "n": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.binary())})
-            yield from out.to_batches(max_chunksize=4000)
+            out = pa.table({"row": pa.array(range(row, row + len(n)), pa.int64()), "doc_id": t.column(0), "source": t.column(2), "n": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.binary())})
+            row += len(n)
+            yield from out.to_batches(max_chunksize=2000)
 
     return rows
 
 
-def sent(rounds: np.ndarray, quantum: np.ndarray, total: np.ndarray, chunk: int) -> np.ndarray:
-    """Tokens each queue (column) has sent after each number of rounds (row)."""
-    due = rounds[:, None] * quantum[None, :]
-    return np.where(due >= total * UNIT, total, np.minimum(total, chunk * (due // (chunk * UNIT))))
+def quanta(queues: DataFrame, weights: dict[str, float] | None, window: int) -> DataFrame:
+    """source, total, quantum: what a round grants each queue, in parts of a token."""
+    if weights is None:
+        share = queues.select("source", "total", F.col("total").cast("double").alias("share"))
+    else:
+        given = queues.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, share double")
+        share = queues.join(given, "source", "left")
+        if share.where("share is null or not share > 0").limit(1).count():
+            raise ValueError("weights must give every source a target above 0")
+    whole = share.agg(F.sum("share")).first()[0] or 1.0
+    return share.select("source", "total", F.greatest(F.lit(1), F.round(F.col("share") / whole * window * UNIT)).cast("long").alias("quantum"))
 
 
-def place(chunks: np.ndarray, queue: int, quantum: np.ndarray, total: np.ndarray, chunk: int) -> np.ndarray:
-    """The offset in the stream of the first token of each of a queue's chunks."""
-    end = np.minimum((chunks + 1) * chunk, total[queue])
-    rounds = -(-end * UNIT // quantum[queue])
-    out = np.empty(len(chunks), np.int64)
-    for at in range(0, len(chunks), 4096):
-        s = slice(at, at + 4096)
-        before, after = sent(rounds[s] - 1, quantum, total, chunk), sent(rounds[s], quantum, total, chunk)
-        out[s] = before.sum(1) + (after - before)[:, :queue].sum(1) + chunks[s] * chunk - before[:, queue]
-    return out
+ORDER = "source string, c long, round long, part int, at long, n long"
 
 
-PIECE = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-PIECE_ARROW = [("doc_id", pa.int64()), ("source", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
+def _running(batches):
+    """Where each chunk of a range stands in it."""
+    part, at = TaskContext.get().partitionId(), 0
+    for b in batches:
+        n = b.column(3).to_numpy()
+        ends = at + np.cumsum(n)
+        if len(n):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.full(len(n), part), pa.int32()), pa.array(ends - n, pa.int64()), b.column(3)], names=["source", "c", "round", "part", "at", "n"])
+            at = int(ends[-1])
+
+
+def stream(spans: DataFrame, tokens: int, chunk: int) -> DataFrame:
+    """source, c, g: the place in the stream of the first token of every chunk. spans: stretches (base, m) of the queues, with total and quantum."""
+    first = F.expr(f"(base + {chunk} - 1) div {chunk}")
+    after = F.expr(f"(base + m + {chunk} - 1) div {chunk}")
+    own = spans.where(first < after).select("source", "total", "quantum", F.explode(F.sequence(first, after - 1)).alias("c"))
+    end = F.least((F.col("c") + 1) * chunk, F.col("total"))
+    own = own.select("source", "c", F.expr(f"(least((c + 1) * {chunk}, total) * {UNIT} + quantum - 1) div quantum").alias("round"), (end - F.col("c") * chunk).alias("n"))
+    ranges = min(RANGES, buckets_for(tokens, chunk * PER_RANGE))
+    by = ["round", "source", "c"]
+    order = materialise(own.repartitionByRange(ranges, *by).sortWithinPartitions(*by).mapInArrow(_running, ORDER), "order")
+    parts = order.groupBy("part").agg(F.min(F.struct(*by)).alias("first"), F.sum("n").alias("n")).orderBy("first").collect()
+    before = np.cumsum([0] + [r["n"] for r in parts]).tolist()
+    starts = spans.sparkSession.createDataFrame([(r["part"], x) for r, x in zip(parts, before, strict=False)], "part int, start long")
+    return order.join(F.broadcast(starts), "part").select("source", "c", (F.col("start") + F.col("at")).alias("g"))
 
 
-def _pieces(names: list[str], quantum: np.ndarray, total: np.ndarray, chunk: int, window: int):
-    def rows(t: pa.Table) -> pa.Table:
-        ids, raw = t.column("doc_id").to_pylist(), t.column("ids").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, raw[i]))
-        n = t.column("n").to_numpy()[order]
-        q = names.index(t.column("queue")[0].as_py())
-        last = t.column("base")[0].as_py() + np.cumsum(n)
-        first = last - n
-        c0 = first // chunk
-        k = (last - 1) // chunk - c0 + 1
-        doc = np.repeat(np.arange(len(n)), k)
-        c = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + c0[doc]
-        a, b = np.maximum(first[doc], c * chunk), np.minimum(last[doc], (c + 1) * chunk)
-        own, back = np.unique(c, return_inverse=True)
-        g = place(own, q, quantum, total, chunk)[back] + a - c * chunk
-        # A piece that crosses a window's end is cut there.
-        cut = (g // window + 1) * window - g
-        two = cut < b - a
+PIECE = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+
+
+def _cut(n: np.ndarray, base: int, places: np.ndarray, chunk: int, window: int):
+    """The pieces (document, start, length, place in the stream) of documents of n tokens that follow each other in a queue from base on."""
+    last = base + np.cumsum(n)
+    first = last - n
+    c0 = first // chunk
+    k = (last - 1) // chunk - c0 + 1
+    doc = np.repeat(np.arange(len(n)), k)
+    c = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + c0[doc]
+    a, b = np.maximum(first[doc], c * chunk), np.minimum(last[doc], (c + 1) * chunk)
+    g = places[c - base // chunk] + a - c * chunk
+    # A piece that crosses windows' ends is cut there.
+    while (two := (cut := (g // window + 1) * window - g) < b - a).any():
         doc, a, b, g = (np.concatenate(x) for x in ((doc, doc[two]), (a, (a + cut)[two]), (np.where(two, a + cut, b), b[two]), (g, (g + cut)[two])))
-        o = np.lexsort((a, doc))
-        doc, a, b, g = doc[o], a[o], b[o], g[o]
-        # Neighbours in their document that are neighbours in one window are one piece.
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (g[1:] != g[:-1] + (b - a)[:-1]) | (g[1:] % window == 0)
-        heads = np.flatnonzero(new)
-        tails = np.append(heads[1:], len(doc)) - 1
-        doc, g, start, length = doc[heads], g[heads], a[heads] - first[doc[heads]], b[tails] - a[heads]
-        size = 4
+    o = np.lexsort((a, doc))
+    doc, a, b, g = doc[o], a[o], b[o], g[o]
+    # Neighbours in their document that are neighbours in one window are one piece.
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (g[1:] != g[:-1] + (b - a)[:-1]) | (g[1:] % window == 0)
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(doc)) - 1
+    return doc[heads], a[heads] - first[doc[heads]], b[tails] - a[heads], g[heads]
+
+
+def _pieces(chunk: int, window: int):
+    def rows(t: pa.Table, held: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return PIECE_ARROW.empty_table()
+        ids, raw, source = (t.column(x).to_pylist() for x in ("doc_id", "ids", "source"))
+        order = sorted(range(len(ids)), key=lambda i: (source[i], ids[i] is not None, ids[i] or 0, raw[i]))
+        held = held.sort_by([("source", "ascending"), ("c", "ascending")])
+        names = held.column("source").to_pylist()
+        places, base = held.column("g").to_numpy(), held.column("base").to_numpy()
+        n = t.column("n").to_numpy()[order]
+        parts, i, j = [], 0, 0
+        while i < len(order):
+            x, i1, j1 = source[order[i]], i, j
+            while i1 < len(order) and source[order[i1]] == x:
+                i1 += 1
+            while j1 < len(names) and names[j1] == x:
+                j1 += 1
+            doc, start, length, g = _cut(n[i:i1], int(base[j]), places[j:j1], chunk, window)
+            parts.append((doc + i, start, length, g))
+            i, j = i1, j1
+        doc, start, length, g = (np.concatenate(x) for x in zip(*parts, strict=True))
         crc, at = np.empty(len(doc), np.int64), -1
         for i, (d, s, m) in enumerate(zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)):
             if d != at:
                 x = raw[order[d]]
                 view, at = memoryview(np.frombuffer(x, f"<u{len(x) // n[d]}").astype("<u4").tobytes()), d
-            crc[i] = zlib.crc32(view[size * s : size * (s + m)])
-        who = np.array(order)[doc]
-        cols = [t.column("doc_id").take(pa.array(who)), t.column("source").take(pa.array(who)), start, length, crc, n[doc], g // window, g % window]
-        return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, pa.int64()) for x in cols], schema=pa.schema(PIECE_ARROW))
+            crc[i] = zlib.crc32(view[4 * s : 4 * (s + m)])
+        who = pa.array(np.array(order)[doc])
+        cols = [t.column("doc_id").take(who), t.column("source").take(who), *(pa.array(x, pa.int64()) for x in (start, length, crc, n[doc], g // window, g % window))]
+        return pa.table(cols, schema=PIECE_ARROW)
 
     return rows
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 1024, chunk: int = 128, weights: dict[str, float] | None = None, per_bucket: int = 4000, max_queues: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 1024, chunk: int = 128, weights: dict[str, float] | None = None, per_bucket: int = 4000) -> DataFrame:
     """The pieces of every document: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset. weights: target share by source, by default its own."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("source", F.lit("")).alias("source"))
-    t = materialise(d.mapInArrow(_tokenise(vocabulary or default_vocabulary()), "doc_id long, source string, n long, ids binary"), "tokens")
-    many = t.select("source").distinct().limit(max_queues + 1).count() > max_queues
-    t = t.withColumn("queue", F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string") if many else F.col("source"))
-    sums = sorted((r["queue"], r["n"], r["docs"]) for r in t.groupBy("queue").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).collect())
-    names, total = [x[0] for x in sums], np.array([x[1] for x in sums], np.int64)
-    share = total / max(1, total.sum()) if weights is None or many else np.array([weights.get(x, 0.0) for x in names])
-    quantum = np.maximum(1, np.round(share / max(share.sum(), 1e-12) * window * UNIT)).astype(np.int64)
-    sizes = docs.sparkSession.createDataFrame([(x, max(1, -(-k // per_bucket))) for x, _, k in sums], "queue string, buckets long")
-    t = t.join(F.broadcast(sizes), "queue").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.col("buckets"))).drop("buckets")
-    by = t.groupBy("queue", "bucket").agg(F.sum("n").alias("m"))
-    base = by.withColumn("base", F.sum("m").over(Window.partitionBy("queue").orderBy("bucket")) - F.col("m")).drop("m")
-    return t.join(base, ["queue", "bucket"]).groupBy("queue", "bucket").applyInArrow(_pieces(names, quantum, total, chunk, window), PIECE)
+    t = materialise(d.mapInArrow(_tokenise(vocabulary or default_vocabulary()), TOKENS), "tokens")
+    t = t.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets_for(t.count(), per_bucket))))
+    by = materialise(t.groupBy("source", "bucket").agg(F.sum("n").alias("m")), "stretches")
+    queues = materialise(quanta(by.groupBy("source").agg(F.sum("m").alias("total")), weights, window), "queues")
+    base = F.sum("m").over(Window.partitionBy("source").orderBy("bucket")) - F.col("m")
+    spans = materialise(by.withColumn("base", base).join(queues, "source"), "spans")
+    places = stream(spans, by.agg(F.sum("m")).first()[0] or 0, chunk)
+    c = F.explode(F.sequence(F.expr(f"base div {chunk}"), F.expr(f"(base + m - 1) div {chunk}"))).alias("c")
+    held = spans.select("source", "bucket", "base", c).join(places, ["source", "c"])
+    return t.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(_pieces(chunk, window), PIECE)
 
 
 def op5_packing(spark, sf_dir):
