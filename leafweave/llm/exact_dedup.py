@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafweave.llm.common import LOWER, UPPER, buckets_for, materialise
+from leafweave.llm.common import LOWER, UPPER, buckets_for, materialise, slices
 
 GAMMA, LEVELS = 1.5, 48
 
@@ -31,7 +31,7 @@ def normalised(text: str | None) -> bytes:
 
 
 def digest_rows(batches):
-    for b in batches:
+    for b in slices(batches):
         ids, texts = b.column(0), b.column(1)
         d = [hashlib.sha256(normalised(t)).digest() for t in texts.to_pylist()]
         yield pa.RecordBatch.from_arrays([ids, pa.array(d, pa.binary())], names=["doc_id", "digest"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafweave.llm.common import LOWER, SPACES, UPPER, materialise, table
+from leafweave.llm.common import LOWER, SPACES, UPPER, materialise, slices, table
 
 
 def _key(line: bytes, min_chars: int) -> bytes | None:
@@ -30,7 +30,7 @@ def _key(line: bytes, min_chars: int) -> bytes | None:
 
 def _occurrences(min_chars: int):
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             ids, keys = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if i is None or t is None or len(t) < min_chars:
@@ -45,7 +45,7 @@ def _occurrences(min_chars: int):
 
 def _rebuild(min_chars: int):
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             n, dropped, kept = [], [], []
             for t, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw = (t or "").encode()

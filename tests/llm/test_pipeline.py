@@ -3,7 +3,7 @@
 import corpus_pipeline
 from leafweave.llm import decontaminate, toxicity
 from leafweave.llm.common import table
-from tests.llm.test_simhash import components, plain
+from tests.llm.test_near import plain_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,16 +14,14 @@ def low(t):
 
 def test_same_documents_as_plain(spark):
     docs, labels, bench = (table(spark, SF, n) for n in ("documents", "labels", "benchmark"))
-    grammar, w = toxicity.train(docs, labels)
-    import numpy as np
-
+    grammar = toxicity.train(docs, labels)
     left = {r["doc_id"]: r["text"] for r in docs.collect()}
-    left = {i: t for i, t in left.items() if toxicity._logistic(np.log1p(grammar.clauses(t)) @ w[:-1] + w[-1]) < 0.5}
+    left = {i: t for i, t in left.items() if grammar.score([t])[0][0] < 0.5}
     top = {}
     for i, t in left.items():
         top[low(t)] = max(i, top.get(low(t), -1))
     left = {i: t for i, t in left.items() if top[low(t)] == i}
-    c = components({i: plain(t) for i, t in left.items()})
+    c = plain_components(left)
     left = {i: t for i, t in left.items() if c[i] == i}
     items = [b" ".join(decontaminate.words(r["text"])) for r in bench.collect()]
     left = {i: t for i, t in left.items() if not any(x in b" ".join(decontaminate.words(t)) for x in items)}
