@@ -292,7 +292,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 1024, chu
     spans = materialise(by.withColumn("base", base).join(queues, "source"), "spans")
     places = stream(spans, by.agg(F.sum("m")).first()[0] or 0, chunk)
     c = F.explode(F.sequence(F.expr(f"base div {chunk}"), F.expr(f"(base + m - 1) div {chunk}"))).alias("c")
-    held = spans.select("source", "bucket", "base", c).join(places, ["source", "c"])
+    # An explosion's size is underrated by the planner, which would broadcast it.
+    held = spans.select("source", "bucket", "base", c).hint("merge").join(places.hint("merge"), ["source", "c"])
     return t.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(_pieces(chunk, window), PIECE)
 
 
