@@ -13,9 +13,11 @@ a whole. So phrases, quotations and copies among a host's pages stay, and what m
 time. Boxes inside an article are a small part of it: if repeated blocks hold over `box` of its words, the page is one of many near
 copies and its article stays whole. On pages with a marked article, text outside it is not main text.
 
-Pages of one content are read once; a host's contents are dealt to shards of about `per_shard` pages and `per_words` words. A run
-that is found in `share` of a host's pages is so in a shard of it at least, so shards name those, count each other's, and the
-sums decide: a host of any size gives what one array over it would give.
+A host's contents are dealt to shards of about `per_shard` pages and `per_words` words by their hash, each page's words
+travelling once, and once a task for all copies in it. A shard's array names the runs found in a fair part of its pages, with
+counts, which are added up over the host's shards: a host of any size gives what one array over it would give. (What a shard does
+not name, since it is in less than half of the share less three standard deviations of its pages, counts nothing; contents being
+dealt by hash, no run of the share is so rare in any. Shards of few pages name all.) Pages are then decided where they lie.
 
 Defined cases: null html gives empty text; null url is a host of its own; very long pages are read whole and have a shard nearly to
 themselves; rows repeated with one page_id, and null page_ids, give a row each; equal pages count as one; a host of fewer than
@@ -29,15 +31,15 @@ import functools
 import html
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafweave.llm.common import materialise, slices, table
+from leafweave.llm.common import buckets_for, materialise, slices, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -68,6 +70,10 @@ FREE, SOFT, TOP, HARD = 0, 1, 2, 3
 ARTICLE, OPEN, MARKED = 0, 1, 2
 RUN, SHARE, LEAST, BOX = 6, 0.5, 3, 0.2
 PER_SHARD, PER_WORDS = 256, 150_000
+#: Bytes of markup for a word, where shards are counted before pages are parsed.
+WORD_BYTES = 6
+#: Large hosts that are broadcast, and repeated runs that are at a time, 8 bytes each.
+SMALL, RUNS = 200_000, 2_000_000
 
 
 @functools.lru_cache(4096)
@@ -192,30 +198,33 @@ def read_page(page: str) -> tuple[list[tuple[list[str], int]], bool]:
     return blocks, seen
 
 
-def _host(url: str | None) -> str:
-    m = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", url or "")
-    return m[1].rpartition("@")[2].partition(":")[0].lower() if m else ""
+def host_of(url: Column) -> Column:
+    """The host that a URL names, lower-cased; nothing for others."""
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:@]*)", 1)), F.lit(""))
 
 
-READ = "uid long, page_id long, url string, host string, key long, open int, n int, words string, ends array<int>, zones array<int>"
+READ = "page_id long, url string, host string, key long, fresh boolean, open int, words binary, ends array<int>, zones array<int>"
 
 
 def _read(batches):
-    task, row = TaskContext.get().partitionId(), 0
-    for b in slices(batches, column=2):
-        out = [[] for _ in range(8)]
-        for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            blocks, seen = read_page(h or "")
-            words = " ".join(w for x, _ in blocks for w in x)
+    """Pages as blocks; `fresh` is the first of a content in its task."""
+    seen: set[tuple[str, int]] = set()
+    for b in slices(batches, column=3):
+        out = [[] for _ in range(6)]
+        for host, h in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            blocks, marked = read_page(h or "")
+            words = " ".join(w for x, _ in blocks for w in x).encode()
             ends, zones = np.cumsum([len(x) for x, _ in blocks], dtype=np.int32), np.array([z for _, z in blocks], np.int32)
-            zone = ARTICLE if seen else OPEN
-            key = xxhash.xxh64_intdigest(words.encode() + b"\0" + ends.tobytes() + zones.tobytes() + bytes([zone])) - (1 << 63)
-            for o, v in zip(out, ((task << 40) + row, _host(u), key, zone, int(ends[-1]) if len(ends) else 0, words, ends, zones), strict=True):
+            zone = ARTICLE if marked else OPEN
+            key = xxhash.xxh64_intdigest(words + b"\0" + ends.tobytes() + zones.tobytes() + bytes([zone])) - (1 << 63)
+            if len(seen) >= 1 << 20:
+                seen.clear()
+            for o, v in zip(out, (key, (host, key) not in seen, zone, zlib.compress(words, 1), ends, zones), strict=True):
                 o.append(v)
-            row += 1
+            seen.add((host, key))
         ints = pa.list_(pa.int32())
-        cols = [pa.array(out[0], pa.int64()), b.column(0), b.column(1), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.string()), pa.array(out[6], ints), pa.array(out[7], ints)]
-        yield pa.RecordBatch.from_arrays(cols, names=["uid", "page_id", "url", "host", "key", "open", "n", "words", "ends", "zones"])
+        cols = [b.column(0), b.column(1), b.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], ints), pa.array(out[5], ints)]
+        yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "host", "key", "fresh", "open", "words", "ends", "zones"])
 
 
 # --- the array ----------------------------------------------------------------------------------
@@ -288,11 +297,11 @@ class Streams:
         out[sa] = np.bincount(held, minlength=group[-1] + 1)[group]
         return out
 
-    def keys(self) -> np.ndarray:
-        """A hash of the run that begins at each place, the same in every shard."""
+    def keys(self, host: str) -> np.ndarray:
+        """A hash of the run that begins at each place, the same in every shard of a host."""
         of = np.array([xxhash.xxh64_intdigest(w, 1) for w in self.words] + [7], np.uint64)  # the last for pads
         h = of[np.where(self.s < 0, len(of) - 1, self.s)]
-        out = np.zeros(len(h), np.uint64)
+        out = np.full(len(h), xxhash.xxh64_intdigest(host, 2), np.uint64)
         ext = np.concatenate([h, np.zeros(self.run, np.uint64)])
         with np.errstate(over="ignore"):
             for j in range(self.run):
@@ -341,97 +350,74 @@ def kept(words: str, ends: list[int], zones: list[int], zone: int, gone: list[bo
     return " ".join(text), lost
 
 
-TEXT = "host string, key long, text string, n_repeated int"
-TEXT_ARROW = pa.schema([("host", pa.string()), ("key", pa.int64()), ("text", pa.string()), ("n_repeated", pa.int32())])
+NAMED = "host string, w long, k long"
 
 
-def _columns(t: pa.Table, *names: str):
-    return (t.column(n).to_pylist() for n in names)
-
-
-def _texts(t: pa.Table, gone: list[list[bool]], box: float) -> pa.Table:
-    out = [kept(*x, g, box) for x, g in zip(zip(*_columns(t, "words", "ends", "zones", "open"), strict=True), gone, strict=True)]
-    return pa.table([t.column("host"), t.column("key"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32())], schema=TEXT_ARROW)
-
-
-def _whole(run: int, share: float, least: int, box: float):
-    """A host in one shard: the array decides."""
+def _named(run: int, share: float):
+    """A shard: the runs that many of its distinct pages hold, with counts, and the number of these pages under no run."""
 
     def rows(t: pa.Table) -> pa.Table:
-        s = Streams(*_columns(t, "words", "ends"), run)
-        need = needed(t.num_rows, share, least)
-        return _texts(t, [[v >= need for v in x] for x in s.least(s.counts())], box)
+        _, first = np.unique(t.column("key").to_numpy(), return_index=True)
+        t = t.take(pa.array(first))
+        host, n = t.column("host")[0].as_py(), t.num_rows
+        s = Streams([zlib.decompress(x).decode() for x in t.column("words").to_pylist()], t.column("ends").to_pylist(), run)
+        counts = s.counts()
+        hit = s.within() & (counts >= max(1, math.floor(share * n / 2 - 3 * math.sqrt(n))))
+        w, at = np.unique(s.keys(host)[hit], return_index=True)
+        return pa.table({"host": pa.array([host] * (len(w) + 1), pa.string()), "w": pa.array([None, *w.tolist()], pa.int64()), "k": pa.array([n, *counts[hit][at].tolist()], pa.int64())})
 
     return rows
 
 
-def _often(run: int, share: float):
-    """A shard: the runs that are found in the share of its own pages."""
-
-    def rows(t: pa.Table) -> pa.Table:
-        s = Streams(*_columns(t, "words", "ends"), run)
-        w = np.unique(s.keys()[(s.counts() >= share * t.num_rows - 1e-9) & s.within()])
-        return pa.table({"host": pa.array([t.column("host")[0].as_py()] * len(w), pa.string()), "w": pa.array(w, pa.int64())})
-
-    return rows
-
-
-def _count(run: int):
-    """A shard: in how many of its pages each run that some shard named is found."""
-
-    def rows(t: pa.Table, named: pa.Table) -> pa.Table:
-        found, k = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if t.num_rows and named.num_rows:
-            s = Streams(*_columns(t, "words", "ends"), run)
-            sought = np.unique(named.column("w").to_numpy())
-            keys = s.keys()
-            at = np.minimum(np.searchsorted(sought, keys), len(sought) - 1)
-            hit = (sought[at] == keys) & s.within()
-            pairs = np.unique(at[hit] * t.num_rows + s.page[hit]) // t.num_rows
-            found, k = np.unique(pairs, return_counts=True)
-            found = sought[found]
-        host = t.column("host")[0].as_py() if t.num_rows else None
-        return pa.table({"host": pa.array([host] * len(found), pa.string()), "w": pa.array(found, pa.int64()), "k": pa.array(k, pa.int64())})
-
-    return rows
+TEXT = "page_id long, url string, text string, n_repeated int"
 
 
-def _decide(run: int, box: float):
-    """A shard: its texts without the blocks all of whose runs are repeated."""
+def _texts(repeated, run: int, box: float):
+    """The main texts of pages, given all repeated runs of their hosts."""
 
-    def rows(t: pa.Table, repeated: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return TEXT_ARROW.empty_table()
-        s = Streams(*_columns(t, "words", "ends"), run)
-        hit = np.isin(s.keys(), repeated.column("w").to_numpy()) if repeated.num_rows else np.zeros(len(s.s), bool)
-        return _texts(t, s.least(hit), box)
+    def rows(batches):
+        known = repeated.value
+        for b in slices(batches, column=5):
+            text, lost = [], []
+            for host, zone, words, ends, zones in zip(*(b.column(k).to_pylist() for k in (2, 4, 5, 6, 7)), strict=True):
+                words = zlib.decompress(words).decode()
+                gone = [False] * len(ends)
+                if len(known) and ends:
+                    s = Streams([words], [ends], run)
+                    keys = s.keys(host)
+                    hit = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+                    gone = s.least(hit)[0]
+                x, n = kept(words, ends, zones, zone, gone, box)
+                text.append(x)
+                lost.append(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(lost, pa.int32())], names=["page_id", "url", "text", "n_repeated"])
 
     return rows
 
 
-def extract(pages: DataFrame, run: int = RUN, share: float = SHARE, least: int = LEAST, box: float = BOX, per_shard: int = PER_SHARD, per_words: int = PER_WORDS) -> DataFrame:
+def extract(pages: DataFrame, run: int = RUN, share: float = SHARE, least: int = LEAST, box: float = BOX, per_shard: int = PER_SHARD, per_words: int = PER_WORDS, at_once: int = RUNS) -> DataFrame:
     """page_id, url, text, n_repeated (words that the array took) of every row of pages."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
+    spark = pages.sparkSession
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").withColumn("host", host_of(F.col("url")))
+    p = p.select("page_id", "url", "host", "html")
+    size = F.greatest(F.ceil(F.count("*") / per_shard), F.ceil(F.sum(F.octet_length("html")) / (per_words * WORD_BYTES)), F.lit(1))
+    large = materialise(p.groupBy("host").agg(size.cast("long").alias("shards")).where("shards > 1"), "hosts")
     read = materialise(p.mapInArrow(_read, READ), "read")
-    contents = materialise(read.groupBy("host", "key").agg(F.min("uid").alias("uid"), F.max("n").alias("n")), "contents")
-    hosts = contents.groupBy("host").agg(F.count("*").alias("pages"), F.greatest(F.ceil(F.count("*") / per_shard), F.ceil(F.sum("n") / per_words)).cast("long").alias("shards"))
-    hosts = materialise(hosts, "hosts")
-    dealt = contents.join(hosts, "host").select("uid", "pages", "shards", F.pmod("key", "shards").alias("shard"))
-    reps = read.select("uid", "host", "key", "open", "words", "ends", "zones").join(dealt, "uid")
-    reps = materialise(reps.repartition("host", "shard"), "streams")
-    one = reps.where("shards = 1").groupBy("host", "shard").applyInArrow(_whole(run, share, least, box), TEXT)
-    many = reps.where("shards > 1")
-    large = hosts.where("shards > 1")
-    each = large.select("host", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"))
-    named = materialise(many.groupBy("host", "shard").applyInArrow(_often(run, share), "host string, w long").distinct(), "named")
-    named = named.join(each, "host")
-    counted = many.groupBy("host", "shard").cogroup(named.groupBy("host", "shard")).applyInArrow(_count(run), "host string, w long, k long")
-    counted = counted.groupBy("host", "w").agg(F.sum("k").alias("k")).join(large, "host")
+    dealt = read.where("fresh").select("host", "key", "words", "ends").join(F.broadcast(large) if large.count() <= SMALL else large, "host", "left")
+    shard = F.pmod("key", F.coalesce("shards", F.lit(1))).alias("shard")
+    named = materialise(dealt.select("host", shard, "key", "words", "ends").groupBy("host", "shard").applyInArrow(_named(run, share), NAMED), "named")
+    counts = named.where("w is not null").groupBy("host", "w").agg(F.sum("k").alias("k"))
+    distinct = materialise(named.where("w is null").groupBy("host").agg(F.sum("k").alias("pages")), "distinct")
     need = F.greatest(F.lit(least), F.ceil(F.col("pages") * share - 1e-9))
-    repeated = materialise(counted.where(F.col("k") >= need).select("host", "w"), "repeated").join(each, "host")
-    rest = many.groupBy("host", "shard").cogroup(repeated.groupBy("host", "shard")).applyInArrow(_decide(run, box), TEXT)
-    texts = materialise(one.unionByName(rest), "texts")
-    return read.select("page_id", "url", "host", "key").join(texts, ["host", "key"]).select("page_id", "url", "text", "n_repeated")
+    repeated = materialise(counts.join(distinct, "host").where(F.col("k") >= need).select("host", "w"), "repeated")
+    passes, out = buckets_for(repeated.count(), at_once), None
+    turn = F.pmod(F.xxhash64("host"), F.lit(passes))
+    for k in range(passes):
+        runs = repeated.where(turn == k).select("w").toArrow().column("w").to_numpy()
+        mine = read.where(turn == k).select("page_id", "url", "host", "key", "open", "words", "ends", "zones")
+        texts = mine.mapInArrow(_texts(spark.sparkContext.broadcast(np.sort(runs)), run, box), TEXT)
+        out = texts if out is None else out.unionByName(texts)
+    return out
 
 
 def op9_html_extract(spark, sf_dir):

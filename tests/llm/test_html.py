@@ -92,9 +92,13 @@ def test_counts_by_brute_force():
 
 def plain_extract(rows, run=RUN, share=SHARE, least=LEAST, box=0.2):
     """The rule of the module over all pages of a host at once, by sets of runs."""
-    from leafweave.llm.html_extract import _host
+    from urllib.parse import urlsplit
 
     hosts, out = {}, []
+
+    def _host(u):
+        return (urlsplit(u or "").hostname or "") if "//" in (u or "") else ""
+
     for _, u, h in rows:
         hosts.setdefault(_host(u), {})[str(read_page(h or ""))] = None
     texts = {}
@@ -133,8 +137,8 @@ def test_against_brute_force(spark):
     assert any("w39 0" in w[2] for w in want)  # near copies keep their article
     text = {w[1]: w[2] for w in want}
     assert "Subscribe" not in text["http://a.example/p9"] and "home" not in text["http://b.example/p9"] and "reserved" not in text["http://b.example/p9"]
-    for shard, words in ((1000, 10**9), (7, 10**9), (1000, 900)):
-        got = [(x["page_id"], x["url"], x["text"]) for x in extract(df, per_shard=shard, per_words=words).collect()]
+    for shard, words, at_once in ((1000, 10**9, 10**6), (7, 10**9, 10**6), (1000, 900, 20)):
+        got = [(x["page_id"], x["url"], x["text"]) for x in extract(df, per_shard=shard, per_words=words, at_once=at_once).collect()]
         assert sorted(got, key=str) == want
     assert extract(df.limit(0)).count() == 0
 
