@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,9 +41,12 @@ def components(edges: DataFrame, checkpoint_every: int = 2, most: int = 60) -> D
     """(node, root): the smallest node id reachable over undirected edges (source, target). Smallest neighbours with pointer jumping; lineage cut by checkpoint()."""
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            shared = tempfile.mkdtemp()
+        spark.sparkContext.setCheckpointDir(shared)
     e = edges.select("source", "target").where("source <> target")
     e = e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct().checkpoint()
     r = e.groupBy("source").agg(F.least(F.col("source"), F.min("target")).alias("root")).withColumnRenamed("source", "node")

@@ -106,3 +106,46 @@ def prune(pairs: DataFrame, per_node: int = 3, threshold: float = 0.5) -> DataFr
         return pdf.iloc[keep_greedily(list(zip(pdf["score"], pdf["distance"], pdf["a"], pdf["b"], pdf["evidence"], strict=True)), per_node)][["doc_id", "a", "b", "score"]]
 
     return p.groupBy("doc_id").applyInPandas(one, "doc_id long, a long, b long, score double")
+
+
+def nearest_vectors(rows: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """node, other, rank: each vector's k nearest of its label by dot product (rounded to six places, ties by id). rows: vec_id, label, v.
+
+    Vectors are packed into blocks of about `block`; blocks of one label are multiplied in pairs and keep k for each vector, so
+    what is exchanged grows with vectors times blocks of their label, not with pairs of vectors.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    sizes = rows.groupBy("label").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    b = rows.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks"))
+
+    def packed(t: pa.Table) -> pa.Table:
+        v = np.array(t.column("v").to_pylist(), "<f8")
+        return pa.table({"label": t.column("label")[:1], "block": t.column("block")[:1], "ids": pa.array([t.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "m": pa.array([v.tobytes()], pa.binary())})
+
+    p = b.select("label", "block", "vec_id", "v").groupBy("label", "block").applyInArrow(packed, "label long, block long, ids binary, m binary")
+
+    def best(batches):
+        for t in batches:
+            node, other, similar = [], [], []
+            for i, j, a, c in zip(*(t.column(n).to_pylist() for n in range(4)), strict=True):
+                i, j = np.frombuffer(i, "<i8"), np.frombuffer(j, "<i8")
+                s = np.round(np.frombuffer(a, "<f8").reshape(len(i), -1) @ np.frombuffer(c, "<f8").reshape(len(j), -1).T, 6)
+                s[i[:, None] == j[None, :]] = -np.inf
+                by = np.argsort(j, kind="stable")  # then equal scores stand by id
+                top = by[np.argsort(-s[:, by], axis=1, kind="stable")[:, :k]]
+                row = np.repeat(np.arange(len(i)), top.shape[1])
+                got = s[row, top.ravel()]
+                fine = np.isfinite(got)
+                node.append(i[row][fine])
+                other.append(j[top.ravel()][fine])
+                similar.append(got[fine])
+            cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(cat(node, np.int64)), pa.array(cat(other, np.int64)), pa.array(cat(similar, float))], names=["node", "other", "similarity"])
+
+    x, y = p.select("label", F.col("ids").alias("i"), F.col("m").alias("a")), p.select("label", F.col("ids").alias("j"), F.col("m").alias("c"))
+    pairs = x.join(y, "label").select("i", "j", "a", "c")
+    near = pairs.mapInArrow(best, "node long, other long, similarity double")
+    w = Window.partitionBy("node").orderBy(F.desc("similarity"), "other")
+    return near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("node", "other", "rank")

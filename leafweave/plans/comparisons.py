@@ -10,12 +10,13 @@ from leafweave.plans.registry import query, t
 
 
 @query(
-    """WITH e AS (SELECT o_orderkey AS seq, o_custkey % 60 AS source, o_orderkey % 50 AS target, o_orderpriority AS cue, (o_custkey % 20) / 20.0 AS confidence FROM orders)
-SELECT source, target, seq, cue, confidence::DOUBLE AS confidence FROM e WHERE source <> target QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY confidence DESC, seq) = 1"""
+    """WITH e AS (SELECT l_orderkey * 100 + l_linenumber AS seq, l_partkey AS source, l_suppkey AS target, l_returnflag AS cue, (l_quantity::INT % 20) / 20.0 AS confidence FROM lineitem)
+SELECT source, target, count(*) AS n, max(confidence)::DOUBLE AS confidence, min(seq) FILTER (WHERE confidence = top) AS seq FROM (SELECT *, max(confidence) OVER (PARTITION BY source, target) AS top FROM e WHERE source <> target) GROUP BY source, target"""
 )
 def strongest_edges(spark, sf):
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    return graph.strongest_edges(t(spark, sf, "orders").select(k.alias("seq"), (c % 60).alias("source"), (k % 50).alias("target"), F.col("o_orderpriority").alias("cue"), (c % 20 / 20.0).alias("confidence")))
+    e = t(spark, sf, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"), F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_returnflag").alias("cue"), (F.col("l_quantity").cast("int") % 20 / 20.0).cast("double").alias("confidence"))
+    n = e.where("source <> target").groupBy("source", "target").agg(F.count("*").alias("n"))
+    return graph.strongest_edges(e).join(n, ["source", "target"]).select("source", "target", "n", "confidence", "seq")
 
 
 @query(
@@ -27,12 +28,12 @@ def closed_universe_scores(spark, sf):
 
 
 @query(
-    """WITH p AS (SELECT DISTINCT l_partkey % 90 AS a, l_suppkey % 70 AS b, l_linenumber AS n FROM lineitem), m AS (SELECT a, b, bool_or(n IN (1, 2)) AS old, bool_or(n IN (2, 3)) AS new, bool_or(n = 7) AS gold FROM p WHERE n IN (1, 2, 3, 7) GROUP BY a, b)
+    """WITH p AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b, l_linenumber AS n FROM lineitem), m AS (SELECT a, b, bool_or(n <= 3) AS old, bool_or(n BETWEEN 2 AND 5) AS new, bool_or(n >= 5) AS gold FROM p GROUP BY a, b)
 SELECT CASE WHEN old AND new THEN 'kept' WHEN new THEN 'added' WHEN old THEN 'removed' ELSE 'missed' END AS change, count(*) AS pairs, count(*) FILTER (WHERE gold) AS gold FROM m GROUP BY 1"""
 )
 def candidate_set_changes(spark, sf):
-    p = t(spark, sf, "lineitem").select((F.col("l_partkey") % 90).alias("a"), (F.col("l_suppkey") % 70).alias("b"), F.col("l_linenumber").alias("n"))
-    return evaluation.set_changes(p.where("n in (1, 2)"), p.where("n in (2, 3)"), p.where("n = 7"))
+    p = t(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_linenumber").alias("n"))
+    return evaluation.set_changes(p.where("n <= 3"), p.where("n between 2 and 5"), p.where("n >= 5"))
 
 
 @query(f"WITH {QUOTA} SELECT doc_id, node, count(DISTINCT other) AS n, array_to_string(list_sort(list(DISTINCT other)), ',') AS candidates FROM i GROUP BY doc_id, node")

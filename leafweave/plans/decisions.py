@@ -207,7 +207,8 @@ def _cuts(spark, sf):
 
 
 @query(
-    f"""WITH {SEQ}, d AS (SELECT doc_id, count(*) FILTER (WHERE k % 3 = 0) AS gold, count(*) FILTER (WHERE k % 4 = 0) AS found, count(*) FILTER (WHERE k % 12 = 0) AS matched FROM o WHERE k % 3 = 0 OR k % 4 = 0 GROUP BY doc_id)
+    f"""WITH {SEQ}, x AS (SELECT *, k % 3 = 0 AND count(*) FILTER (WHERE k % 3 = 0) OVER (PARTITION BY doc_id ORDER BY idx) > 1 AS g, k % 4 = 0 AS f FROM o),
+d AS (SELECT doc_id, count(*) FILTER (WHERE g) AS gold, count(*) FILTER (WHERE f) AS found, count(*) FILTER (WHERE g AND f) AS matched FROM x WHERE g OR f GROUP BY doc_id)
 SELECT doc_id, gold, found, matched, CASE WHEN found > 0 THEN round(matched / found, 4) ELSE 0.0 END AS precision, CASE WHEN gold > 0 THEN round(matched / gold, 4) ELSE 0.0 END AS recall, round(2 * matched / (gold + found), 4) AS f1 FROM d"""
 )
 def boundary_f1_exact(spark, sf):

@@ -37,7 +37,7 @@ LINES = """lines AS (
   SELECT doc_id, i - 1 AS block_no, (i - 1) // 10 AS page, a[i] AS text FROM (
     SELECT doc_id, a, unnest(generate_series(1, len(a))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL))
 ), blocks AS (
-  SELECT *, CASE WHEN block_no = 0 THEN '# ' WHEN block_no % 7 = 0 THEN '## ' WHEN block_no % 7 = 3 THEN '### ' ELSE '' END || text AS markdown FROM lines
+  SELECT *, CASE WHEN block_no = 0 THEN '# ' WHEN block_no % 7 = 0 THEN '## ' WHEN block_no % 7 = 3 THEN '### ' WHEN block_no % 7 = 5 THEN '#### ' WHEN block_no % 14 = 8 THEN '##### ' ELSE '' END || text AS markdown FROM lines
 )"""
 ROLES = (
     LINES
@@ -47,8 +47,9 @@ roles AS (SELECT *, CASE
   WHEN regexp_matches(s, '(?i)^(?:doi\s*:|https?://(?:dx\.)?doi\.org/)') THEN 'identifier_metadata'
   WHEN regexp_matches(s, '(?i)\b(?:received|accepted|published)\s+\d{1,2}\s+[A-Za-z]+\s+\d{4}\b') THEN 'publication_metadata'
   WHEN length(s) <= 250 AND NOT regexp_matches(s, '^\[\d+\]') AND regexp_matches(s, '(?i)\b(?:collaboration|consortium)\b') THEN 'author_metadata'
+  WHEN regexp_matches(s, '^[A-Z](?:\.\s*)?[A-Z]?\.?(?:\s+[A-Z][\p{L}\p{N}_''’-]+)+(?:\s+et al\.)?\s*(?:\\\(|\(|$)') THEN 'author_metadata'
   WHEN length(v) <= 1 OR (length(v) <= 3 AND NOT regexp_matches(v, '\p{L}')) THEN 'ocr_noise' ELSE 'evidence_content' END AS role
-  FROM (SELECT *, regexp_replace(s, '[^\p{L}\p{N}]+', '', 'g') AS v FROM trimmed))"""
+  FROM (SELECT *, regexp_replace(regexp_replace(s, '\\[()\[\]]', '', 'g'), '[^\p{L}\p{N}]+', '', 'g') AS v FROM trimmed))"""
 )
 EVIDENCE = (
     ROLES
@@ -108,13 +109,69 @@ def role_statistics(spark, sf):
 @query(
     "WITH "
     + ROLES
-    + r""", h AS (SELECT *, CASE WHEN role = 'section_heading' THEN greatest(1, length(regexp_extract(markdown, '^(#{1,6})\s+', 1)) - 1) END AS lv FROM roles),
-s AS (SELECT *, sum(CASE WHEN role = 'section_heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_no) AS section_no FROM h),
-p AS (SELECT *, last_value(CASE WHEN lv = 1 THEN section_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up FROM s)
-SELECT doc_id, section_no::BIGINT AS section_no, lv::BIGINT AS level, CASE WHEN lv = 2 THEN up END::BIGINT AS parent_no, block_no FROM p WHERE role = 'section_heading'"""
+    + r""", h AS (SELECT doc_id, block_no, CASE WHEN regexp_matches(markdown, '^#{1,6}\s') THEN greatest(1, length(regexp_extract(markdown, '^(#{1,6})\s+', 1)) - 1) ELSE 1 END AS lv, row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS no FROM roles WHERE role = 'section_heading'),
+p AS (SELECT c.doc_id, c.no, c.lv, c.block_no, max(o.no) AS parent FROM h c LEFT JOIN h o ON o.doc_id = c.doc_id AND o.no < c.no AND o.lv < c.lv GROUP BY ALL),
+g1 AS (SELECT x.*, y.parent AS g1 FROM p x LEFT JOIN p y ON y.doc_id = x.doc_id AND y.no = x.parent), g2 AS (SELECT x.*, y.parent AS g2 FROM g1 x LEFT JOIN p y ON y.doc_id = x.doc_id AND y.no = x.g1), g3 AS (SELECT x.*, y.parent AS g3 FROM g2 x LEFT JOIN p y ON y.doc_id = x.doc_id AND y.no = x.g2)
+SELECT doc_id, no AS section_no, lv::BIGINT AS level, parent AS parent_no, block_no, concat_ws('/', g3, g2, g1, parent, no) AS path FROM g3"""
 )
 def sections(spark, sf):
-    return nodes.with_sections(_roles(spark, sf, True)).where("role = 'section_heading'").select("doc_id", F.col("section_no").cast("long").alias("section_no"), F.col("head_level").cast("long").alias("level"), F.col("parent_no").cast("long").alias("parent_no"), "block_no")
+    s = nodes.with_sections(_roles(spark, sf, True)).where("role = 'section_heading'")
+    return s.select("doc_id", F.col("section_no").cast("long").alias("section_no"), F.col("head_level").cast("long").alias("level"), F.col("parent_no").cast("long").alias("parent_no"), "block_no", F.array_join(F.transform("path", lambda x: x["no"].cast("string")), "/").alias("path"))
+
+
+LAID = {
+    "label": "CASE block_no % 13 WHEN 1 THEN 'Header' WHEN 2 THEN 'footer' WHEN 3 THEN 'doc_title' WHEN 4 THEN 'paragraph_title' WHEN 6 THEN 'text' END",
+    "region": "CASE block_no % 17 WHEN 2 THEN 'footnote' WHEN 3 THEN 'HEADER' WHEN 5 THEN 'footer' END",
+    "kind": "CASE block_no % 19 WHEN 4 THEN 'sub_heading' WHEN 5 THEN 'text' END",
+    "flags": "CASE block_no % 11 WHEN 3 THEN 'no_layout_match garbage' WHEN 4 THEN 'small' END",
+}
+
+
+@query(
+    "WITH "
+    + ROLES
+    + f""", x AS (SELECT *, {', '.join(f'{e} AS {k}' for k, e in LAID.items())} FROM roles),
+y AS (SELECT *, lower(coalesce(label, '')) AS l, lower(coalesce(region, '')) AS r FROM x)
+SELECT doc_id, block_no, CASE WHEN l IN ('header', 'header_text') OR r = 'header' THEN 'header' WHEN l = 'footer' OR r = 'footer' THEN 'footer' WHEN l = 'footnote' OR r = 'footnote' THEN 'footnote' WHEN l = 'doc_title' OR role = 'document_title' THEN 'document_title'
+  WHEN l = 'paragraph_title' OR role = 'section_heading' OR (kind = 'sub_heading' AND s <> '') THEN 'section_heading' WHEN role = 'evidence_content' AND coalesce(flags, '') LIKE '%garbage%' THEN 'ocr_noise' ELSE role END AS role FROM y"""
+)
+def laid_out_roles(spark, sf):
+    b = nodes.blocks(t(spark, sf, "documents").select("doc_id", "text")).selectExpr("*", *(f"{e} as {k}" for k, e in LAID.items()))
+    return b.select("doc_id", "block_no", nodes.role(nodes.block_text(F.col("markdown"), F.col("text")), *(F.col(k) for k in LAID)).alias("role"))
+
+
+PAGED = {
+    "doc_id": "l_orderkey % 2000",
+    "page": "CASE WHEN l_orderkey % 5 = 0 THEN 'cover' ELSE 'p2_page_' || (l_orderkey % 31) END",
+    "block_id": "l_partkey",
+    "index": "l_linenumber",
+    "final_order": "CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE l_partkey % 9 END",
+    "deepseek_order": "CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE l_linenumber END",
+    "geometry_order": "CASE WHEN l_suppkey % 3 = 0 THEN l_partkey % 9 ELSE l_linenumber END",
+}
+PAGED_SQL = "pg AS (SELECT " + ", ".join(f'{e} AS "{k}"' for k, e in PAGED.items()) + ", l_orderkey AS tie FROM lineitem)"
+
+
+def _paged(spark, sf):
+    return t(spark, sf, "lineitem").selectExpr(*(f"{e} as `{k}`" for k, e in PAGED.items()), "l_orderkey as tie")
+
+
+@query(
+    f"""WITH {PAGED_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN page = 'cover' THEN 1000000000000 ELSE regexp_extract(page, '([0-9]+)$', 1)::BIGINT END, coalesce(final_order, deepseek_order, 1000000000000), block_id::VARCHAR, index) AS position FROM pg)
+SELECT doc_id, position, page, final_order, deepseek_order, block_id, index FROM o"""
+)
+def reading_order(spark, sf):
+    return nodes.reading_order(_paged(spark, sf)).select("doc_id", "position", "page", "final_order", "deepseek_order", "block_id", "index")
+
+
+@query(
+    f"""WITH {PAGED_SQL} SELECT 'missing_or_invalid_final_order' AS issue, doc_id, page, block_id::VARCHAR AS block_id, final_order::DOUBLE AS final_order, NULL::DOUBLE AS other FROM pg WHERE final_order IS NULL
+UNION ALL SELECT 'deepseek_order_conflict', doc_id, page, block_id::VARCHAR, final_order, deepseek_order FROM pg WHERE abs(final_order - deepseek_order) > 3
+UNION ALL SELECT 'geometry_order_conflict', doc_id, page, block_id::VARCHAR, final_order, geometry_order FROM pg WHERE final_order <> geometry_order
+UNION ALL SELECT 'duplicated_final_order', doc_id, page, NULL, final_order, count(*) FROM pg WHERE final_order IS NOT NULL GROUP BY doc_id, page, final_order HAVING count(*) > 1"""
+)
+def order_issues(spark, sf):
+    return nodes.order_issues(_paged(spark, sf))
 
 
 @query("WITH " + EVIDENCE + " SELECT node_id, doc_id, document_order, page, reason IS NULL AS is_complete, reason FROM evidence")
@@ -146,11 +203,15 @@ d AS (SELECT count(DISTINCT doc_id) AS total FROM n)
 SELECT form, documents, blocks, CASE WHEN documents >= 0.8 * total THEN 'UNIVERSAL' WHEN documents >= 0.1 * total THEN 'SECTION_SPECIFIC' ELSE 'REPEATED' END AS pattern FROM c, d"""
 )
 def repeated_templates(spark, sf):
-    n = nodes.blocks(t(spark, sf, "documents")).select("doc_id", tx.normalised(F.col("text")).alias("form"))
-    total = n.agg(F.countDistinct("doc_id").alias("total"))
-    c = n.where(F.char_length("form") >= 3).groupBy("form").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("blocks")).where("documents >= 3")
+    d = t(spark, sf, "documents").where("text is not null").select("doc_id", "text")
+    total = d.agg(F.countDistinct("doc_id").alias("total"))
+    form = lambda df: df.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", tx.normalised(F.col("line")).alias("form")).where(F.char_length("form") >= 3)
+    # Forms are counted by 16-byte digests; only those of the few that repeat are read again.
+    n = form(d).select("doc_id", F.unhex(F.md5("form")).alias("key"))
+    c = n.groupBy("key", "doc_id").agg(F.count("*").alias("k")).groupBy("key").agg(F.count("*").alias("documents"), F.sum("k").alias("blocks")).where("documents >= 3")
+    names = form(d).withColumn("key", F.unhex(F.md5("form"))).join(c, "key").groupBy("key").agg(F.first("form").alias("form"), F.first("documents").alias("documents"), F.first("blocks").alias("blocks"))
     p = F.when(F.col("documents") >= 0.8 * F.col("total"), "UNIVERSAL").when(F.col("documents") >= 0.1 * F.col("total"), "SECTION_SPECIFIC").otherwise("REPEATED")
-    return c.join(F.broadcast(total)).select("form", "documents", "blocks", p.alias("pattern"))
+    return names.join(F.broadcast(total)).select("form", "documents", "blocks", p.alias("pattern"))
 
 
 # --- text checks --------------------------------------------------------------------------------
@@ -278,34 +339,36 @@ def page_union_boxes(spark, sf):
 
 # --- edges --------------------------------------------------------------------------------------
 
-REMAP = """e AS (SELECT o_orderkey AS seq, o_custkey % 400 AS source, (o_custkey * 7 + o_orderkey) % 400 AS target, CASE o_orderkey % 4 WHEN 0 THEN 'CAPTION_OF' WHEN 1 THEN 'IN_DOCUMENT' ELSE 'NEXT' END AS edge_type FROM orders),
-a AS (SELECT c_custkey AS s, c_custkey // 2 AS c FROM customer WHERE c_custkey < 400 AND c_custkey % 3 = 0), on_ AS (SELECT c_custkey AS id FROM customer WHERE c_custkey < 400 AND c_custkey % 11 <> 0),
+REMAP = """e AS (SELECT o_orderkey AS seq, o_custkey AS source, (SELECT max(c_custkey) FROM customer) - o_custkey AS target, CASE o_orderkey % 4 WHEN 0 THEN 'CAPTION_OF' WHEN 1 THEN 'IN_DOCUMENT' ELSE 'NEXT' END AS edge_type FROM orders),
+a AS (SELECT c_custkey AS s, c_custkey // 2 AS c FROM customer WHERE c_custkey % 3 = 0), on_ AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 11 <> 0),
 m AS (SELECT seq, edge_type, coalesce(x.c, e.source) AS source, coalesce(y.c, e.target) AS target FROM e LEFT JOIN a x ON e.source = x.s LEFT JOIN a y ON e.target = y.s),
 o AS (SELECT *, CASE WHEN edge_type = 'CAPTION_OF' THEN 'dropped_by_type' WHEN source = target THEN 'dropped_self_loop_after_remap'
   WHEN source NOT IN (SELECT id FROM on_) OR target NOT IN (SELECT id FROM on_) THEN 'dropped_dangling_after_remap' ELSE 'output' END AS outcome FROM m),
 d AS (SELECT seq, source, target, edge_type, CASE WHEN outcome = 'output' AND row_number() OVER (PARTITION BY source, target, edge_type, outcome ORDER BY seq) > 1 THEN 'dropped_duplicate_after_remap' ELSE outcome END AS outcome FROM o)"""
 
 
-def _edges(spark, sf):
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
+def _graph(spark, sf):
+    """The edges of orders over all customers, the customers' aliases and the active ones."""
+    c, k = t(spark, sf, "customer"), F.col("o_orderkey")
     kind = F.when(k % 4 == 0, "CAPTION_OF").when(k % 4 == 1, "IN_DOCUMENT").otherwise("NEXT")
-    return t(spark, sf, "orders").select(k.alias("seq"), (c % 400).alias("source"), ((c * 7 + k) % 400).alias("target"), kind.alias("edge_type"))
+    e = t(spark, sf, "orders").crossJoin(F.broadcast(c.agg(F.max("c_custkey").alias("most"))))
+    e = e.select(k.alias("seq"), F.col("o_custkey").alias("source"), (F.col("most") - F.col("o_custkey")).alias("target"), kind.alias("edge_type"))
+    a = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("source_node_id"), F.floor(F.col("c_custkey") / 2).alias("canonical_node_id"))
+    return e, a, c.where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("node_id"))
 
 
-def _remapped(spark, sf):
-    c = t(spark, sf, "customer").where("c_custkey < 400")
-    a = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("source_node_id"), F.floor(F.col("c_custkey") / 2).alias("canonical_node_id"))
-    return graph.remap(_edges(spark, sf), a, c.where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("node_id")), ["CAPTION_OF"])
+def _edges(spark, sf):
+    return _graph(spark, sf)[0]
 
 
 @query(f"WITH {REMAP} SELECT seq, source, target, edge_type FROM d WHERE outcome = 'output'")
 def edge_remap(spark, sf):
-    return _remapped(spark, sf).where("outcome = 'output'").drop("outcome")
+    return graph.remap(*_graph(spark, sf), ["CAPTION_OF"]).where("outcome = 'output'").drop("outcome")
 
 
 @query(f"WITH {REMAP} SELECT outcome, count(*) AS edges FROM d GROUP BY outcome")
 def edge_remap_stats(spark, sf):
-    return _remapped(spark, sf).groupBy("outcome").agg(F.count("*").alias("edges"))
+    return graph.remap(*_graph(spark, sf), ["CAPTION_OF"]).groupBy("outcome").agg(F.count("*").alias("edges"))
 
 
 @query(f"WITH {REMAP} SELECT source, target, edge_type, count(*) AS copies FROM e GROUP BY ALL HAVING count(*) > 1")
@@ -315,9 +378,8 @@ def duplicate_edges(spark, sf):
 
 @query(f"WITH {REMAP} SELECT seq, source, target FROM e WHERE source NOT IN (SELECT id FROM on_) OR target NOT IN (SELECT id FROM on_)")
 def dangling_edges(spark, sf):
-    on = t(spark, sf, "customer").where("c_custkey < 400 and c_custkey % 11 <> 0").select(F.col("c_custkey").alias("id"))
-    e = _edges(spark, sf)
-    bad = e.join(on, e["source"] == on["id"], "left_anti").unionByName(e.join(on, e["target"] == on["id"], "left_anti"))
+    e, _, on = _graph(spark, sf)
+    bad = e.join(on, e["source"] == on["node_id"], "left_anti").unionByName(e.join(on, e["target"] == on["node_id"], "left_anti"))
     return bad.select("seq", "source", "target").distinct()
 
 
@@ -328,54 +390,12 @@ def node_degrees(spark, sf):
     return both.groupBy("node").agg(F.count("*").alias("degree"), F.countDistinct("other").alias("neighbours"))
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 2000 AS s, 2000 + (l_orderkey * 3 + l_linenumber) % 900 AS t FROM lineitem WHERE l_orderkey % 5 = 0), u AS (SELECT s, t FROM e UNION SELECT t, s FROM e),
-r(node, root) AS (SELECT s, s FROM u UNION SELECT u.t, r.root FROM r JOIN u ON r.node = u.s WHERE r.root < u.t)
-SELECT node, min(root)::BIGINT AS root FROM r GROUP BY node"""
-)
-def connected_components(spark, sf):
-    e = t(spark, sf, "lineitem").where("l_orderkey % 5 = 0").select((F.col("l_orderkey") % 2000).alias("source"), (2000 + (F.col("l_orderkey") * 3 + F.col("l_linenumber")) % 900).alias("target"))
-    return graph.components(e)
-
-
 @query()
-def connected_components_whole(spark, sf):
-    """Orders and parts (as -1 - l_partkey), linked by every row of lineitem."""
+def connected_components(spark, sf):
+    """Orders and parts (as -1 - l_partkey), linked by every row of lineitem. Recursive SQL is too slow on it; tested beside union-find."""
     return graph.components(t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("source"), (-1 - F.col("l_partkey")).alias("target")))
 
 
-WHOLE = """e AS (SELECT o_orderkey AS seq, o_custkey AS source, (SELECT max(c_custkey) FROM customer) - o_custkey AS target, CASE o_orderkey % 4 WHEN 0 THEN 'CAPTION_OF' WHEN 1 THEN 'IN_DOCUMENT' ELSE 'NEXT' END AS edge_type FROM orders),
-a AS (SELECT c_custkey AS s, c_custkey // 2 AS c FROM customer WHERE c_custkey % 3 = 0), on_ AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 11 <> 0),
-""" + REMAP[REMAP.index("m AS (") :]
-
-
-def _whole(spark, sf):
-    """The edges of orders over all customers, the customers' aliases and the active ones."""
-    c, k = t(spark, sf, "customer"), F.col("o_orderkey")
-    kind = F.when(k % 4 == 0, "CAPTION_OF").when(k % 4 == 1, "IN_DOCUMENT").otherwise("NEXT")
-    e = t(spark, sf, "orders").crossJoin(F.broadcast(c.agg(F.max("c_custkey").alias("most"))))
-    e = e.select(k.alias("seq"), F.col("o_custkey").alias("source"), (F.col("most") - F.col("o_custkey")).alias("target"), kind.alias("edge_type"))
-    a = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("source_node_id"), F.floor(F.col("c_custkey") / 2).alias("canonical_node_id"))
-    return e, a, c.where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("node_id"))
-
-
-@query(f"WITH {WHOLE} SELECT seq, source, target, edge_type FROM d WHERE outcome = 'output'")
-def edge_remap_whole(spark, sf):
-    return graph.remap(*_whole(spark, sf), ["CAPTION_OF"]).where("outcome = 'output'").drop("outcome")
-
-
-@query(f"WITH {WHOLE} SELECT outcome, count(*) AS edges FROM d GROUP BY outcome")
-def edge_remap_stats_whole(spark, sf):
-    return graph.remap(*_whole(spark, sf), ["CAPTION_OF"]).groupBy("outcome").agg(F.count("*").alias("edges"))
-
-
-@query(f"WITH {WHOLE} SELECT seq, source, target FROM e WHERE source NOT IN (SELECT id FROM on_) OR target NOT IN (SELECT id FROM on_)")
-def dangling_edges_whole(spark, sf):
-    e, _, on = _whole(spark, sf)
-    bad = e.join(on, e["source"] == on["node_id"], "left_anti").unionByName(e.join(on, e["target"] == on["node_id"], "left_anti"))
-    return bad.select("seq", "source", "target").distinct()
-
-
 INVERSE = {"SUPPORTS": "IS_SUPPORTED_BY", "EXPLAINS": "IS_EXPLAINED_BY", "ELABORATES": "IS_ELABORATED_BY"}
 
 
@@ -390,22 +410,6 @@ def bidirectional_traversal(spark, sf):
     return graph.both_ways(e, INVERSE)
 
 
-@query(
-    """WITH decl AS (SELECT p_partkey AS node, p_size % 40 AS label, p_partkey % 5 AS item FROM part WHERE p_partkey % 3 = 0),
-men AS (SELECT l_orderkey AS o, l_linenumber AS l, l_partkey % 40 AS label, l_partkey % 5 AS item FROM lineitem),
-c AS (SELECT label, count(*) AS n, min(node) AS node FROM decl GROUP BY label), ci AS (SELECT label, item, count(*) AS n, min(node) AS node FROM decl GROUP BY label, item)
-SELECT o, l, CASE WHEN c.n = 1 THEN c.node WHEN ci.n = 1 THEN ci.node END AS target, CASE WHEN c.n IS NULL THEN 'undeclared' WHEN c.n = 1 THEN 'unique' WHEN ci.n = 1 THEN 'unique_in_item' ELSE 'ambiguous' END AS state
-FROM men LEFT JOIN c USING (label) LEFT JOIN ci USING (label, item)"""
-)
-def mention_declaration_join(spark, sf):
-    decl = t(spark, sf, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("node"), (F.col("p_size") % 40).cast("long").alias("label"), (F.col("p_partkey") % 5).alias("item"))
-    men = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), (F.col("l_partkey") % 40).alias("label"), (F.col("l_partkey") % 5).alias("item"))
-    c = decl.groupBy("label").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-    ci = decl.groupBy("label", "item").agg(F.count("*").alias("ni"), F.min("node").alias("nodei"))
-    j = men.join(c, "label", "left").join(ci, ["label", "item"], "left")
-    return j.select("o", "l", F.when(F.col("n") == 1, F.col("node")).when(F.col("ni") == 1, F.col("nodei")).alias("target"), F.when(F.col("n").isNull(), "undeclared").when(F.col("n") == 1, "unique").when(F.col("ni") == 1, "unique_in_item").otherwise("ambiguous").alias("state"))
-
-
 # --- order --------------------------------------------------------------------------------------
 
 RUNS = "b AS (SELECT user_id, event_id, ts, event_type, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS boundary FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(boundary) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS segment FROM b)"
@@ -506,12 +510,7 @@ def candidate_channels(spark, sf):
 k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY similarity DESC, other) AS rank FROM p) SELECT node, other, rank FROM k WHERE rank <= 5"""
 )
 def embedding_topk(spark, sf):
-    e = t(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    j = e.select("label", F.col("vec_id").alias("node"), F.col("v").alias("x")).join(e.select("label", F.col("vec_id").alias("other"), F.col("v").alias("y")), "label").where("node <> other")
-    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    j = j.select("node", "other", F.round(dot, 6).alias("similarity"))
-    w = Window.partitionBy("node").orderBy(F.desc("similarity"), "other")
-    return j.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("node", "other", "rank")
+    return retrieval.nearest_vectors(t(spark, sf, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v")), 5)
 
 
 @query("""SELECT a.l_partkey AS x, b.l_partkey AS y, count(*) AS support FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2""")
@@ -539,8 +538,9 @@ def _gold(spark, sf):
 
 @query(
     f"""WITH {GOLD}, g AS (SELECT gold AS label, count(*) AS support, count(*) FILTER (WHERE gold = pred) AS hit FROM r GROUP BY 1), p AS (SELECT pred AS label, count(*) AS said FROM r GROUP BY 1),
-m AS (SELECT label, coalesce(support, 0) AS support, coalesce(hit, 0) AS hit, coalesce(said, 0) AS said FROM g FULL JOIN p USING (label)), x AS (SELECT *, CASE WHEN said > 0 THEN hit / said ELSE 0 END AS pr, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS re FROM m)
-SELECT label, round(pr, 8) AS precision, round(re, 8) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 8) AS f1, support FROM x"""
+m AS (SELECT label, coalesce(support, 0) AS support, coalesce(hit, 0) AS hit, coalesce(said, 0) AS said FROM g FULL JOIN p USING (label)), x AS (SELECT *, CASE WHEN said > 0 THEN hit / said ELSE 0 END AS pr, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS re FROM m),
+y AS (SELECT label, round(pr, 8) AS precision, round(re, 8) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 8) AS f1, support FROM x)
+SELECT * FROM y UNION ALL SELECT 'macro', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support)::BIGINT FROM y"""
 )
 def class_metrics(spark, sf):
     return evaluation.class_metrics(_gold(spark, sf))
@@ -560,45 +560,53 @@ def mcnemar(spark, sf):
 
 
 @query(
-    f"""WITH {GOLD}, i AS (SELECT i FROM generate_series(0, 89) u(i)), b AS (SELECT floor((score - 0.05) / 0.01 + 1e-9)::INT AS bin, truth FROM r),
-s AS (SELECT i, sum(truth)::BIGINT AS tp, count(*) AS said FROM i JOIN b ON bin >= i GROUP BY i), x AS (SELECT i, tp / said AS p, tp / (SELECT sum(truth) FROM r) AS re FROM s),
-f AS (SELECT round(0.05 + i * 0.01, 2)::DOUBLE AS threshold, round(p, 8) AS precision, round(re, 8) AS recall, round(CASE WHEN p + re > 0 THEN 2 * p * re / (p + re) ELSE 0 END, 8) AS f1 FROM x)
-SELECT threshold, precision, recall, f1 FROM f ORDER BY f1 DESC, precision DESC, recall DESC, threshold DESC LIMIT 1"""
+    f"""WITH {GOLD}, i AS (SELECT unnest(generate_series(0, 89)) AS i), s AS (SELECT i, count(*) FILTER (WHERE score >= 0.10 + i * 0.01 - 1e-9 AND truth = 1) AS tp, count(*) FILTER (WHERE score >= 0.10 + i * 0.01 - 1e-9) AS said, count(*) FILTER (WHERE truth = 1) AS pos FROM i, r GROUP BY i),
+x AS (SELECT round(0.10 + i * 0.01, 2)::DOUBLE AS threshold, round(tp / greatest(1, said), 8) AS precision, round(tp / greatest(1, pos), 8) AS recall FROM s)
+SELECT * FROM x ORDER BY CASE WHEN precision >= 0.9 THEN recall ELSE -1 END DESC, precision DESC, threshold DESC LIMIT 1"""
+)
+def precise_threshold(spark, sf):
+    return evaluation.precise_threshold(_gold(spark, sf).select("score", F.col("truth").alias("gold")))
+
+
+@query(
+    f"""WITH {GOLD}, v AS (SELECT DISTINCT score::DOUBLE AS v FROM r UNION SELECT 0.0 UNION SELECT 1.0), h AS (SELECT v FROM v UNION SELECT (v + lead(v) OVER (ORDER BY v)) / 2 FROM v),
+s AS (SELECT v AS threshold, count(*) FILTER (WHERE score >= v AND truth = 1) AS tp, count(*) FILTER (WHERE score >= v) AS said, count(*) FILTER (WHERE truth = 1) AS pos FROM h, r WHERE v IS NOT NULL GROUP BY v),
+x AS (SELECT threshold, CASE WHEN said > 0 THEN tp / said ELSE 0 END AS p, CASE WHEN pos > 0 THEN tp / pos ELSE 0 END AS q FROM s), f AS (SELECT threshold, round(p, 4) AS precision, round(q, 4) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 4) AS f1 FROM x)
+SELECT * FROM f ORDER BY f1 DESC, precision DESC, recall DESC, threshold DESC LIMIT 1"""
 )
 def threshold_sweep(spark, sf):
     return evaluation.best_threshold(_gold(spark, sf).select("score", F.col("truth").alias("gold")))
 
 
 @query(
-    f"""WITH {GOLD}, x AS (SELECT id, gold AS label, row_number() OVER (PARTITION BY gold ORDER BY sha256(id::VARCHAR), id) AS k, count(*) OVER (PARTITION BY gold) AS n FROM r)
-SELECT id, label, k <= greatest(1, round(n * 0.2)) AS calibration FROM x"""
+    f"""WITH {GOLD}, x AS (SELECT id, gold AS label, row_number() OVER (PARTITION BY gold ORDER BY sha256('small-edge-v1|' || id), id) AS k, count(*) OVER (PARTITION BY gold) AS n FROM r)
+SELECT id, label, k <= greatest(1, round_even(n * 0.2, 0)) AS calibration FROM x"""
 )
 def calibration_split(spark, sf):
     return evaluation.stratified(_gold(spark, sf).select("id", F.col("gold").alias("label")), 0.2)
 
 
-@query(
-    """WITH v AS (SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS ra, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rb FROM orders)
-SELECT count(*) FILTER (WHERE ra <= 2) AS a, count(*) FILTER (WHERE rb <= 2) AS b, count(*) FILTER (WHERE ra <= 2 AND rb <= 2) AS mutual, count(*) FILTER (WHERE ra <= 2 OR rb <= 2) AS unilateral FROM v"""
-)
+VOTED = """v AS (SELECT l_partkey AS source, l_suppkey AS target, l_linenumber AS n, l_orderkey AS o FROM lineitem), u AS (SELECT DISTINCT source, target FROM v WHERE source <> target),
+k AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY (source * 7 + target * 13) % 101, target) AS rank FROM u), s AS (SELECT least(source, target) AS a, greatest(source, target) AS b, source, rank FROM k WHERE rank <= 3),
+g AS (SELECT a, b, min(rank) AS best, count(DISTINCT source) AS sides, count(DISTINCT CASE WHEN rank <= 2 THEN source END) AS sides2 FROM s GROUP BY a, b)"""
+
+
+@query(f"WITH {VOTED} SELECT a, b, best = 1 AS unilateral_top1, best <= 2 AS unilateral_top2, true AS unilateral_top3, sides2 = 2 AS mutual_top2, sides = 2 AS mutual_top3, sides = 2 AND best = 1 AS mutual_with_top1, best = 1 OR sides = 2 AS top1_or_mutual_top3, best <= 2 OR sides = 2 AS top2_or_mutual_top3 FROM g")
 def voting_strategies(spark, sf):
-    o = t(spark, sf, "orders")
-    ra = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")) <= 2
-    rb = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) <= 2
-    v = o.select(ra.alias("a"), rb.alias("b"))
-    n = lambda c: F.sum(c.cast("long"))
-    return v.agg(n(F.col("a")).alias("a"), n(F.col("b")).alias("b"), n(F.col("a") & F.col("b")).alias("mutual"), n(F.col("a") | F.col("b")).alias("unilateral"))
+    u = t(spark, sf, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")).where("source <> target").distinct()
+    w = Window.partitionBy("source").orderBy((F.col("source") * 7 + F.col("target") * 13) % 101, "target")
+    return evaluation.voting(u.withColumn("rank", F.row_number().over(w)).where("rank <= 3"))
 
 
 @query("SELECT o_orderkey AS id, (row_number() OVER (ORDER BY o_orderkey) - 1) % 4 AS shard FROM orders WHERE o_orderstatus = 'F'")
 def strided_shards(spark, sf):
     o = t(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
     # Row numbers by prefix counts of key ranges: no single task sees all rows.
-    o = o.withColumn("slice", F.floor(F.col("id") / 1000))
+    o = o.withColumn("slice", F.floor(F.col("id") / 1_000_000))
     c = o.groupBy("slice").agg(F.count("*").alias("n"))
     c = c.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     k = F.row_number().over(Window.partitionBy("slice").orderBy("id"))
     return o.withColumn("k", k).join(c, "slice").select("id", ((F.col("before") + F.col("k") - 1) % 4).alias("shard"))
 
 
-from leafweave.plans import beginnings, comparisons, decisions, reviews  # noqa: E402,F401  (they register their queries here)
+from leafweave.plans import adverts, beginnings, comparisons, decisions, layout, references, replies, reviews, scoring, tasks, words  # noqa: E402,F401  (they register their queries here)

@@ -179,13 +179,13 @@ def nearby_candidates(spark, sf):
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey AS task, l_orderkey % 300 AS cur, l_partkey % 300 AS other, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rank FROM lineitem)
+    """WITH r AS (SELECT l_orderkey AS task, l_orderkey AS cur, l_partkey AS other, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rank FROM lineitem)
 SELECT least(cur, other) AS a, greatest(cur, other) AS b, task, rank FROM r WHERE rank <= task % 4 QUALIFY row_number() OVER (PARTITION BY least(cur, other), greatest(cur, other) ORDER BY task, rank) = 1"""
 )
 def ranked_pairs(spark, sf):
     k = F.col("l_orderkey")
-    r = t(spark, sf, "lineitem").groupBy(k.alias("task")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"] % 300).alias("ranked"))
-    return selection.ranked_pairs(r.withColumn("current", F.col("task") % 300).withColumn("cutoff", F.col("task") % 4))
+    r = t(spark, sf, "lineitem").groupBy(k.alias("task")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("ranked"))
+    return selection.ranked_pairs(r.withColumn("current", F.col("task")).withColumn("cutoff", F.col("task") % 4))
 
 
 @query(
