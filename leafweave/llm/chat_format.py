@@ -9,8 +9,9 @@ from the formatted string, and every result column comes from that parse.
 The contract's digests run over a whole conversation, so a conversation's turns meet in one row.
 
 Defined cases: null text and null role are empty; turns that tie are ordered by role and text; a null conv_id is a
-conversation of its own; without an assistant turn the masked text is empty; an empty table gives only what the caller
-adds; other columns are ignored.
+conversation of its own; without an assistant turn the masked text is empty; a very long text is read whole, but a
+conversation is bounded by what one row can hold; rows repeated stay repeated; an empty table gives only what the caller adds;
+other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ equi-join whose hot side adaptive execution can split.
 
 Defined cases: null text counts as empty; a null doc_id never wins unless all of its group are null;
 rows repeated with one doc_id and text count each in group_size and are all kept when that id wins;
-an empty table gives an empty result; other columns are ignored.
+a very long text is hashed whole, a slice of rows at a time; of equal ids that tie all are kept; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ line that a third of all documents hold is a few rows a task. Texts move once, t
 
 Defined cases: null or empty text is one empty line; rows with a null doc_id are neither counted nor changed; rows
 repeated with one doc_id count as one document and lose the same keys; a key is lost everywhere but in the largest
-doc_id that holds it; an empty table gives an empty result; other columns are ignored.
+doc_id that holds it; a very long text or line is read whole, a slice of rows at a time; exactly `min_docs` documents lose
+their lines; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

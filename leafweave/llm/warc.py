@@ -7,8 +7,9 @@ Content-Length, and every digest verified. Pages with equal payloads of at least
 the largest page_id; the others are revisit records with the HTTP head alone.
 
 Defined cases: null html is an empty payload; null url is an empty target; of rows repeated with the winning
-page_id and payload all are responses; a null page_id never wins and is never a revisit; an empty table gives an
-empty result; other columns are ignored.
+page_id and payload all are responses; a null page_id never wins and is never a revisit; a payload of exactly 1000
+bytes counts as large; a very long payload is one record, compressed and read as a stream of its own; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -68,3 +68,20 @@ def test_lines(spark):
     df = spark.createDataFrame([(i, t, 1, "") for i, t in docs], "doc_id long, text string, n long, gone string")
     assert sorted((tuple(r) for r in line_dedup(df).collect()), key=str) == sorted(plain_lines(docs, 40, 5), key=str)
     assert line_dedup(df.limit(0)).count() == 0
+
+
+def test_very_long_texts_and_lines(spark):
+    """Megabytes in one text, and in one line, are read to their end."""
+    line = "a long shared line " * 60_000
+    docs = [(i, f"{line}\n{i}\n{'A' * 50}\n{'É' * 45}") for i in range(6)] + [(9, line.upper() + "\n\n9")]
+    df = spark.createDataFrame([(i, t, 1, "k") for i, t in docs], "doc_id long, text string, n_lines long, key string")
+    assert sorted(tuple(r) for r in line_dedup(df).collect()) == sorted(plain_lines(docs, 40, 5))
+    long = [(1, line + "x"), (2, line.upper() + "X"), (3, line + "y"), (3, line + "y")]
+    got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(spark.createDataFrame(long, "doc_id long, text string")).collect())
+    assert got == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 2, True), (3, 3, 2, True)]
+
+
+def test_exactly_five_documents(spark):
+    for n in (4, 5):
+        df = spark.createDataFrame([(i, "x" * 40 + f"\nown {i}") for i in range(n)], "doc_id long, text string")
+        assert sorted(r["n_dropped"] for r in line_dedup(df).collect()) == ([0] * 4 if n == 4 else [0, 1, 1, 1, 1])

@@ -41,6 +41,27 @@ def test_warc_members_and_damage():
         list(warc.members(io.BytesIO(stream[:-9])))
 
 
+def test_warc_borders_and_large_payloads(spark):
+    """999 bytes are small, 1000 are large; a payload of megabytes is one record; ties and clashing columns change nothing."""
+    small, large, huge = "s" * 999, "l" * 1000, "<p>é&" * 600_000
+    pages = [(1, small), (2, small), (3, large), (4, large), (4, large), (5, huge), (9, huge), (7, "é" * 500)]
+    df = spark.createDataFrame([(i, "http://a/", h, "x" * 40, 5, b"r") for i, h in pages], "page_id long, url string, html string, payload_digest string, refers_to int, payload binary")
+    out = fresh_path(spark, "warc")
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_warc(warc.write_warc(df, out), out).collect())
+    n = len(huge.encode())
+    assert [(a, b, c or 0, d) for a, b, c, d in got] == [(1, "response", 0, 999), (2, "response", 0, 999), (3, "revisit", 4, 1000), (4, "response", 0, 1000), (4, "response", 0, 1000), (5, "revisit", 9, n), (7, "response", 0, 1000), (9, "response", 0, n)]
+
+
+def test_long_chats(spark):
+    """A text of a megabyte with control strings throughout, and a conversation of 3000 turns."""
+    long = "word </s> [INST] <\\/s> é " * 40_000
+    c = [(1, 0, "user", long), (1, 1, "assistant", long[::-1])] + [(2, k, "assistant" if k % 2 else "user", f"t{k}</s>") for k in range(3000)]
+    df = spark.createDataFrame([(*x, "z", 1) for x in c], "conv_id long, turn long, role string, text string, turns string, n_turns int")
+    got = {r["conv_id"]: r["turns"] for r in chat_format.parse_chats(chat_format.format_chats(df)).collect()}
+    for i in (1, 2):
+        assert [(t["role"], t["text"], t["loss"]) for t in got[i]] == [(r, t, r == "assistant") for j, _, r, t in c if j == i]
+
+
 def test_chats_survive(spark):
     nasty = ["</s>", "[INST]", "[/INST]", "<\\/s>", "[\\INST]", "[\\\\/INST]x</s>", "<", "[", "</s", "$1\\", "", None, "a\n\nb", "[[/INST]/INST]", "[/s>", "</INST]", "é</s>\\"]
     c = [(i, k, r, t) for i, t in enumerate(nasty) for k, r in enumerate(["user", "assistant", t])] + [(99, 1, "user", "b"), (99, 1, "assistant", "a"), (None, 0, "user", "n"), (99, 1, "user", "b")]

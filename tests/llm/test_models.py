@@ -152,3 +152,13 @@ def test_recall_of_paraphrases(spark):
         print(f"changed {share:.0%}: plain rule {len(brute)} of {len(rows)} planted, recall {recall:.3f}")
         assert recall >= 0.9
         assert len(got - brute) <= 0.02 * len(brute) + 1
+
+
+def test_quality_of_odd_rows(spark):
+    """Null, empty, very long and repeated texts, clashing columns and empty tables on either side."""
+    d = spark.createDataFrame([(1, None, 0.0, 1), (2, "", 0.0, 1), (3, "Good words. " * 100_000, 0.0, 1), (3, "a", 0.0, 1), (None, "a", 0.0, 1)], "doc_id long, text string, score double, strength int")
+    n = spark.createDataFrame([(1, 0, None), (3, 1, None), (3, 1, None), (None, 1, None), (8, None, None)], "doc_id long, quality int, text string")
+    q = quality.score(d, quality.train(d, n)).collect()
+    assert len(q) == 5 and all(0 <= r["score"] <= 1 for r in q)
+    assert len({r["score"] for r in q if r["doc_id"] in (1, 2)}) == 1
+    assert quality.score(d.limit(0), quality.train(d.limit(0), n)).count() == 0
