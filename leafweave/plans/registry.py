@@ -609,4 +609,4 @@ def strided_shards(spark, sf):
     return o.withColumn("k", k).join(c, "slice").select("id", ((F.col("before") + F.col("k") - 1) % 4).alias("shard"))
 
 
-from leafweave.plans import adverts, beginnings, comparisons, decisions, evidence, layout, references, replies, reviews, scoring, tasks, words  # noqa: E402,F401  (they register their queries here)
+from leafweave.plans import adverts, beginnings, comparisons, decisions, evidence, graphs, layout, references, replies, reviews, scoring, tasks, words  # noqa: E402,F401  (they register their queries here)
