@@ -24,7 +24,8 @@ def provider(name: str) -> Callable[[], Callable[[list[str]], list[str]]]:
 
 def with_replies(tasks: DataFrame, name: str, batch: int = 8) -> DataFrame:
     """Adds `reply` to tasks with a `prompt`. A task's worker loads the model once and asks it `batch` prompts at a time; if that fails, one by one, and a prompt that fails alone has a null reply."""
-    factory, at = provider(name), tasks.columns.index("prompt")
+    factory, columns = provider(name), tasks.columns
+    at = columns.index("prompt")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = factory()
@@ -44,6 +45,6 @@ def with_replies(tasks: DataFrame, name: str, batch: int = 8) -> DataFrame:
                         except Exception:  # noqa: BLE001
                             got.append(None)
                 out += got
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*tasks.columns, "reply"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*columns, "reply"])
 
     return tasks.mapInArrow(rows, StructType([*tasks.schema.fields, StructField("reply", StringType())]))
