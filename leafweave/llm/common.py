@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Of text that a Python worker holds as objects at a time, and that travels to it in one Arrow batch.
-SLICE_BYTES, BATCH_BYTES = 2 << 20, 16 << 20
+SLICE_BYTES, BATCH_BYTES = 2 << 20, 4 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Paths of the tables that materialise has written in this process.
 MADE: list[str] = []

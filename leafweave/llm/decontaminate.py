@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafweave.llm.common import buckets_for, materialise, slices, table
+from leafweave.llm.common import MADE, buckets_for, drop, materialise, slices, table
 
 WORD = re.compile(r"[^\W_]+")
 HALF, BLOCK, COSINE, SAME, ALIKE, RARE = 48, 256, 0.3, 0.8, 0.6, 4
@@ -252,6 +252,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, half: int = HALF, block
     """doc_id, item_id, common (share of the item's words in the common subsequence), cosine of every document that holds an item."""
     spark = docs.sparkSession
     b = materialise(_numbered(benchmark), "items")
+    spent = MADE[-1]
     passes = buckets_for(b.count(), at_once)
     b = b.withColumn("pass", F.pmod(F.xxhash64("item_id"), F.lit(passes)))
     found = None
@@ -261,6 +262,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, half: int = HALF, block
         f = _searched(docs, items, half, block, cosine, same, alike) if items else spark.createDataFrame([], FOUND)
         f = materialise(f, "found") if passes > 1 else f
         found = f if found is None else found.unionByName(f)
+    drop(spark, [spent])
     return found
 
 

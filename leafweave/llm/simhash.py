@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafweave.llm.common import buckets_for, connected_components, materialise, slices, table
+from leafweave.llm.common import MADE, buckets_for, connected_components, drop, materialise, slices, table
 
 BITS, SHINGLE, DISTANCE, SEED = 64, 3, 2, 42
 CROWD, HOT = 64, 4096
@@ -119,6 +119,7 @@ def links(reps: DataFrame, crowd: int = CROWD, hot: int = HOT) -> DataFrame:
 
 def simhash_dedup(docs: DataFrame, crowd: int = CROWD, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
+    before = len(MADE)
     fps = materialise(fingerprints(docs), "fingerprints")
     e = links(materialise(fps.select("fp").distinct(), "reps"), crowd, hot)
     # A document's rows are one, whatever their texts.
@@ -128,6 +129,7 @@ def simhash_dedup(docs: DataFrame, crowd: int = CROWD, hot: int = HOT) -> DataFr
     of = materialise(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root")), "classes")
     # Written, so that the join has a plain exchange on both sides and the rows of a large component can be split.
     least = materialise(of.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    drop(docs.sparkSession, MADE[before:-2])  # only these two are read from here on
     return of.join(least, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

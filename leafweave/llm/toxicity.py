@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafweave.llm.common import held_out, materialise, slices, table
+from leafweave.llm.common import MADE, drop, held_out, materialise, slices, table
 
 INSULT, THREAT, TARGET, NEGATION, REPORT = "I", "T", "Y", "N", "R"
 SEEDS = {
@@ -345,9 +345,11 @@ def sample_labels(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     """The grammar with its weights."""
+    before = len(MADE)
     rows = materialise(sample_labels(docs, labels, "toxic", sample), "sample")
     grammar = Grammar(*lexicon(learn_insults(rows)))
     got = rows.mapInArrow(_features(grammar), "x array<double>, y boolean").collect()
+    drop(docs.sparkSession, MADE[before:])
     y = np.array([r["y"] for r in got], float)
     if not len(y) or y.min() == y.max():
         return grammar.weigh(np.append(PRIOR, PRIOR_BIAS))
