@@ -21,6 +21,7 @@ one round the lesser name comes first; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import zlib
@@ -33,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafweave.llm.common import buckets_for, materialise, table
+from leafweave.llm.common import MADE, buckets_for, drop, materialise, table
 
 #: Parts of a token in a quantum; a queue of up to 2^46 tokens stays within 64 bits.
 UNIT = 1 << 16
 #: Of text encoded at a time.
-TEXT_BYTES = 6 << 20
+TEXT_BYTES = 4 << 20
 #: Chunks in a range of the sort, and how many ranges there are at most.
 PER_RANGE, RANGES = 250_000, 10_000
 #: The vocabulary's own pattern (a fixed value) and where it never joins: before a space, around a newline. Texts with a
@@ -138,6 +139,12 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for a worker's process: a vocabulary takes a second and much memory to read."""
+    return Encoder(path)
+
+
 def _slices(batches, most: int):
     """Batches joined or cut to about `most` bytes of text, at least one row each."""
     held, size = [], 0
@@ -163,7 +170,7 @@ TOKENS = "row long, doc_id long, source string, n long, ids binary"
 
 def _tokenise(vocabulary: str):
     def rows(batches):
-        encode = Encoder(vocabulary)
+        encode = encoder(vocabulary)
         end = np.zeros(1, encode.dtype).tobytes()
         row = TaskContext.get().partitionId() << 40
         for t in _slices(batches, TEXT_BYTES):
@@ -287,13 +294,16 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 1024, chu
     t = materialise(d.mapInArrow(_tokenise(vocabulary or default_vocabulary()), TOKENS), "tokens")
     t = t.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets_for(t.count(), per_bucket))))
     by = materialise(t.groupBy("source", "bucket").agg(F.sum("n").alias("m")), "stretches")
+    spent = [MADE[-1]]
     queues = materialise(quanta(by.groupBy("source").agg(F.sum("m").alias("total")), weights, window), "queues")
+    spent.append(MADE[-1])
     base = F.sum("m").over(Window.partitionBy("source").orderBy("bucket")) - F.col("m")
     spans = materialise(by.withColumn("base", base).join(queues, "source"), "spans")
     places = stream(spans, by.agg(F.sum("m")).first()[0] or 0, chunk)
     c = F.explode(F.sequence(F.expr(f"base div {chunk}"), F.expr(f"(base + m - 1) div {chunk}"))).alias("c")
     # An explosion's size is underrated by the planner, which would broadcast it.
     held = spans.select("source", "bucket", "base", c).hint("merge").join(places.hint("merge"), ["source", "c"])
+    drop(docs.sparkSession, spent)
     return t.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(_pieces(chunk, window), PIECE)
 
 
