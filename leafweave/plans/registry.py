@@ -144,7 +144,7 @@ PAGED = {
     "doc_id": "l_orderkey % 2000",
     "page": "CASE WHEN l_orderkey % 5 = 0 THEN 'cover' ELSE 'p2_page_' || (l_orderkey % 31) END",
     "block_id": "l_partkey",
-    "index": "l_linenumber",
+    "index": "(l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey",
     "final_order": "CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE l_partkey % 9 END",
     "deepseek_order": "CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE l_linenumber END",
     "geometry_order": "CASE WHEN l_suppkey % 3 = 0 THEN l_partkey % 9 ELSE l_linenumber END",
