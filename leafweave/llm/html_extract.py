@@ -13,11 +13,11 @@ a whole. So phrases, quotations and copies among a host's pages stay, and what m
 time. Boxes inside an article are a small part of it: if repeated blocks hold over `box` of its words, the page is one of many near
 copies and its article stays whole. On pages with a marked article, text outside it is not main text.
 
-A host's contents are dealt to shards of about `per_shard` pages and `per_words` words by their hash, each page's words
-travelling once, and once a task for all copies in it. A shard's array names the runs found in a fair part of its pages, with
+A host's contents are dealt to shards of about `per_shard` pages and `per_words` words by their hash. What travels of a page,
+once a task for all copies in it, are 16 bits a word (96 bits a run), and 47 bits for the whole of a block shorter than a run. A shard's array names the runs found in a fair part of its pages, with
 counts, which are added up over the host's shards: a host of any size gives what one array over it would give. (What a shard does
-not name, since it is in less than half of the share less three standard deviations of its pages, counts nothing; contents being
-dealt by hash, no run of the share is so rare in any. Shards of few pages name all.) Pages are then decided where they lie.
+not name, since it falls short of the share by eight standard deviations, counts nothing; contents being dealt by hash, no run of the
+share is so rare in any. Shards of few pages name all, a host's only shard what it repeats.) Pages are then decided where they lie.
 
 Defined cases: null html gives empty text; null url is a host of its own; very long pages are read whole and have a shard nearly to
 themselves; rows repeated with one page_id, and null page_ids, give a row each; equal pages count as one; a host of fewer than
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafweave.llm.common import buckets_for, materialise, slices, table
+from leafweave.llm.common import MADE, buckets_for, drop, materialise, slices, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -206,6 +206,18 @@ def host_of(url: Column) -> Column:
 READ = "page_id long, url string, host string, key long, fresh boolean, open int, words binary, ends array<int>, zones array<int>"
 
 
+def tokens(words: list[bytes], ends: list[int], run: int) -> tuple[np.ndarray, list[int]]:
+    """What a page's stream is made of: 16-bit hashes of the words of its blocks, and one hash for each block too short for a run that pads do not anchor at both ends."""
+    long, short, begin = [], [], 0
+    for end in ends:
+        if end - begin > run - 2:
+            long += words[begin:end]
+        else:
+            short.append(xxhash.xxh64_intdigest(b" ".join(words[begin:end]), 1) >> 17)
+        begin = end
+    return np.fromiter(map(zlib.crc32, long), np.uint32, len(long)).astype("<u2"), short
+
+
 def _read(batches):
     """Pages as blocks; `fresh` is the first of a content in its task."""
     seen: set[tuple[str, int]] = set()
@@ -236,15 +248,15 @@ def suffix_array(s: np.ndarray, most: int | None = None) -> np.ndarray:
     rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
     k = 1
     while True:
-        second = np.full(n, -1, np.int64)
-        second[: n - k] = rank[k:] if k < n else second[:0]
-        order = np.lexsort((second, rank))
-        step = np.ones(n, np.int64)
-        step[0] = 0
-        step[1:] = (rank[order[1:]] != rank[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(step)
-        rank = new
+        pair = rank * (n + 1)
+        if k < n:
+            pair[: n - k] += rank[k:] + 1
+        order = np.argsort(pair)
+        pair = pair[order]
+        step = np.zeros(n, np.int64)
+        step[1:] = pair[1:] != pair[:-1]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(step)
         k *= 2
         if rank[order[-1]] == n - 1 or k >= n or (most is not None and k >= most):
             return order
@@ -264,17 +276,22 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
 class Streams:
     """The token streams of pages, concatenated: run - 1 pads around every block, a separator of its own after every page."""
 
-    def __init__(self, words: list[str], ends: list[list[int]], run: int):
-        ids: dict[str, int] = {}
+    def __init__(self, long: list[np.ndarray], short: list[list[int]], ends: list[list[int]], run: int):
         parts, page, first, last, owner, at = [], [], [], [], [], 0
         pad = np.full(run - 1, -1, np.int64)
-        for i, (w, e) in enumerate(zip(words, ends, strict=True)):
-            t = np.array([ids.setdefault(x, len(ids)) for x in w.split(" ")] if w else [], np.int64)
-            begin, size = 0, 0
+        for i, (t, u, e) in enumerate(zip(long, short, ends, strict=True)):
+            t, u = t.astype(np.int64), iter(u)
+            begin, taken, size = 0, 0, 0
             for end in e:
-                parts += [pad, t[begin:end]]
+                n = end - begin
+                if n > run - 2:
+                    block = t[taken : taken + n]
+                    taken += n
+                else:
+                    block = np.array([(1 << 16) + next(u)])
+                parts += [pad, block]
                 first.append(at + size)  # of the block's runs, the first begins with its pads
-                size += run - 1 + end - begin
+                size += run - 1 + len(block)
                 last.append(at + size)  # and the last with its last word
                 owner.append(i)
                 begin = end
@@ -283,7 +300,12 @@ class Streams:
             page.append(np.full(size, i))
             at += size
         self.run, self.s, self.page = run, np.concatenate(parts) if parts else np.zeros(0, np.int64), np.concatenate(page) if page else np.zeros(0, np.int64)
-        self.first, self.last, self.owner, self.words = np.array(first, np.int64), np.array(last, np.int64), np.array(owner, np.int64), list(ids)
+        self.first, self.last, self.owner = np.array(first, np.int64), np.array(last, np.int64), np.array(owner, np.int64)
+
+    @classmethod
+    def of(cls, words: list[list[str]], ends: list[list[int]], run: int) -> Streams:
+        got = [tokens([x.encode() for x in w], e, run) for w, e in zip(words, ends, strict=True)]
+        return cls([x[0] for x in got], [x[1] for x in got], ends, run)
 
     def counts(self) -> np.ndarray:
         """For each place, in how many distinct pages the run that begins there is found."""
@@ -299,11 +321,11 @@ class Streams:
 
     def keys(self, host: str) -> np.ndarray:
         """A hash of the run that begins at each place, the same in every shard of a host."""
-        of = np.array([xxhash.xxh64_intdigest(w, 1) for w in self.words] + [7], np.uint64)  # the last for pads
-        h = of[np.where(self.s < 0, len(of) - 1, self.s)]
-        out = np.full(len(h), xxhash.xxh64_intdigest(host, 2), np.uint64)
-        ext = np.concatenate([h, np.zeros(self.run, np.uint64)])
         with np.errstate(over="ignore"):
+            h = (self.s.astype(np.uint64) + np.uint64(3)) * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+            out = np.full(len(h), xxhash.xxh64_intdigest(host, 2), np.uint64)
+            ext = np.concatenate([h, np.zeros(self.run, np.uint64)])
             for j in range(self.run):
                 out = out * np.uint64(0x9E3779B97F4A7C15) + ext[j : j + len(h)]
                 out ^= out >> np.uint64(29)
@@ -332,9 +354,9 @@ def needed(pages: int, share: float = SHARE, least: int = LEAST) -> int:
     return max(least, math.ceil(share * pages - 1e-9))
 
 
-def kept(words: str, ends: list[int], zones: list[int], zone: int, gone: list[bool], box: float) -> tuple[str, int]:
+def kept(words: list[str], ends: list[int], zones: list[int], zone: int, gone: list[bool], box: float) -> tuple[str, int]:
     """The main text of a page, and how many of its words the array took."""
-    w, begin, text, size, lost = words.split(" ") if words else [], 0, [], 0, 0
+    begin, text, size, lost = 0, [], 0, 0
     own = []
     for end, z, g in zip(ends, zones, gone, strict=True):
         if z == zone:
@@ -346,25 +368,44 @@ def kept(words: str, ends: list[int], zones: list[int], zone: int, gone: list[bo
         own, lost = [(a, b, False) for a, b, _ in own], 0
     for a, b, g in own:
         if not g:
-            text += w[a:b]
+            text += words[a:b]
     return " ".join(text), lost
 
 
+STREAM = "host string, key long, long binary, short array<long>, ends array<int>"
+
+
+def _streams(run: int):
+    """What travels of pages."""
+
+    def rows(batches):
+        for b in slices(batches, column=2):
+            got = [tokens(zlib.decompress(w).split(b" "), e, run) for w, e in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0].tobytes() for x in got], pa.binary()), pa.array([x[1] for x in got], pa.list_(pa.int64())), b.column(3)], names=["host", "key", "long", "short", "ends"])
+
+    return rows
+
+
 NAMED = "host string, w long, k long"
 
 
-def _named(run: int, share: float):
-    """A shard: the runs that many of its distinct pages hold, with counts, and the number of these pages under no run."""
+def _named(run: int, share: float, least: int):
+    """A shard: the runs that many of its distinct pages hold, with counts, and the number of these pages under no run. A host's only shard names just what is repeated."""
 
     def rows(t: pa.Table) -> pa.Table:
         _, first = np.unique(t.column("key").to_numpy(), return_index=True)
         t = t.take(pa.array(first))
         host, n = t.column("host")[0].as_py(), t.num_rows
-        s = Streams([zlib.decompress(x).decode() for x in t.column("words").to_pylist()], t.column("ends").to_pylist(), run)
-        counts = s.counts()
-        hit = s.within() & (counts >= max(1, math.floor(share * n / 2 - 3 * math.sqrt(n))))
-        w, at = np.unique(s.keys(host)[hit], return_index=True)
-        return pa.table({"host": pa.array([host] * (len(w) + 1), pa.string()), "w": pa.array([None, *w.tolist()], pa.int64()), "k": pa.array([n, *counts[hit][at].tolist()], pa.int64())})
+        enough = needed(n, share, least) if t.column("shards")[0].as_py() == 1 else max(1, math.floor(share * n - 8 * math.sqrt(n * share * (1 - share))))
+        w, k = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if enough <= n:
+            s = Streams([np.frombuffer(x, "<u2") for x in t.column("long").to_pylist()], t.column("short").to_pylist(), t.column("ends").to_pylist(), run)
+            counts = s.counts()
+            hit = s.within() & (counts >= enough)
+            if hit.any():
+                w, at = np.unique(s.keys(host)[hit], return_index=True)
+                k = counts[hit][at]
+        return pa.table({"host": pa.array([host] * (len(w) + 1), pa.string()), "w": pa.array([None, *w.tolist()], pa.int64()), "k": pa.array([n, *k.tolist()], pa.int64())})
 
     return rows
 
@@ -372,21 +413,40 @@ def _named(run: int, share: float):
 TEXT = "page_id long, url string, text string, n_repeated int"
 
 
-def _texts(repeated, run: int, box: float):
-    """The main texts of pages, given all repeated runs of their hosts."""
+def beginnings(words: list[str], ends: list[int], run: int) -> tuple[list[str], list[int], list[bool]]:
+    """The first `run` words of every block, and whether these are all of it: most blocks differ from what is repeated there."""
+    begin, out, cuts, whole = 0, [], [], []
+    for end in ends:
+        out += words[begin : min(end, begin + run)]
+        cuts.append(len(out))
+        whole.append(end - begin <= run)
+        begin = end
+    return out, cuts, whole
+
+
+def _texts(repeated, hosts, run: int, box: float):
+    """The main texts of pages, given all repeated runs and the hashes of the hosts that have any."""
 
     def rows(batches):
-        known = repeated.value
+        known, some = repeated.value, hosts.value
+
+        def repeats(words: list[str], ends: list[int], host: str, whole: list[bool] | None = None) -> list[bool]:
+            s = Streams.of([words], [ends], run)
+            keys = s.keys(host)
+            hit = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+            if whole is not None:  # of a block cut short only runs that begin before its last word are its own
+                cut = np.flatnonzero(~np.array(whole))
+                for i in cut.tolist():
+                    hit[s.last[i] - run + 1 : s.last[i]] = True
+            return s.least(hit)[0]
+
         for b in slices(batches, column=5):
             text, lost = [], []
             for host, zone, words, ends, zones in zip(*(b.column(k).to_pylist() for k in (2, 4, 5, 6, 7)), strict=True):
-                words = zlib.decompress(words).decode()
+                words = zlib.decompress(words).decode().split(" ") if ends else []
                 gone = [False] * len(ends)
-                if len(known) and ends:
-                    s = Streams([words], [ends], run)
-                    keys = s.keys(host)
-                    hit = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
-                    gone = s.least(hit)[0]
+                if ends and xxhash.xxh64_intdigest(host, 2) in some and any(repeats(*(part := beginnings(words, ends, run))[:2], host, part[2])):
+                    gone = repeats(words, ends, host)
                 x, n = kept(words, ends, zones, zone, gone, box)
                 text.append(x)
                 lost.append(n)
@@ -397,15 +457,16 @@ def _texts(repeated, run: int, box: float):
 
 def extract(pages: DataFrame, run: int = RUN, share: float = SHARE, least: int = LEAST, box: float = BOX, per_shard: int = PER_SHARD, per_words: int = PER_WORDS, at_once: int = RUNS) -> DataFrame:
     """page_id, url, text, n_repeated (words that the array took) of every row of pages."""
-    spark = pages.sparkSession
+    spark, before = pages.sparkSession, len(MADE)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").withColumn("host", host_of(F.col("url")))
     p = p.select("page_id", "url", "host", "html")
     size = F.greatest(F.ceil(F.count("*") / per_shard), F.ceil(F.sum(F.octet_length("html")) / (per_words * WORD_BYTES)), F.lit(1))
     large = materialise(p.groupBy("host").agg(size.cast("long").alias("shards")).where("shards > 1"), "hosts")
     read = materialise(p.mapInArrow(_read, READ), "read")
-    dealt = read.where("fresh").select("host", "key", "words", "ends").join(F.broadcast(large) if large.count() <= SMALL else large, "host", "left")
-    shard = F.pmod("key", F.coalesce("shards", F.lit(1))).alias("shard")
-    named = materialise(dealt.select("host", shard, "key", "words", "ends").groupBy("host", "shard").applyInArrow(_named(run, share), NAMED), "named")
+    parsed = MADE[-1]
+    dealt = read.where("fresh").select("host", "key", "words", "ends").mapInArrow(_streams(run), STREAM).join(F.broadcast(large) if large.count() <= SMALL else large, "host", "left")
+    dealt = dealt.withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("shard", F.pmod("key", "shards"))
+    named = materialise(dealt.groupBy("host", "shard").applyInArrow(_named(run, share, least), NAMED), "named")
     counts = named.where("w is not null").groupBy("host", "w").agg(F.sum("k").alias("k"))
     distinct = materialise(named.where("w is null").groupBy("host").agg(F.sum("k").alias("pages")), "distinct")
     need = F.greatest(F.lit(least), F.ceil(F.col("pages") * share - 1e-9))
@@ -414,9 +475,11 @@ def extract(pages: DataFrame, run: int = RUN, share: float = SHARE, least: int =
     turn = F.pmod(F.xxhash64("host"), F.lit(passes))
     for k in range(passes):
         runs = repeated.where(turn == k).select("w").toArrow().column("w").to_numpy()
+        hosts = {xxhash.xxh64_intdigest(r[0], 2) for r in repeated.where(turn == k).select("host").distinct().collect()}  # no more than runs
         mine = read.where(turn == k).select("page_id", "url", "host", "key", "open", "words", "ends", "zones")
-        texts = mine.mapInArrow(_texts(spark.sparkContext.broadcast(np.sort(runs)), run, box), TEXT)
+        texts = mine.mapInArrow(_texts(spark.sparkContext.broadcast(np.sort(runs)), spark.sparkContext.broadcast(hosts), run, box), TEXT)
         out = texts if out is None else out.unionByName(texts)
+    drop(spark, [x for x in MADE[before:] if x != parsed])
     return out
 
 

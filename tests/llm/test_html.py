@@ -79,14 +79,14 @@ def flat(p):
     for b in p:
         n += len(b)
         ends.append(n)
-    return " ".join(w for b in p for w in b), ends
+    return [w for b in p for w in b], ends
 
 
 def test_counts_by_brute_force():
     r = random.Random(2)
     for run in (3, 6):
         pages = some_pages(r, 15)
-        s = Streams(*map(list, zip(*map(flat, pages), strict=True)), run)
+        s = Streams.of(*map(list, zip(*map(flat, pages), strict=True)), run)
         assert s.least(s.counts()) == plain_counts(pages, run)
 
 
@@ -145,5 +145,5 @@ def test_against_brute_force(spark):
 
 def test_threshold():
     assert [needed(n) for n in (1, 2, 4, 6, 7, 100)] == [3, 3, 3, 3, 4, 50]
-    assert kept("a b c", [1, 3], [ARTICLE, ARTICLE], ARTICLE, [False, True], 0.7) == ("a", 2)
-    assert kept("a b c", [1, 3], [ARTICLE, ARTICLE], ARTICLE, [False, True], 0.6) == ("a b c", 0)
+    assert kept(["a", "b", "c"], [1, 3], [ARTICLE, ARTICLE], ARTICLE, [False, True], 0.7) == ("a", 2)
+    assert kept(["a", "b", "c"], [1, 3], [ARTICLE, ARTICLE], ARTICLE, [False, True], 0.6) == ("a b c", 0)
