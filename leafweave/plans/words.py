@@ -42,14 +42,14 @@ def compact_texts(spark, sf):
     return c.select("conv_id", "turn", F.round(words.salient_overlap(x, F.col("before")), 8).alias("overlap"), words.compact_label(x).alias("label"), words.compact_title(x).alias("title"))
 
 
-SAID = "CASE p_partkey % 7 WHEN 0 THEN 'The LIGO-2 and Virgo Collaboration met FIG with Gravitational Wave of the Sun' WHEN 1 THEN 'Table One and Section Two, NASA NASA' WHEN 2 THEN 'Higgs Boson and Higgs boson, HIGGS BOSON' WHEN 3 THEN 'no names here' WHEN 4 THEN 'Of The And For' WHEN 5 THEN '123-4 A B-C' ELSE 'CERN' END"
-FOUND = {0: "gravitational wave of the sun=Gravitational Wave of the Sun;ligo 2=LIGO-2;virgo collaboration=Virgo Collaboration", 1: "nasa=NASA", 2: "boson=BOSON;higgs=HIGGS;higgs boson and higgs=Higgs Boson and Higgs", 3: "", 4: "", 5: "b c=B-C", 6: "cern=CERN"}
+SAID = "CASE p_partkey % 7 WHEN 0 THEN 'The RADAR-2 and Virgo Collaboration met FIG with Gravitational Wave of the Sun' WHEN 1 THEN 'Table One and Section Two, NASA NASA' WHEN 2 THEN 'Higgs Boson and Higgs boson, HIGGS BOSON' WHEN 3 THEN 'no names here' WHEN 4 THEN 'Of The And For' WHEN 5 THEN '123-4 A B-C' ELSE 'UNESCO' END"
+FOUND = {0: "gravitational wave of the sun=Gravitational Wave of the Sun;radar 2=RADAR-2;virgo collaboration=Virgo Collaboration", 1: "nasa=NASA", 2: "boson=BOSON;higgs=HIGGS;higgs boson and higgs=Higgs Boson and Higgs", 3: "", 4: "", 5: "b c=B-C", 6: "unesco=UNESCO"}
 
 
-@query("SELECT p_partkey AS id, CASE p_partkey % 7 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in FOUND.items()) + " END AS entities, CASE WHEN p_partkey % 7 = 6 THEN 'entity:cern:' || substr(sha1('cern'), 1, 8) END AS cern FROM part")
+@query("SELECT p_partkey AS id, CASE p_partkey % 7 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in FOUND.items()) + " END AS entities, CASE WHEN p_partkey % 7 = 6 THEN 'entity:unesco:' || substr(sha1('unesco'), 1, 8) END AS own FROM part")
 def named_entities(spark, sf):
     p = t(spark, sf, "part").select(F.col("p_partkey").alias("id"), words.named_entities(F.expr(SAID)).alias("e"))
-    return p.select("id", F.array_join(F.transform("e", lambda x: F.concat(x["key"], F.lit("="), x["name"])), ";").alias("entities"), F.when(F.col("id") % 7 == 6, words.entity_id(F.get("e", F.lit(0))["key"])).alias("cern"))
+    return p.select("id", F.array_join(F.transform("e", lambda x: F.concat(x["key"], F.lit("="), x["name"])), ";").alias("entities"), F.when(F.col("id") % 7 == 6, words.entity_id(F.get("e", F.lit(0))["key"])).alias("own"))
 
 
 @query(

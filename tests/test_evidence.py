@@ -118,7 +118,7 @@ def test_sections_of_every_level(spark):
 
 
 def test_roles_from_layout(spark):
-    rows = [("x y z", "Header", None, None, None, "header"), ("# T", None, "footer", None, None, "footer"), ("n", "footnote", None, None, None, "footnote"), ("words of it", None, None, "heading", None, "section_heading"), ("B. P. Abbott et al. (", None, None, None, None, "author_metadata"), ("some good words", None, None, None, "garbage", "ocr_noise"), (r"\(a\)", None, None, None, None, "ocr_noise"), ("Plain words.", "text", None, "text", None, "evidence_content")]
+    rows = [("x y z", "Header", None, None, None, "header"), ("# T", None, "footer", None, None, "footer"), ("n", "footnote", None, None, None, "footnote"), ("words of it", None, None, "heading", None, "section_heading"), ("A. B. Writer et al. (", None, None, None, None, "author_metadata"), ("some good words", None, None, None, "garbage", "ocr_noise"), (r"\(a\)", None, None, None, None, "ocr_noise"), ("Plain words.", "text", None, "text", None, "evidence_content")]
     df = spark.createDataFrame(rows, "m string, l string, r string, k string, f string, want string")
     for r in df.select("want", nodes.role(F.col("m"), F.col("l"), F.col("r"), F.col("k"), F.col("f")).alias("got"), "m").collect():
         assert r["got"] == r["want"], r["m"]

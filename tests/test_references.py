@@ -17,7 +17,7 @@ CASES = {
     "where follows its formula": ([node("f", 1, r"\[x=y+1.\]", "formula"), node("e", 2, "where x is the observed value.")], {("e", "f")}),
     "anaphora reach across a figure": ([node("root", 1, "The techniques include a mirror that optimizes", cont=True), node("f", 2, "FIG. 1. Diagram.", "figure"), node("c", 3, "the signal extraction and readout."), node("a", 4, "These interferometry techniques reduce noise.")], {("a", "c"), ("a", "root")}),
     "numbered equations": ([node("s", 1, "The positional encoding follows Equation 8)."), node("e", 2, r"\[x=y. \quad (8) \]", "formula")], {("s", "e")}),
-    "section labels keep their depth": ([node("t", 1, "Architecture details.", path=["3.2 DETR architecture"]), node("s", 2, "See Section 3.2 for details.", path=["4 Experiments"])], {("s", "t")}),
+    "section labels keep their depth": ([node("t", 1, "Architecture details.", path=["3.2 Model architecture"]), node("s", 2, "See Section 3.2 for details.", path=["4 Experiments"])], {("s", "t")}),
     "repeated labels by content item": ([node("fa", 1, "FIG. 1. A.", "caption", item="a"), node("s", 2, "See Figure 1.", item="a"), node("fb", 3, "FIG. 1. B.", "caption", item="b")], {("s", "fa")}),
     "words are no Roman numerals": ([node("s", 1, "The cross-section compared well, and this towering figure in physics helped.")], set()),
 }
