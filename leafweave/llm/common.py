@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -77,6 +78,12 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
         MADE.remove(p)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: shuffle files of finished jobs stay on the executors' disks until it does."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Deletes every table written so far; for a caller that is done with all results."""
     drop(spark, MADE)

@@ -2,8 +2,10 @@
 
 Shingles stand in one total order. Two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of
 each, so only those are exchanged. Where a pair meets in its first common shingle, no more can be common than what follows
-there in either set; pairs for which that is too little go, the rest are verified over both whole texts. No pair is lost,
-whatever the order; shingles common in a sample of documents come last in it, so that few pairs meet by chance.
+there in either set; pairs for which that is too little go. So do pairs whose parities (how often, even or odd, shingles
+fall on each of some bits) differ in more bits than sets that similar can have shingles apart. The rest, few beyond the
+true pairs, are verified over both whole texts; only for them texts travel. No pair is lost, whatever the order; shingles
+common in a sample of documents come last in it, so that few pairs meet by chance, and the sample grows with the input.
 
 Of a key with over `crowd` members the pairs are not made at once: its members are first held against one hub after
 another, and only pairs still in different components are made in the end, and of those only between members whose
@@ -25,15 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafweave.llm.common import MADE, connected_components, drop, materialise, slices
+from leafweave.llm.common import MADE, connected_components, drop, materialise, slices, sweep
 
 WIDTH, SIMILAR, SEED = 5, 0.8, 42
 CROWD, ROUNDS = 32, 8
-#: The order is by a sample of a hundredth, SAMPLED documents at least, and of its shingles the HOT commonest.
-SAMPLED, SHARE, HOT = 10_000, 0.01, 200_000
+#: The order is by a sample of a twentieth, SAMPLED documents at least, and of its shingles the HOT commonest.
+SAMPLED, SHARE, HOT = 10_000, 0.05, 200_000
 #: Ids that are broadcast, 8 bytes each; beyond, tables are joined by exchange.
 SMALL = 200_000
-PREFIX = "doc_id long, node long, n int, p int, keys array<long>, text string"
+PREFIX = "doc_id long, node long, n int, parity binary, keys array<long>, text string"
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -57,6 +59,22 @@ def least_common(a: int, b: int, similar: float) -> int:
     return math.ceil(similar / (1 + similar) * (a + b) - 1e-9)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Of each bit, the lowest first, whether an odd number of a set's shingles fall on it; two bits for three shingles, 64 at least."""
+    bits = max(64, 1 << math.ceil(math.log2(max(1, len(s)) / 1.5)))
+    return np.packbits(np.bincount(s & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def most_common(n: int, x: bytes, m: int, y: bytes) -> int:
+    """Shingles that sets of n and m with these parities have in common at most."""
+    (x, y), bits = sorted((x, y), key=len), 8 * max(len(x), len(y))
+    x, y, least = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(x)
+    while bits > least:  # halves laid upon each other are the parities of half as many bits
+        bits //= 2
+        y = (y >> bits) ^ (y & ((1 << bits) - 1))
+    return (n + m - (x ^ y).bit_count()) // 2
+
+
 def _sampled(batches):
     for b in slices(batches, column=0):
         for t in b.column(0).to_pylist():
@@ -77,7 +95,7 @@ def _prefixes(hot: np.ndarray, similar: float):
 
     def rows(batches):
         for b in slices(batches):
-            node, size, part, keys = [], [], [], []
+            node, size, odd, keys = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t)
                 n = len(s)
@@ -88,9 +106,19 @@ def _prefixes(hot: np.ndarray, similar: float):
                     rank = np.where(ordered[at] == s, by[at], -1)
                 node.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
                 size.append(n)
-                part.append(p)
+                odd.append(parity(s))
                 keys.append(s[np.lexsort((s, rank))[:p]])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(part, pa.int32()), pa.array(keys, pa.list_(pa.int64())), b.column(1)], names=["doc_id", "node", "n", "p", "keys", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(odd, pa.binary()), pa.array(keys, pa.list_(pa.int64())), b.column(1)], names=["doc_id", "node", "n", "parity", "keys", "text"])
+
+    return rows
+
+
+def _likely(similar: float):
+    def rows(batches):
+        for b in batches:
+            keep = [most_common(n, x, m, y) >= least_common(n, m, similar) for n, x, m, y in zip(*(b.column(j).to_pylist() for j in range(2, 6)), strict=True)]
+            k = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(k), b.column(1).filter(k)], names=["a", "b"])
 
     return rows
 
@@ -129,28 +157,40 @@ def near_components(docs: DataFrame, similar: float = SIMILAR, crowd: int = CROW
     """doc_id, node, component_id of every row."""
     spark, before_all = docs.sparkSession, len(MADE)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialise(d.mapInArrow(_prefixes(common(d), similar), PREFIX), "prefixes")
-    sets = materialise(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.first("keys").alias("keys")), "sets")
+    read = materialise(d.mapInArrow(_prefixes(common(d), similar), PREFIX), "prefixes")
+    sets = materialise(read.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "sets")
+    parities = materialise(read.select("node", "n", "parity").distinct(), "parities")
+    # The keys are the larger part of what is not text; from here on they are in the sets alone, and those go when keys have met.
+    rows = materialise(read.select("doc_id", "node", "text"), "rows")
+    drop(spark, MADE[before_all : before_all + 1])
     keyed = sets.select(F.posexplode("keys").alias("i", "key"), "node", "n")
     counts = materialise(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "keys")
+    sweep(spark)
     met = materialise(keyed.join(counts, "key"), "met")
-
-    def texts(ids: DataFrame) -> DataFrame:
-        """node, text of the nodes of ids."""
-        t = rows.select("node", "text").join(_few(ids), "node", "left_semi")
-        return materialise(t.groupBy("node").agg(F.min("text").alias("text")), "texts")
-
-    def verified(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    drop(spark, [MADE[before_all], MADE[-2]])  # sets and keys
+    sweep(spark)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar: by their parities first, then by the texts of the nodes that are left."""
+        at = len(MADE)
+        x, y = parities.toDF("a", "na", "xa"), parities.toDF("b", "nb", "xb")
+        j = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "xa", "nb", "xb")
+        likely = materialise(j.mapInArrow(_likely(similar), "a long, b long"), "likely")
+        ids = _few(likely.select(F.explode(F.array("a", "b")).alias("node")))
+        of = materialise(rows.select("node", "text").join(ids, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
         x, y = of.toDF("a", "ta"), of.toDF("b", "tb")
-        j = pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
-        return materialise(j.mapInArrow(_verify(similar), "a long, b long"), "links")
+        j = likely.join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
+        out = materialise(j.mapInArrow(_verify(similar), "a long, b long"), "links")
+        drop(spark, MADE[at:-1])
+        sweep(spark)
+        return out
 
     # By size, and by what follows the key in both sets.
     need = f"{similar / (1 + similar)!r} * (n + hn) - 1e-6"
     sized, placed = f"least(n, hn) >= {similar!r} * greatest(n, hn) - 1e-9", f"least(n - i, hn - hi) >= {need}"
     fits = f"{sized} and {placed}"
     edges = spark.createDataFrame([], "a long, b long")
-    crowded, roots, before, of = met.where(F.col("m") > crowd), None, None, None
+    crowded, roots, before = met.where(F.col("m") > crowd), None, None
     rooted = crowded.withColumn("root", F.col("node"))
     for k in range(ROUNDS):
         # Pairs of members in different components, as far as they are left to make.
@@ -163,8 +203,7 @@ def near_components(docs: DataFrame, similar: float = SIMILAR, crowd: int = CROW
         turn = F.struct(F.floor(F.col("i") / (2 * k + 1)), F.xxhash64("node", F.lit(k)), "node")
         hubs = rooted.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("h"), F.col("n").alias("hn"), F.col("i").alias("hi"), F.col("root").alias("hr")), turn).alias("x")).select("key", "x.*")
         near = materialise(rooted.join(hubs, "key").where(f"root <> hr and {fits}").groupBy("node").agg(F.min_by("h", F.xxhash64("h", F.lit(k))).alias("h")), "hubs")
-        of = of or texts(crowded.select("node"))
-        edges = materialise(edges.unionByName(verified(near.select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b")).distinct(), of)), "links")
+        edges = materialise(edges.unionByName(verified(near.select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b")).distinct())), "links")
         roots = connected_components(edges)
         rooted = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     if roots is not None:
@@ -192,8 +231,9 @@ def near_components(docs: DataFrame, similar: float = SIMILAR, crowd: int = CROW
     allowed = classes.join(other, "key").where(f"{fits} and not (lo = hi_ and hlo = hhi and lo = hlo)").select("key", "n", "i", "hn", "hi")
     pairs = pairs.unionByName(x.join(allowed, ["key", "n", "i"]).join(y, ["key", "hn", "hi"]).where("a < b and root <> hr").select("a", "b"))
     pairs = materialise(pairs.distinct(), "pairs")
+    sweep(spark)
     if not pairs.isEmpty():
-        edges = edges.unionByName(verified(pairs, texts(pairs.select(F.explode(F.array("a", "b")).alias("node")))))
+        edges = edges.unionByName(verified(pairs))
     # A document's rows are one, whatever their texts.
     first = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
     same = rows.join(first, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")

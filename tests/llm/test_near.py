@@ -65,3 +65,32 @@ def test_null_and_repeated_ids(spark):
     assert got == {(None, 4), (None, 7), (4, 4), (7, 7), (8, 8), (9, 8)}
     assert near_components(df.limit(0)).count() == 0
     assert near_dedup.least_common(9, 9, 0.8) == 8
+
+
+def test_texts_travel_only_for_likely_pairs(spark, monkeypatch):
+    """Documents that share a passage meet in its shingles; their parities tell them apart before texts are joined to pairs."""
+    r, read, write = random.Random(5), {}, near_dedup.materialise
+    shared = [f"s{k}" for k in range(60)]
+    texts = [" ".join([*shared, *(f"w{r.randrange(10**6)}" for _ in range(120))]) for _ in range(150)]
+    texts.append(texts[0] + " end")
+
+    def counted(df, name):
+        out = write(df, name)
+        read[name] = read.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialise", counted)
+    monkeypatch.setattr(near_dedup, "common", lambda docs: near_dedup.np.zeros(0, "int64"))
+    got = near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == {i: i % 150 for i in range(151)}
+    assert read["met"] > 150 and read["texts"] <= 4
+
+
+def test_parities_never_deny_what_is_common():
+    r = random.Random(6)
+    for n in (0, 1, 5, 60, 96, 97, 400, 5000):
+        a = {r.getrandbits(63) - (1 << 62) for _ in range(n)}
+        for part, more in ((1, 0), (0.9, n // 9), (0.5, n), (0, 50), (1, n // 4)):
+            b = {x for x in a if r.random() < part} | {r.getrandbits(63) - (1 << 62) for _ in range(more)}
+            x, y = (near_dedup.np.array(sorted(s), near_dedup.np.int64) for s in (a, b))
+            assert len(a & b) <= near_dedup.most_common(len(a), near_dedup.parity(x), len(b), near_dedup.parity(y)) <= (len(a) + len(b)) // 2
