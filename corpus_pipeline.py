@@ -1,4 +1,4 @@
-"""Corpus pipeline: toxicity, exact dedup, near-dedup (five-word shingles, Jaccard 0.8), benchmark decontamination, packing.
+"""Corpus pipeline: toxicity, exact dedup, near-dedup (SimHash of five-word shingles, Jaccard 0.8), benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame, written as
 Parquet and read again as the next stage's docs. All but the last return the columns of documents.
@@ -37,7 +37,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id."""
+    """Of each group of near copies the row with the smallest doc_id: SimHash by deletion variants, verified, and completed exactly."""
     kept = near_components(docs).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept"))
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 

@@ -1,4 +1,9 @@
-"""Near copies by exact similarity: texts whose sets of five-word shingles have Jaccard similarity 0.8 or more.
+"""Near copies by SimHash: texts whose sets of five-word shingles have Jaccard similarity 0.8 or more.
+
+Each set has a SimHash. Sets whose fingerprints are at most NEAR bits apart are found by deletion variants (simhash.py);
+of each set's pairs a few are verified over both whole texts and join it to a component. Fingerprints promise nothing on sets just similar enough, which
+lie up to 24 bits apart (a quarter of the links is within 5, half within 7; 64 bits index no wider distance), so what they
+leave, pairs of sets in different components, is completed exactly:
 
 Shingles stand in one total order. Two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of
 each, so only those are exchanged. Where a pair meets in its first common shingle, no more can be common than what follows
@@ -7,7 +12,7 @@ fall on each of some bits) differ in more bits than sets that similar can have s
 true pairs, are verified over both whole texts; only for them texts travel. No pair is lost, whatever the order; shingles
 common in a sample of documents come last in it, so that few pairs meet by chance, and the sample grows with the input.
 
-Of a key with over `crowd` members the pairs are not made at once: its members are first held against one hub after
+Of a key with over `crowd` members the pairs are not made at once: as far as SimHash has not joined them, its members are first held against one hub after
 another, and only pairs still in different components are made in the end, and of those only between members whose
 sizes and places of the key allow it, which whole classes of members decide. Components are thus those of all pairs.
 
@@ -28,14 +33,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafweave.llm.common import MADE, connected_components, drop, materialise, slices, sweep
+from leafweave.llm.simhash import majority, pairs_within
 
 WIDTH, SIMILAR, SEED = 5, 0.8, 42
+#: Bits between the fingerprints that SimHash links: three segments of 21 bits, one wildcard each.
+NEAR = 5
+#: Pairs of a node that are verified at once.
+PARTNERS = 3
 CROWD, ROUNDS = 32, 8
 #: The order is by a sample of a twentieth, SAMPLED documents at least, and of its shingles the HOT commonest.
 SAMPLED, SHARE, HOT = 10_000, 0.05, 200_000
 #: Ids that are broadcast, 8 bytes each; beyond, tables are joined by exchange.
 SMALL = 200_000
-PREFIX = "doc_id long, node long, n int, parity binary, keys array<long>, text string"
+PREFIX = "doc_id long, node long, n int, fp long, parity binary, keys array<long>, text string"
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -95,7 +105,7 @@ def _prefixes(hot: np.ndarray, similar: float):
 
     def rows(batches):
         for b in slices(batches):
-            node, size, odd, keys = [], [], [], []
+            node, size, fps, odd, keys = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t)
                 n = len(s)
@@ -106,9 +116,10 @@ def _prefixes(hot: np.ndarray, similar: float):
                     rank = np.where(ordered[at] == s, by[at], -1)
                 node.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
                 size.append(n)
+                fps.append(majority(s.astype(">i8").tobytes()))
                 odd.append(parity(s))
                 keys.append(s[np.lexsort((s, rank))[:p]])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(odd, pa.binary()), pa.array(keys, pa.list_(pa.int64())), b.column(1)], names=["doc_id", "node", "n", "parity", "keys", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(odd, pa.binary()), pa.array(keys, pa.list_(pa.int64())), b.column(1)], names=["doc_id", "node", "n", "fp", "parity", "keys", "text"])
 
     return rows
 
@@ -153,13 +164,20 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SMALL else ids
 
 
+def _chosen(pairs: DataFrame) -> DataFrame:
+    """Of each node's pairs PARTNERS at most, enough to hold large groups together; others are in one component then, or left to prefixes."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    of = both.groupBy("a").agg(F.array(*(F.min_by("b", F.xxhash64("b", F.lit(k))) for k in range(PARTNERS))).alias("bs"))
+    return of.select("a", F.explode("bs").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_components(docs: DataFrame, similar: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
     """doc_id, node, component_id of every row."""
     spark, before_all = docs.sparkSession, len(MADE)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     read = materialise(d.mapInArrow(_prefixes(common(d), similar), PREFIX), "prefixes")
     sets = materialise(read.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "sets")
-    parities = materialise(read.select("node", "n", "parity").distinct(), "parities")
+    parities = materialise(read.select("node", "n", "fp", "parity").distinct(), "parities")
     # The keys are the larger part of what is not text; from here on they are in the sets alone, and those go when keys have met.
     rows = materialise(read.select("doc_id", "node", "text"), "rows")
     drop(spark, MADE[before_all : before_all + 1])
@@ -173,7 +191,8 @@ def near_components(docs: DataFrame, similar: float = SIMILAR, crowd: int = CROW
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that are similar: by their parities first, then by the texts of the nodes that are left."""
         at = len(MADE)
-        x, y = parities.toDF("a", "na", "xa"), parities.toDF("b", "nb", "xb")
+        held = parities.select("node", "n", "parity")
+        x, y = held.toDF("a", "na", "xa"), held.toDF("b", "nb", "xb")
         j = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "xa", "nb", "xb")
         likely = materialise(j.mapInArrow(_likely(similar), "a long, b long"), "likely")
         ids = _few(likely.select(F.explode(F.array("a", "b")).alias("node")))
@@ -189,9 +208,13 @@ def near_components(docs: DataFrame, similar: float = SIMILAR, crowd: int = CROW
     need = f"{similar / (1 + similar)!r} * (n + hn) - 1e-6"
     sized, placed = f"least(n, hn) >= {similar!r} * greatest(n, hn) - 1e-9", f"least(n - i, hn - hi) >= {need}"
     fits = f"{sized} and {placed}"
-    edges = spark.createDataFrame([], "a long, b long")
-    crowded, roots, before = met.where(F.col("m") > crowd), None, None
-    rooted = crowded.withColumn("root", F.col("node"))
+    def rooted_by(df: DataFrame, roots: DataFrame) -> DataFrame:
+        return df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    edges = verified(_chosen(pairs_within(parities.select("node", "fp"), NEAR, most=PARTNERS)))
+    roots = connected_components(edges)
+    crowded, before = met.where(F.col("m") > crowd), None
+    rooted = rooted_by(crowded, roots)
     for k in range(ROUNDS):
         # Pairs of members in different components, as far as they are left to make.
         r = rooted.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("open"), F.sum("k").alias("m"))
@@ -205,11 +228,8 @@ def near_components(docs: DataFrame, similar: float = SIMILAR, crowd: int = CROW
         near = materialise(rooted.join(hubs, "key").where(f"root <> hr and {fits}").groupBy("node").agg(F.min_by("h", F.xxhash64("h", F.lit(k))).alias("h")), "hubs")
         edges = materialise(edges.unionByName(verified(near.select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b")).distinct())), "links")
         roots = connected_components(edges)
-        rooted = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    if roots is not None:
-        met = materialise(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "met")
-    else:
-        met = met.withColumn("root", F.col("node"))
+        rooted = rooted_by(crowded, roots)
+    met = materialise(rooted_by(met, roots), "met")
     few, many = met.where(F.col("m") <= crowd), met.where(F.col("m") > crowd)
 
     def sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:

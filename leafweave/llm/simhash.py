@@ -47,7 +47,11 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     starts = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1).tolist()
     ends = (ends - 1).tolist()
     digest = xxhash.xxh64_digest
-    h = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :], strict=False)])
+    return majority(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :], strict=False)]))
+
+
+def majority(h: bytes) -> int:
+    """Bits set in over half of the hashes, 8 bytes each, the highest first."""
     n = len(h) // 8
     bits, raw = np.zeros(BITS, np.int64), np.frombuffer(h, np.uint8).reshape(n, 8)
     for at in range(0, n, 1 << 14):
@@ -117,6 +121,77 @@ def links(reps: DataFrame, crowd: int = CROWD, hot: int = HOT) -> DataFrame:
     return pairs(few, "key").unionByName(pairs(many, "key", "key2")).distinct()
 
 
+def halves(distance: int) -> list[tuple[int, int, int, int]]:
+    """(lowest bit, bits) of what is held and of what has the wildcard, for both halves of each of distance // 2 + 1 segments."""
+    k, out, top = distance // 2 + 1, [], BITS
+    for s in range(k):
+        width = BITS // k + (s < BITS % k)
+        top -= width
+        low = (top, width // 2)
+        high = (top + low[1], width - low[1])
+        out += [(*high, *low), (*low, *high)]
+    return out
+
+
+def _partners(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each node's pairs those with the `most` partners that come first in an order by hash."""
+    x, y = np.concatenate([a, b]), np.concatenate([b, a])
+    by = np.lexsort((y.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), x))
+    x, y = x[by], y[by]
+    kept = np.ones(len(x), bool)
+    kept[most:] = x[most:] != x[:-most]
+    return x[kept], y[kept]
+
+
+def _within(distance: int, crowd: int, most: int | None):
+    def rows(batches):
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
+        if not got:
+            return
+        node, fp, half = (np.concatenate(c) for c in zip(*got, strict=True))
+        for k, (held, m, free, n) in enumerate(halves(distance)):
+            mine = half == k
+            ids, u = node[mine], fp[mine].view(np.uint64)
+            whole = np.uint64(((1 << m) - 1) << held | ((1 << n) - 1) << free)
+            found = [(ids[:0], ids[:0])]
+            for place in range(free, free + n):
+                wild = np.uint64(1 << place)
+                key = u & whole & ~wild
+                by = np.lexsort((u, key))
+                key, v, w = key[by], u[by], ids[by]
+                for d in range(1, min(crowd, len(v) - 1) + 1):
+                    at = np.flatnonzero(key[:-d] == key[d:])
+                    if not len(at):
+                        break
+                    x = v[at] ^ v[at + d]
+                    own = x & whole
+                    # Of the variants a pair shares, the one at its differing bit, or the first of an equal segment, speaks for it.
+                    own = (own == wild) | (own == 0) if place == free and k % 2 == 0 else own == wild
+                    at = at[own & (np.bitwise_count(x) <= distance)]
+                    found.append((w[at], w[at + d]))
+            a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+            a, b = _partners(a, b, most) if most else (a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows
+
+
+def pairs_within(nodes: DataFrame, distance: int, crowd: int = CROWD, most: int | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes (node, fp; a node once) whose fingerprints differ in at most `distance` bits.
+
+    For wider distances than op2's: distance // 2 + 1 segments with one wildcard each. Fingerprints travel under the held
+    halves of the segments only and get their variants on arrival, where pairs are made at once. Of the nodes of one variant
+    each is held against the next `crowd` in the order of fingerprints, so that pairs do not grow with the square of a group:
+    all pairs up to crowd + 1 nodes a variant; a caller that needs those beyond has to find them otherwise. With `most`, each
+    node brings so many of its pairs from a half, which is enough to hold large groups together.
+    """
+    of = halves(distance)
+    held = [f"struct({k} as half, shiftrightunsigned(fp, {low}) & {(1 << n) - 1}L as held)" for k, (low, n, _, _) in enumerate(of)]
+    rows = nodes.select("node", "fp", F.expr(f"explode(array({', '.join(held)}))").alias("h")).select("node", "fp", "h.*")
+    dealt = rows.repartition(buckets_for(len(of) * nodes.count(), PER_TASK), "half", "held").select("node", "fp", "half")
+    return dealt.mapInArrow(_within(distance, crowd, most), "a long, b long").distinct()
+
+
 def simhash_dedup(docs: DataFrame, crowd: int = CROWD, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
     before = len(MADE)
