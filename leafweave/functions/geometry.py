@@ -10,6 +10,11 @@ def box(x1, y1, x2, y2) -> Column:
     return F.struct(*(F.expr(v).cast("double").alias(k) if isinstance(v, str) else v.cast("double").alias(k) for k, v in zip(("x1", "y1", "x2", "y2"), (x1, y1, x2, y2), strict=True)))
 
 
+def rounded(c: Column | str, places: int) -> Column:
+    """A double to some places as the SQL rounds it: the scaled value, half away from zero. F.round looks at the shortest decimal digits instead and parts from it at halves."""
+    return F.round((F.col(c) if isinstance(c, str) else c) * 10.0**places) / 10.0**places
+
+
 def _zero(c: Column) -> Column:
     return F.greatest(F.lit(0.0), c)
 
@@ -56,7 +61,7 @@ def y_overlap_fraction(a: Column, b: Column) -> Column:
 def clamp(b: Column, width: Column, height: Column) -> Column:
     """The box clipped to its page, rounded to two places; null if nothing is left."""
     c = box(F.greatest(F.lit(0.0), F.least(b["x1"], width)), F.greatest(F.lit(0.0), F.least(b["y1"], height)), F.greatest(F.lit(0.0), F.least(b["x2"], width)), F.greatest(F.lit(0.0), F.least(b["y2"], height)))
-    return F.when((c["x2"] > c["x1"]) & (c["y2"] > c["y1"]), F.struct(*(F.round(c[k], 2).alias(k) for k in ("x1", "y1", "x2", "y2"))))
+    return F.when((c["x2"] > c["x1"]) & (c["y2"] > c["y1"]), F.struct(*(rounded(c[k], 2).alias(k) for k in ("x1", "y1", "x2", "y2"))))
 
 
 def union_all(b: Column) -> Column:

@@ -26,7 +26,7 @@ def align_blocks(blocks: DataFrame, regions: DataFrame, width: float, height: fl
     pick = lambda a, b, c, d: F.when(F.col("tr").isNotNull(), a).when(F.col("cr").isNotNull(), b).when(F.col("fine"), c).otherwise(d)
     return j.select(
         "page", "block_id", pick("pp_doclayout", "pp_doclayout_container", "deepseekocr2_unverified", "missing").alias("bbox_source"), pick("layout_text_region", "visual_container", "deepseek_text_bbox", "none").alias("granularity"), "region_id",
-        F.round(F.coalesce("ts", "cs"), 4).alias("score"), F.when(F.col("region_id").isNotNull(), F.col("rb")).when(F.col("fine"), F.col("box")).alias("box"), F.when(F.col("tr").isNull() & F.col("cr").isNotNull(), "contains_visible_text").alias("relation"),
+        g.rounded(F.coalesce("ts", "cs"), 4).alias("score"), F.when(F.col("region_id").isNotNull(), F.col("rb")).when(F.col("fine"), F.col("box")).alias("box"), F.when(F.col("tr").isNull() & F.col("cr").isNotNull(), "contains_visible_text").alias("relation"),
     )
 
 

@@ -55,7 +55,7 @@ def match_containers(blocks: DataFrame, containers: DataFrame, width: float, hei
     b = blocks.where(g.valid_for_matching(F.col("box"), F.lit(width), F.lit(height))).select("page", "block_id", F.col("box").alias("b"))
     j = b.join(containers.select("page", "region_id", F.col("box").alias("r")), "page")
     j = j.withColumn("contain", g.overlap_fraction(F.col("b"), F.col("r"))).withColumn("inside", g.center_inside(F.col("b"), F.col("r"))).where("contain >= 0.40 or inside")
-    j = j.withColumn("score", F.round(0.75 * F.col("contain") + 0.20 * F.col("inside").cast("double") + 0.05 * g.iou(F.col("b"), F.col("r")), 8))
+    j = j.withColumn("score", g.rounded(0.75 * F.col("contain") + 0.20 * F.col("inside").cast("double") + 0.05 * g.iou(F.col("b"), F.col("r")), 8))
     w = Window.partitionBy("page", "block_id").orderBy(F.desc("score"), g.area(F.col("r")), "region_id")
     return j.withColumn("rank", F.row_number().over(w)).where((F.col("rank") == 1) & (F.col("score") >= least)).select("page", "block_id", "region_id", "score")
 
@@ -88,7 +88,7 @@ def repair_candidates(blocks: DataFrame, layouts: DataFrame, width: float, heigh
     ratio = F.greatest(la / ba, ba / la)
     score = 2.0 * g.iou(b, l) + 1.1 * F.col("inter") / ba + 0.7 * F.col("inter") / la + 0.4 * g.center_inside(b, l).cast("double") + 0.4 * F.col("confidence") + 0.8 * F.col("fit")
     score = score + 0.25 * g.x_overlap_fraction(b, l) + 0.25 * g.y_overlap_fraction(b, l) - 0.25 * F.log(F.greatest(F.lit(1.0), ratio)) - 1.5 * F.col("far") / F.lit((width**2 + height**2) ** 0.5)
-    j = j.withColumn("score", F.round(score, 6))
+    j = j.withColumn("score", g.rounded(score, 6))
     w = Window.partitionBy("page", "block_id").orderBy(F.desc("score"), "region_id")
     return j.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("page", "block_id", "region_id", "rank", "score")
 
@@ -156,7 +156,7 @@ def footer_class_check(adverts: DataFrame, footers: DataFrame, width: float, hei
     j = a.join(footers.select("page", "footer_score", "footer"), "page", "left")
     over = F.when(F.col("footer").isNotNull(), g.iou(F.col("box"), F.col("footer"))).otherwise(0.0)
     ratio = F.when(F.col("footer_score") > 0, F.col("score") / F.col("footer_score"))
-    return j.select("page", "ad_id", "score", F.col("footer").isNotNull().alias("footer_found"), F.round(over, 6).alias("iou"), F.round(F.col("score") - F.col("footer_score"), 6).alias("score_margin"), F.round(ratio, 6).alias("score_ratio"))
+    return j.select("page", "ad_id", "score", F.col("footer").isNotNull().alias("footer_found"), g.rounded(over, 6).alias("iou"), g.rounded(F.col("score") - F.col("footer_score"), 6).alias("score_margin"), g.rounded(ratio, 6).alias("score_ratio"))
 
 
 def same_column(a: Column, b: Column, width: Column) -> Column:

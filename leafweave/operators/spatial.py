@@ -16,8 +16,8 @@ def match_regions(blocks: DataFrame, regions: DataFrame, least: float = 0.25) ->
     contain, inside, over = g.overlap_fraction(b, r), g.center_inside(b, r), g.iou(b, r)
     j = j.withColumn("contain", contain).withColumn("inside", inside).withColumn("iou", over).where((F.col("contain") >= 0.20) | F.col("inside"))
     score = 0.60 * F.col("contain") + 0.20 * F.col("inside").cast("double") + 0.15 * F.col("iou") + 0.05
-    j = j.withColumn("score", F.round(score, 8))
-    w = Window.partitionBy("page", "block_id").orderBy(F.desc("score"), F.desc(F.round("contain", 8)), F.desc(F.round("iou", 8)), "region_id")
+    j = j.withColumn("score", g.rounded(score, 8))
+    w = Window.partitionBy("page", "block_id").orderBy(F.desc("score"), F.desc(g.rounded("contain", 8)), F.desc(g.rounded("iou", 8)), "region_id")
     return j.withColumn("rank", F.row_number().over(w)).where((F.col("rank") == 1) & (F.col("score") >= least)).select("page", "block_id", "region_id", "score")
 
 
@@ -27,8 +27,8 @@ def parents(regions: DataFrame, page_area: float) -> DataFrame:
     j = c.join(p, "page").where("child <> parent").withColumn("ca", g.area(F.col("c"))).withColumn("pa", g.area(F.col("p"))).withColumn("cover", g.overlap_fraction(F.col("c"), F.col("p")))
     ok = (F.col("cover") >= 0.82) | ((F.col("cover") >= 0.68) & g.center_inside(F.col("c"), F.col("p")))
     j = j.where((F.col("ca") > 0) & ok & (F.col("pa") >= 1.2 * F.col("ca")) & (F.col("pa") <= 0.92 * page_area))
-    w = Window.partitionBy("page", "child").orderBy("pa", "parent", F.desc(F.round("cover", 6)))
-    return j.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("page", "child", "parent", F.round("cover", 6).alias("coverage"))
+    w = Window.partitionBy("page", "child").orderBy("pa", "parent", F.desc(g.rounded("cover", 6)))
+    return j.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("page", "child", "parent", g.rounded("cover", 6).alias("coverage"))
 
 
 def captions(visuals: DataFrame, blocks: DataFrame, k: int = 3) -> DataFrame:
@@ -37,6 +37,6 @@ def captions(visuals: DataFrame, blocks: DataFrame, k: int = 3) -> DataFrame:
     j = j.withColumn("gap", F.col("b.y1") - F.col("v.y2")).withColumn("share", g.x_overlap_fraction(F.col("v"), F.col("b")))
     j = j.where(F.col("gap").between(-25, 160) & (F.col("share") >= 0.18))
     near = F.greatest(F.lit(0.0), 1 - F.greatest(F.col("gap"), F.lit(0.0)) / 160.0)
-    j = j.withColumn("score", F.round(0.60 * F.col("share") + 0.30 * near, 6))
+    j = j.withColumn("score", g.rounded(0.60 * F.col("share") + 0.30 * near, 6))
     w = Window.partitionBy("page", "region_id").orderBy(F.desc("score"), "block_id")
     return j.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("page", "region_id", "block_id", "rank", "score")
