@@ -195,11 +195,12 @@ def kept_detections(rows: DataFrame, overlap: float = 0.85) -> DataFrame:
     return rows.select("page", "det_id", F.col("score").cast("double").alias("score"), *(F.col(k).cast("double").alias(k) for k in ("x1", "y1", "x2", "y2"))).groupBy("page").applyInArrow(page, "page long, det_id long")
 
 
-def template_clusters(clusters: DataFrame, total_pages: int, least_pages: int) -> DataFrame:
-    """Members of clusters (cluster_id, page, score, label, box in shares of the page) summed up: pages, support, scores, mean box, its largest deviation, the best member's page, acceptance."""
+def template_clusters(clusters: DataFrame, total_pages: int, least_pages: int, places: int | None = 8) -> DataFrame:
+    """Members of clusters (cluster_id, page, score, label, box in shares of the page) summed up: pages, support, scores, mean box, its largest deviation, the best member's page, acceptance. Means and deviation are rounded to `places`, or exact where it is None, for callers that cut them further."""
     sides = ("x1", "y1", "x2", "y2")
     m = clusters.groupBy("cluster_id").agg(F.countDistinct("page").alias("pages"), F.countDistinct("label").alias("labels"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.avg("score").alias("mean"), F.max_by("page", F.struct("score", (-F.col("page")).alias("p"))).alias("best_page"), *(F.avg(f"box.{k}").alias(k) for k in sides))
     off = F.greatest(*(F.abs(F.col(f"box.{k}") - F.col(k)) for k in sides))
     d = clusters.select("cluster_id", "box").join(m.select("cluster_id", *sides), "cluster_id").groupBy("cluster_id").agg(F.max(off).alias("deviation"))
     r = m.join(d, "cluster_id")
-    return r.select("cluster_id", "pages", "labels", F.round(F.col("pages") / total_pages, 8).alias("support"), *(F.round(k, 8).alias(f"score_{n}") for k, n in (("lo", "min"), ("hi", "max"), ("mean", "mean"))), *(F.round(k, 8).alias(k) for k in sides), F.round("deviation", 8).alias("deviation"), "best_page", (F.col("pages") >= least_pages).alias("accepted"))
+    cut = lambda k: F.col(k) if places is None else g.rounded(k, places)
+    return r.select("cluster_id", "pages", "labels", g.rounded(F.col("pages") / total_pages, 8).alias("support"), *(cut(k).alias(f"score_{n}") for k, n in (("lo", "min"), ("hi", "max"), ("mean", "mean"))), *(cut(k).alias(k) for k in sides), cut("deviation").alias("deviation"), "best_page", (F.col("pages") >= least_pages).alias("accepted"))

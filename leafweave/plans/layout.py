@@ -148,9 +148,9 @@ def template_cluster_summary(spark, sf):
     b = _boxes(spark, sf)
     box = F.col("box")
     m = b.select((F.col("page") % 500).alias("cluster_id"), "page", ((F.col("page") * 3 + F.col("n")) % 100 / 100.0).cast("double").alias("score"), (F.col("n") % 3).alias("label"), g.box(box["x1"] / W, box["y1"] / H, box["x2"] / W, box["y2"] / H).alias("box"))
-    r = layout.template_clusters(m, 1000, 4)
+    r = layout.template_clusters(m, 1000, 4, None)
     e3 = lambda k, off=1e-6: F.floor(F.col(k) * 1000 + off).cast("long")
-    return r.select("cluster_id", "pages", "labels", "support", "score_min", "score_max", e3("score_mean").alias("mean_e3"), *(e3(k).alias(f"{k}_e3") for k in ("x1", "y1", "x2", "y2")), e3("deviation", 1e-3).alias("deviation_e3"), "best_page", "accepted")
+    return r.select("cluster_id", "pages", "labels", "support", g.rounded("score_min", 6).alias("score_min"), g.rounded("score_max", 6).alias("score_max"), e3("score_mean").alias("mean_e3"), *(e3(k).alias(f"{k}_e3") for k in ("x1", "y1", "x2", "y2")), e3("deviation", 1e-3).alias("deviation_e3"), "best_page", "accepted")
 
 
 @query()
