@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leafweave.functions import geometry as g
+from leafweave.functions.groups import by_whole_groups, codes
 
 # Labels of layout regions.
 TEXT_LIKE = ["text", "paragraph_title", "title", "header", "header_text", "footer", "footnote", "caption", "figure_caption", "table_caption", "table_title", "list", "formula", "reference"]
@@ -173,26 +176,40 @@ def nearest_seeds(elements: DataFrame, seeds: DataFrame, width: float | None) ->
     return j.groupBy("page", "element_id").agg(F.min_by("seed_id", F.struct(dy.alias("dy"), F.col("order").alias("order"))).alias("seed_id"))
 
 
+def suppress(page: np.ndarray, ids: np.ndarray, score: np.ndarray, b: np.ndarray, overlap: float) -> np.ndarray:
+    """Positions that greedy suppression keeps of many pages' detections at once: round k judges the k-th detection of every page that has one against those kept before it."""
+    order = np.lexsort((*b.T[::-1], ids, -score, page))
+    p, b = page[order], b[order]
+    size = np.maximum(b[:, 2] - b[:, 0], 0) * np.maximum(b[:, 3] - b[:, 1], 0)
+    starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+    counts = np.diff(np.r_[starts, len(p)])
+    keep = np.zeros(len(p), np.int64)  # a page's kept ones, from its start on
+    used = np.zeros(len(starts), np.int64)
+    live = np.arange(len(starts))
+    for k in range(counts.max()):
+        live = live[counts[live] > k]
+        i, held = starts[live] + k, used[live]
+        mine = np.repeat(np.arange(len(live)), held)
+        own, other = i[mine], keep[np.repeat(starts[live] - np.cumsum(held) + held, held) + np.arange(len(mine))]
+        w = np.maximum(np.minimum(b[own, 2], b[other, 2]) - np.maximum(b[own, 0], b[other, 0]), 0)
+        h = np.maximum(np.minimum(b[own, 3], b[other, 3]) - np.maximum(b[own, 1], b[other, 1]), 0)
+        ok = np.ones(len(live), bool)
+        ok[mine[w * h >= overlap * np.maximum(size[own] + size[other] - w * h, 1e-12)]] = False
+        keep[(starts[live] + held)[ok]] = i[ok]
+        used[live[ok]] += 1
+    return np.sort(order[keep[np.repeat(starts - np.cumsum(used) + used, used) + np.arange(used.sum())]])
+
+
 def kept_detections(rows: DataFrame, overlap: float = 0.85) -> DataFrame:
-    """Greedy suppression within a page: by score, then id, a detection stays if it overlaps no kept one by `overlap`. One page is one small group. rows: page, det_id, score, x1, y1, x2, y2."""
-    import numpy as np
-    import pyarrow as pa
-
-    def page(t: pa.Table) -> pa.Table:
-        ids, score = t.column("det_id").to_numpy(), t.column("score").to_numpy()
-        b = np.column_stack([t.column(k).to_numpy() for k in ("x1", "y1", "x2", "y2")])
-        size = np.maximum(b[:, 2] - b[:, 0], 0) * np.maximum(b[:, 3] - b[:, 1], 0)
-        kept: list[int] = []
-        for i in np.lexsort((ids, -score)):
-            k = np.array(kept, int)
-            w = np.maximum(np.minimum(b[i, 2], b[k, 2]) - np.maximum(b[i, 0], b[k, 0]), 0)
-            h = np.maximum(np.minimum(b[i, 3], b[k, 3]) - np.maximum(b[i, 1], b[k, 1]), 0)
-            union = size[i] + size[k] - w * h
-            if not (w * h >= overlap * np.maximum(union, 1e-12)).any():
-                kept.append(int(i))
-        return t.select(["page", "det_id"]).take(pa.array(sorted(kept)))
-
-    return rows.select("page", "det_id", F.col("score").cast("double").alias("score"), *(F.col(k).cast("double").alias(k) for k in ("x1", "y1", "x2", "y2"))).groupBy("page").applyInArrow(page, "page long, det_id long")
+    """Greedy suppression within a page: by score, then id, then box, a detection stays if it overlaps no kept one by `overlap`. A page is a small group; many are judged at once. rows: page, det_id, score, x1, y1, x2, y2."""
+
+    def judge(t: pa.Table) -> pa.Table:
+        col = lambda k: t.column(k).to_numpy()
+        kept = suppress(codes(t, "page"), col("det_id"), col("score"), np.column_stack([col(k) for k in ("x1", "y1", "x2", "y2")]), overlap)
+        return t.select(["page", "det_id"]).take(pa.array(kept))
+
+    d = rows.select("page", "det_id", F.col("score").cast("double").alias("score"), *(F.col(k).cast("double").alias(k) for k in ("x1", "y1", "x2", "y2")))
+    return by_whole_groups(d, "page", judge, "page long, det_id long")
 
 
 def template_clusters(clusters: DataFrame, total_pages: int, least_pages: int, places: int | None = 8) -> DataFrame:

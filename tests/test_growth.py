@@ -1,9 +1,14 @@
 """Rounding as the SQL does it, and steps whose cost must grow no faster than their input."""
 
+import random
+
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from leafweave.functions import geometry as g
+from leafweave.functions import groups
+from leafweave.operators import layout
 from leafweave.plans import registry
 
 
@@ -26,3 +31,33 @@ def test_cluster_means_are_cut_once(spark, tmp_path):
     cur = c.execute(registry.ORACLE["template_cluster_summary"])
     want = [dict(zip([d[0] for d in cur.description], r, strict=True)) for r in cur.fetchall()]
     assert [r.asDict() for r in got] == want and got[0]["deviation_e3"] == 8
+
+
+def test_whole_groups_cut_no_run():
+    rows = [None] * 3 + [1] * 40 + [2] + [3] * 7 + [4, 5, 6, 7]
+    batches = [pa.record_batch({"k": pa.array(rows[i : i + 5], pa.int64())}) for i in range(0, len(rows), 5)]
+    for least in (1, 4, 20, 1000):
+        got = [t.column("k").to_pylist() for t in groups.whole_groups(iter(batches), "k", least)]
+        assert sum(got, []) == rows
+        assert all(a[-1] != b[0] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_suppression_judges_many_pages_in_one_call(spark, monkeypatch):
+    """The former version called Python once for each of the pages."""
+    r = random.Random(1)
+    rows = [(p, k % 5, r.choice([0.5, 0.7]), x := r.randrange(40), y := r.randrange(40), x + r.randrange(40), y + 30) for p in range(400) for k in range(r.choice([1, 3, 30]))]
+    calls, want = [], set()
+    one = layout.suppress
+    monkeypatch.setattr(layout, "suppress", lambda *a: calls.append(len(set(a[0].tolist()))) or one(*a))
+    monkeypatch.setattr(layout, "by_whole_groups", lambda d, key, f, schema: f(d.orderBy(key).toArrow()))
+    got = layout.kept_detections(spark.createDataFrame(rows, "page long, det_id long, score double, x1 int, y1 int, x2 int, y2 int"), 0.3)
+    for p in range(400):
+        kept = []
+        for b in sorted((b for b in rows if b[0] == p), key=lambda b: (-b[2], *b[1:2], *b[3:])):
+            over = lambda a, c: max(0, min(a[5], c[5]) - max(a[3], c[3])) * max(0, min(a[6], c[6]) - max(a[4], c[4]))
+            size = lambda a: (a[5] - a[3]) * (a[6] - a[4])
+            if all(over(b, c) < 0.3 * max(size(b) + size(c) - over(b, c), 1e-12) for c in kept):
+                kept.append(b)
+        want |= {(p, b[1], n) for n, b in enumerate(sorted(kept, key=lambda b: b[1]))}
+    seen = sorted(zip(got["page"].to_pylist(), got["det_id"].to_pylist(), strict=True))
+    assert seen == sorted((p, d) for p, d, _ in want) and calls == [400]
