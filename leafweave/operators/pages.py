@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leafweave.functions import geometry as g
+from leafweave.functions.groups import by_whole_groups
 
 # Terms of advertisements and of navigation pages.
 AD_TERMS = ["advertisement", "advertising", "product", "products", "solution", "solutions", "powered crate", "powered crates", "power supply", "power supplies", "high voltage", "low voltage", "source measure unit", "digitizer", "fpga", "module", "modules", "order now", "contact", "sales", "brochure", "technology", "technologies"]
@@ -130,7 +135,7 @@ def unit_sizes(cuts: DataFrame, sizes: DataFrame) -> DataFrame:
     return c.withColumn("size", F.col("idx") - F.coalesce(F.lag("idx").over(Window.partitionBy("doc_id").orderBy("idx")), F.lit(-1))).select("doc_id", F.col("idx").alias("last"), "size")
 
 
-def match_greedily(gold: list[int], found: list[int], tolerance: int) -> list[tuple[int, int]]:
+def match_greedily(gold: Iterable[int], found: Iterable[int], tolerance: int) -> list[tuple[int, int]]:
     """Gold boundaries in order, each with the nearest (then smallest) boundary found that is still free."""
     free, out = set(found), []
     for v in sorted(set(gold)):
@@ -142,7 +147,7 @@ def match_greedily(gold: list[int], found: list[int], tolerance: int) -> list[tu
 
 
 def boundary_scores(gold: DataFrame, found: DataFrame, tolerance: int = 0) -> DataFrame:
-    """Per document: boundaries (doc_id, idx) of gold, its first left out, and found; matched, precision, recall, f1. Without tolerance a join; with it a match depends on those before it, hence a grouped function."""
+    """Per document: boundaries (doc_id, idx) of gold, its first left out, and found; matched, precision, recall, f1. Without tolerance a join; with it a match depends on those before it, hence Python, many documents a call."""
     first = Window.partitionBy("doc_id").orderBy("idx")
     gold = gold.select("doc_id", "idx").distinct().withColumn("k", F.row_number().over(first)).where("k > 1").select("doc_id", "idx")
     rows = gold.select("doc_id", "idx", F.lit(True).alias("gold")).unionByName(found.select("doc_id", "idx", F.lit(False).alias("gold")))
@@ -153,10 +158,18 @@ def boundary_scores(gold: DataFrame, found: DataFrame, tolerance: int = 0) -> Da
         m, g, f = F.col("matched"), F.col("gold"), F.col("found")
         return c.select("*", share(m, f).alias("precision"), share(m, g).alias("recall"), share(2 * m, g + f).alias("f1"))
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf.loc[pdf["gold"], "idx"].unique().tolist(), pdf.loc[~pdf["gold"], "idx"].unique().tolist()
-        m = len(match_greedily(a, b, tolerance))
-        p, r = m / len(b) if b else 0.0, m / len(a) if a else 0.0
-        return pd.DataFrame([(key[0], len(a), len(b), m, round(p, 4), round(r, 4), round(2 * p * r / (p + r), 4) if p + r else 0.0)], columns=["doc_id", "gold", "found", "matched", "precision", "recall", "f1"])
-
-    return rows.groupBy("doc_id").applyInPandas(one, "doc_id long, gold long, found long, matched long, precision double, recall double, f1 double")
+    def match(t: pa.Table) -> pa.Table:
+        c = [t.column(k).to_pylist() for k in ("doc_id", "idx", "gold")]
+        docs, counts = [], []
+        for d, its in itertools.groupby(zip(*c, strict=True), key=lambda r: r[0]):
+            its = list(its)
+            a, b = {r[1] for r in its if r[2]}, {r[1] for r in its if not r[2]}
+            docs.append(d)
+            counts.append((len(a), len(b), len(match_greedily(a, b, tolerance))))
+        a, b, m = np.array(counts, np.int64).reshape(-1, 3).T
+        p, r = m / np.maximum(b, 1), m / np.maximum(a, 1)
+        f = 2 * p * r / np.where(p + r > 0, p + r, 1)
+        places = lambda v: pa.array([round(x, 4) for x in v.tolist()], pa.float64())
+        return pa.table({"doc_id": pa.array(docs, pa.int64()), "gold": a, "found": b, "matched": m, "precision": places(p), "recall": places(r), "f1": places(f)})
+
+    return by_whole_groups(rows, "doc_id", match, "doc_id long, gold long, found long, matched long, precision double, recall double, f1 double")

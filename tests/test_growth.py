@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leafweave.functions import geometry as g
 from leafweave.functions import groups
-from leafweave.operators import layout
+from leafweave.operators import evidence, layout, pages
 from leafweave.plans import registry
 
 
@@ -61,3 +61,35 @@ def test_suppression_judges_many_pages_in_one_call(spark, monkeypatch):
         want |= {(p, b[1], n) for n, b in enumerate(sorted(kept, key=lambda b: b[1]))}
     seen = sorted(zip(got["page"].to_pylist(), got["det_id"].to_pylist(), strict=True))
     assert seen == sorted((p, d) for p, d, _ in want) and calls == [400]
+
+
+def test_many_documents_a_call(spark, monkeypatch):
+    """Table bodies and tolerant boundaries: the former versions called Python once for each document."""
+    r = random.Random(3)
+    calls = []
+
+    def direct(d, key, f, schema):
+        calls.append(key)
+        return f(d.orderBy(key).toArrow())
+
+    for m in (evidence, pages):
+        monkeypatch.setattr(m, "by_whole_groups", direct)
+    rows = [(d, o, r.choice("ab"), c := r.random() < 0.5, not c) for d in range(50) for o in range(r.randrange(9))]
+    got = evidence.table_bodies(spark.createDataFrame(rows, "doc_id long, document_order long, scope string, is_caption boolean, is_body boolean")).to_pylist()
+    want = []
+    for d in range(50):
+        free = [x for x in rows if x[0] == d and x[4]]
+        for x in (x for x in rows if x[0] == d and x[3]):
+            if hit := next((b for b in free if x[1] < b[1] <= x[1] + 2 and b[2] == x[2]), None):
+                free.remove(hit)
+                want.append({"doc_id": d, "caption": x[1], "body": hit[1]})
+    assert got == want
+    cut = lambda: [(d, i) for d in range(50) for i in range(30) if r.random() < 0.2]
+    gold, found = cut(), cut()
+    frame = lambda c: spark.createDataFrame(c, "doc_id long, idx long")
+    for row in pages.boundary_scores(frame(gold), frame(found), 2).to_pylist():
+        a, b = [i for d, i in gold if d == row["doc_id"]][1:], [i for d, i in found if d == row["doc_id"]]
+        m = len(pages.match_greedily(a, b, 2))
+        assert (row["gold"], row["found"], row["matched"]) == (len(a), len(b), m)
+        assert row["precision"] == (round(m / len(b), 4) if b else 0.0) and row["recall"] == (round(m / len(a), 4) if a else 0.0)
+    assert calls == ["doc_id", "doc_id"]
