@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leafweave.functions import geometry as g
+from leafweave.functions.groups import by_whole_groups
 from leafweave.operators import layout, retrieval, spatial
 
 
@@ -33,25 +36,34 @@ def align_blocks(blocks: DataFrame, regions: DataFrame, width: float, height: fl
 def claim_bodies(captions: list[tuple], bodies: list[tuple], reach: int = 2) -> list[tuple[int, int]]:
     """Table captions (order, scope) in order, each with the first body (order, scope) of its scope at most `reach` places after it that none has claimed yet."""
     free, out = sorted(bodies), []
+    at = 0
     for order, scope in sorted(captions):
-        got = next((b for b in free if order < b[0] <= order + reach and b[1] == scope), None)
-        if got is not None:
-            free.remove(got)
-            out.append((order, got[0]))
+        while at < len(free) and free[at][0] <= order:  # behind every caption still to come
+            at += 1
+        k = at
+        while k < len(free) and free[k][0] <= order + reach:
+            if free[k][1] == scope:
+                out.append((order, free.pop(k)[0]))
+                break
+            k += 1
     return out
 
 
 def table_bodies(nodes: DataFrame, reach: int = 2) -> DataFrame:
-    """doc_id, caption, body (both document orders). nodes: doc_id, document_order, scope (pages and section, as text), is_caption, is_body. A claim depends on those before it, hence a grouped function; only captions and bodies travel."""
+    """doc_id, caption, body (both document orders). nodes: doc_id, document_order, scope (pages and section, as text), is_caption, is_body. A claim depends on those before it, hence Python, many documents a call; only captions and bodies travel."""
     n = nodes.where("is_caption or is_body").select("doc_id", F.col("document_order").cast("long").alias("o"), F.coalesce("scope", F.lit("")).alias("s"), "is_caption", "is_body")
 
-    def one(t: pa.Table) -> pa.Table:
-        rows = list(zip(*(t.column(k).to_pylist() for k in ("o", "s", "is_caption", "is_body")), strict=True))
-        got = claim_bodies([r[:2] for r in rows if r[2]], [r[:2] for r in rows if r[3]], reach)
-        doc = t.column("doc_id")[0].as_py()
-        return pa.table({"doc_id": pa.array([doc] * len(got), pa.int64()), "caption": pa.array([x[0] for x in got], pa.int64()), "body": pa.array([x[1] for x in got], pa.int64())})
-
-    return n.groupBy("doc_id").applyInArrow(one, "doc_id long, caption long, body long")
+    def claim(t: pa.Table) -> pa.Table:
+        c = {k: t.column(k).to_pylist() for k in ("doc_id", "o", "s", "is_caption", "is_body")}
+        out: tuple[list, list, list] = ([], [], [])
+        for d, rows in itertools.groupby(zip(*c.values(), strict=True), key=lambda r: r[0]):
+            rows = list(rows)
+            for caption, body in claim_bodies([r[1:3] for r in rows if r[3]], [r[1:3] for r in rows if r[4]], reach):
+                for x, v in zip(out, (d, caption, body), strict=True):
+                    x.append(v)
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("doc_id", "caption", "body"), out, strict=True)})
+
+    return by_whole_groups(n, "doc_id", claim, "doc_id long, caption long, body long")
 
 
 def renumbered(nodes: DataFrame) -> DataFrame:
