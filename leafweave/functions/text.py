@@ -47,6 +47,18 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def once(c: Column) -> Column:
+    """The value itself, in a select, behind a border that filters above do not cross: otherwise they would work it out a second time."""
+    return F.explode(F.array(c))
+
+
+def repeats(values: str, least: Column | str) -> Column:
+    """Whether one of a sorted array's values is in it `least` times: then it equals the one `least` - 1 places on. False for shorter arrays."""
+    k = F.col(least) if isinstance(least, str) else least
+    n = F.greatest(F.lit(0), F.size(values) - k + 1)
+    return F.array_contains(F.zip_with(F.slice(values, 1, n), F.slice(values, k, n), lambda x, y: x == y), True)
+
+
 def terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
 

@@ -31,6 +31,21 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Rows of a table that meet in one task where a query deals them by a key.
+ROWS_A_TASK = 250_000
+
+
+def tasks_for(rows: DataFrame, times: int = 1) -> int:
+    """A number of partitions that grows with a table (its count comes from the files' footers), so that what a task holds does not."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * times // ROWS_A_TASK))
+
+
+def lines_by_order(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Columns of lineitem, dealt by order at once: groups, windows and joins of an order's lines need no other exchange."""
+    n = t(spark, sf, "lineitem").select("l_orderkey", *columns)
+    return n.repartition(tasks_for(n), "l_orderkey")
+
+
 # --- documents to graph -------------------------------------------------------------------------
 
 LINES = """lines AS (
@@ -248,14 +263,14 @@ SELECT doc_id, kinds / total < 0.35 AS low_unique, most >= 6 AND most / total >=
 WHERE kinds / total < 0.35 OR (most >= 6 AND most / total >= 0.25) OR pairs >= 4"""
 )
 def repetition_flags(spark, sf):
-    # Dealt by document once: both counts below then need no exchange of their exploded tokens.
-    k = t(spark, sf, "documents").where("text is not null").select("doc_id", "text").repartition("doc_id").select("doc_id", tx.tokens(F.col("text")).alias("a")).where(F.size("a") >= 12)
-    pairs = F.transform(F.sequence(F.lit(0), F.size("a") - 2), lambda i: F.concat(F.get("a", i), F.lit(" "), F.get("a", i + 1)))
-    x = k.select("doc_id", F.explode(F.concat(F.transform("a", lambda v: F.struct(F.lit(1).alias("n"), v.alias("x"))), F.transform(pairs, lambda v: F.struct(F.lit(2).alias("n"), v.alias("x"))))).alias("e"))
-    c = x.groupBy("doc_id", "e").agg(F.count("*").alias("c"))
-    one = F.col("e.n") == 1
-    s = c.groupBy("doc_id").agg(F.sum(one.cast("long")).alias("kinds"), F.sum(F.when(one, F.col("c"))).alias("total"), F.max(F.when(one, F.col("c"))).alias("most"), F.max(F.when(~one, F.col("c"))).alias("pairs"))
-    r = s.select("doc_id", (F.col("kinds") / F.col("total") < 0.35).alias("low_unique"), ((F.col("most") >= 6) & (F.col("most") / F.col("total") >= 0.25)).alias("one_token"), (F.col("pairs") >= 4).alias("bigram_loop"))
+    # A document's tokens are counted within its row, so memory goes with the longest document and not with the table. once() has them found once for all the rules.
+    k = t(spark, sf, "documents").where("text is not null").select("doc_id", "text").repartition("doc_id").select("doc_id", tx.once(tx.tokens(F.col("text"))).alias("a")).where(F.size("a") >= 12)
+    n = F.size("a")
+    most = F.greatest(F.lit(6), F.ceil(n / 4).cast("int"))
+    pairs = F.zip_with(F.slice("a", 1, n - 1), F.slice("a", 2, n - 1), lambda x, y: F.concat(x, F.lit(" "), y))
+    k = k.select("doc_id", "a", (F.size(F.array_distinct("a")) / n < 0.35).alias("low_unique"), most.alias("most"), tx.once(F.sort_array("a")).alias("s"))
+    k = k.select("doc_id", "low_unique", tx.repeats("s", "most").alias("one_token"), tx.once(F.sort_array(pairs)).alias("s"))
+    r = k.select("doc_id", tx.once(F.struct("low_unique", "one_token", tx.repeats("s", F.lit(4)).alias("bigram_loop"))).alias("r")).select("doc_id", "r.*")
     return r.where("low_unique or one_token or bigram_loop")
 
 

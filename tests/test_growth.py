@@ -4,12 +4,16 @@ import random
 
 import duckdb
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from leafweave.functions import geometry as g
 from leafweave.functions import groups
-from leafweave.operators import evidence, layout, pages
+from leafweave.operators import evidence, graph, layout, pages
 from leafweave.plans import registry
+from leafweave.sources import ocr
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_rounding_is_that_of_sql(spark):
@@ -93,3 +97,44 @@ def test_many_documents_a_call(spark, monkeypatch):
         assert (row["gold"], row["found"], row["matched"]) == (len(a), len(b), m)
         assert row["precision"] == (round(m / len(b), 4) if b else 0.0) and row["recall"] == (round(m / len(a), 4) if a else 0.0)
     assert calls == ["doc_id", "doc_id"]
+
+
+def test_components_work_on_what_is_left(spark):
+    r = random.Random(5)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1200)] + [(7, 7), (-5, 2000)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {(x, y) for x, y in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+    frame = spark.createDataFrame(edges, "source long, target long")
+    assert {tuple(x) for x in graph.components(frame).collect()} == want
+    assert graph.components(frame, most=6).count() == len(want)  # halves: the former version took a round for every other jump
+    assert graph.components(frame.where("source = target")).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_are_counted_within_rows(spark):
+    """Memory goes with the longest document: no table of tokens."""
+    assert "Aggregate" not in _plan(registry.QUERIES["repetition_flags"](spark, SF))
+
+
+def test_pairs_read_no_text(spark):
+    above = _plan(registry.QUERIES["relation_hypotheses"](spark, SF)).split("MergeJoin")[0].split("HashJoin")[0]
+    assert "RLIKE" not in above and "array_join" in above
+
+
+@pytest.mark.parametrize(("name", "times"), [("relation_hypotheses", 1), ("entity_cooccurrence", 2), ("candidate_set_changes", 2), ("canonical_order", 1), ("grounding_boxes", 1), ("ocr_markdown_blocks", 1), ("grounded_mentions", 1), ("granularity_warnings", 1), ("provenance_edges", 1)])
+def test_tasks_grow_with_the_table(spark, monkeypatch, name, times):
+    monkeypatch.setattr(registry, "ROWS_A_TASK", 50)
+    n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() * times // 50)
+    assert f", {n}), REPARTITION_BY_NUM" in _plan(registry.QUERIES[name](spark, SF))
+
+
+def test_many_blank_lines_and_comments(spark):
+    md = "\n" * 20000 + "a\n \t\n" + '<!-- bbox: {"bbox": [1, 2, 3, 4]} -->\nb\n<!-- bbox: {"bbox": [5, 6, 7, 8]} -->\n<!-- bbox: {"type": "Table"} -->\n\nc' + "\nline" * 500
+    got = [tuple(r) for r in ocr.markdown_blocks(spark.createDataFrame([(1, md)], "page long, text string")).select("block_no", "block_type", "markdown", "bbox").orderBy("block_no").collect()]
+    assert got == [(1, "text", "a", None), (2, "text", "b", [1, 2, 3, 4]), (3, "table", "c" + "\nline" * 500, None)]
