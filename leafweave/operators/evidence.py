@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import json
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -84,25 +86,50 @@ ANAPHORIC = r"(?i)^\s*(?:these|this|those|such|they|it|the former|the latter)\b"
 EVIDENCE_ROLES, CLAIM_ROLES = ["observation", "result", "evidence"], ["motivation", "discussion", "conclusion", "other"]
 
 
+# The relations and the signal of each rule, by the rule's bit.
+RULES = [(["DEPENDS_ON", "ELABORATES"], "formula_context_signal"), (["ELABORATES", "EXPLAINS"], "anaphoric_reference_signal"), (["ELABORATES"], "mention_detail_signal"), (["PROVIDES_BACKGROUND_FOR"], "background_discourse_signal"), (["SUPPORTS"], "evidence_claim_signal")]
+RULES += [([k], f"{k.lower()}_language_signal") for k in MARKERS]
+
+
+def _bit(c: Column, k: int) -> Column:
+    return F.when(c, F.lit(1 << k)).otherwise(0)
+
+
+def _bits(each: list[Column]) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), each)
+
+
+def seen(text: Column, order: Column, role: Column, kind: Column, terms: Column) -> Column:
+    """All that the rules of pairs read of a node, found once a node and not once a pair: patterns are slow, and pairs many."""
+    said = _bits([_bit(F.regexp_like(text, F.lit(p)), 5 + i) for i, p in enumerate(MARKERS.values())])
+    is_ = lambda c: F.coalesce(c, F.lit(False))
+    return F.struct(
+        order.alias("order"), F.char_length(text).alias("chars"), terms.alias("terms"), said.alias("said"), is_(F.regexp_like(text, F.lit(ANAPHORIC))).alias("anaphoric"), is_(kind == "formula").alias("formula"),
+        is_(role == "background").alias("background"), is_(role.isin(EVIDENCE_ROLES)).alias("evidence"), is_(role.isin(CLAIM_ROLES)).alias("claim"),
+    )
+
+
 def hypotheses(a: Column, b: Column) -> tuple[Column, Column]:
-    """Relations a pair of nodes may have, and the signals for them, both sorted. Nodes are structs with text, order, role, kind and terms (an array)."""
+    """Relations a pair of nodes may have, and the signals for them, both sorted. Nodes are structs as seen() makes them."""
     shared = F.size(F.array_intersect(a["terms"], b["terms"])) > 0
     next_ = F.abs(a["order"] - b["order"]) == 1
-    later = F.when(a["order"] > b["order"], a["text"]).otherwise(b["text"])
-    la, lb = F.char_length(a["text"]), F.char_length(b["text"])
-    formula = next_ & ((a["kind"] == "formula") | (b["kind"] == "formula"))
-    anaphor = next_ & F.regexp_like(later, F.lit(ANAPHORIC))
-    detail = shared & ((la >= 1.35 * F.greatest(F.lit(1), lb)) | (lb >= 1.35 * F.greatest(F.lit(1), la)))
-    background = (a["role"] == "background") | (b["role"] == "background")
-    claim = (a["role"].isin(EVIDENCE_ROLES) & b["role"].isin(CLAIM_ROLES)) | (b["role"].isin(EVIDENCE_ROLES) & a["role"].isin(CLAIM_ROLES))
-    said = {k: F.regexp_like(a["text"], F.lit(p)) | F.regexp_like(b["text"], F.lit(p)) for k, p in MARKERS.items()}
-    rules = [(formula, ["DEPENDS_ON", "ELABORATES"], "formula_context_signal"), (anaphor, ["ELABORATES", "EXPLAINS"], "anaphoric_reference_signal"), (detail, ["ELABORATES"], "mention_detail_signal"), (background, ["PROVIDES_BACKGROUND_FOR"], "background_discourse_signal"), (claim, ["SUPPORTS"], "evidence_claim_signal")]
-    rules += [(c, [k], f"{k.lower()}_language_signal") for k, c in said.items()]
-    none = F.array().cast("array<string>")
-    every = F.concat(*(F.when(F.coalesce(c, F.lit(False)), F.array(*map(F.lit, v))).otherwise(none) for c, v, _ in rules))
-    why = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), r) for c, _, r in rules)))
-    anchor = (F.size(every) == 0) & shared
-    return F.array_sort(F.array_distinct(F.when(anchor, F.array(F.lit("ELABORATES"))).otherwise(every))), F.array_sort(F.when(anchor, F.array(F.lit("shared_anchor_signal"))).otherwise(why))
+    anaphoric = F.when(a["order"] > b["order"], a["anaphoric"]).otherwise(b["anaphoric"])
+    la, lb = a["chars"], b["chars"]
+    rules = [
+        next_ & (a["formula"] | b["formula"]),
+        next_ & anaphoric,
+        shared & ((la >= 1.35 * F.greatest(F.lit(1), lb)) | (lb >= 1.35 * F.greatest(F.lit(1), la))),
+        a["background"] | b["background"],
+        (a["evidence"] & b["claim"]) | (b["evidence"] & a["claim"]),
+    ]
+    mask = _bits([_bit(c, k) for k, c in enumerate(rules)] + [a["said"], b["said"]])
+    all_ = 1 << len(RULES)
+    at = F.when((mask == 0) & shared, F.lit(all_)).otherwise(mask)
+    held = [[r for k, r in enumerate(RULES) if m >> k & 1] for m in range(all_)]
+    what = [sorted({x for v, _ in h for x in v}) for h in held] + [["ELABORATES"]]
+    why = [sorted(s for _, s in h) for h in held] + [["shared_anchor_signal"]]
+    pick = lambda rows: F.get(F.from_json(F.lit(json.dumps(rows)), "array<array<string>>"), at)  # noqa: E731  (a constant, read once)
+    return pick(what), pick(why)
 
 
 def shared_entities(nodes: DataFrame, k: int) -> DataFrame:
@@ -149,7 +176,7 @@ def semantic_candidates(nodes: DataFrame, window: int = 3, k: int = 8, section_k
     c = c.unionByName(shared_entities(nodes, entity_k)).groupBy("doc_id", "a", "b").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
     c = c.join(retrieval.similar_pairs(weights), ["doc_id", "a", "b"], "left").withColumn("similarity", F.when(F.array_contains("reasons", "embedding_top_k"), F.col("similarity")))
     c = capped_candidates(nodes, c, per_node)
-    view = nodes.select("doc_id", "node_id", F.struct("text", F.col("node_id").alias("order"), "role", "kind", "terms").alias("v"))
+    view = nodes.select("doc_id", "node_id", seen(*(F.col(k) for k in ("text", "node_id", "role", "kind", "terms"))).alias("v"))
     c = c.join(view.toDF("doc_id", "a", "va"), ["doc_id", "a"]).join(view.toDF("doc_id", "b", "vb"), ["doc_id", "b"])
     what, why = hypotheses(F.col("va"), F.col("vb"))
     c = c.withColumn("hypotheses", what).withColumn("signals", why).drop("va", "vb")

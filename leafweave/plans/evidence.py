@@ -9,7 +9,7 @@ from leafweave.functions import geometry as g
 from leafweave.functions import text as tx
 from leafweave.operators import evidence, segmentation
 from leafweave.plans.layout import H, W
-from leafweave.plans.registry import BOX, EDGES, INSIDE, INTER, _boxes, _evidence, _turns, nodes, query, t
+from leafweave.plans.registry import BOX, EDGES, INSIDE, INTER, _boxes, _evidence, _turns, lines_by_order, nodes, query, t
 
 
 @query(
@@ -74,8 +74,9 @@ q AS (SELECT doc_id, a, b, sh, list_sort(list_filter([{', '.join(f"CASE WHEN {c}
 SELECT doc_id, a, b, CASE WHEN len(h) = 0 AND sh THEN 'ELABORATES' ELSE array_to_string(h, ',') END AS hypotheses, CASE WHEN len(h) = 0 AND sh THEN 'shared_anchor_signal' ELSE array_to_string(w, ',') END AS signals FROM q"""
 )
 def relation_hypotheses(spark, sf):
-    n = t(spark, sf, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("o")).agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
-    v = n.select(F.col("l_orderkey").alias("doc_id"), "o", F.struct(F.expr(SAYS).alias("text"), F.col("o").alias("order"), F.expr(ROLE).alias("role"), F.when(F.col("l_partkey") % 7 == 0, "formula").otherwise("text").alias("kind"), F.array((F.col("l_partkey") % 5).cast("string")).alias("terms")).alias("v"))
+    n = lines_by_order(spark, sf, "l_linenumber", "l_partkey", "l_suppkey").groupBy("l_orderkey", F.col("l_linenumber").alias("o")).agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    kind, terms = F.when(F.col("l_partkey") % 7 == 0, "formula").otherwise("text"), F.array((F.col("l_partkey") % 5).cast("string"))
+    v = n.select(F.col("l_orderkey").alias("doc_id"), "o", evidence.seen(F.expr(SAYS), F.col("o"), F.expr(ROLE), kind, terms).alias("v"))
     p = v.toDF("doc_id", "a", "va").join(v.toDF("doc_id", "b", "vb"), "doc_id").where("a < b")
     what, why = evidence.hypotheses(F.col("va"), F.col("vb"))
     return p.select("doc_id", "a", "b", F.array_join(what, ",").alias("hypotheses"), F.array_join(why, ",").alias("signals"))
