@@ -37,8 +37,13 @@ def both_ways(edges: DataFrame, inverse: dict[str, str]) -> DataFrame:
     return f.unionByName(b)
 
 
-def components(edges: DataFrame, checkpoint_every: int = 2, most: int = 60) -> DataFrame:
-    """(node, root): the smallest node id reachable over undirected edges (source, target). Smallest neighbours with pointer jumping; lineage cut by checkpoint()."""
+def components(edges: DataFrame, most: int = 60) -> DataFrame:
+    """(node, root): the smallest node id reachable over undirected edges (source, target).
+
+    Rounds of contraction: every node takes the name of its smallest neighbour, down to one that is smaller than all of its
+    own, and edges are redrawn between names, each once. At most half of the nodes are names, so a round works on what the last
+    one left and not on all edges. Then names are followed from the last round back to the first. Rounds end in checkpoints.
+    """
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,22 +52,27 @@ def components(edges: DataFrame, checkpoint_every: int = 2, most: int = 60) -> D
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             shared = tempfile.mkdtemp()
         spark.sparkContext.setCheckpointDir(shared)
-    e = edges.select("source", "target").where("source <> target")
-    e = e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct().checkpoint()
-    r = e.groupBy("source").agg(F.least(F.col("source"), F.min("target")).alias("root")).withColumnRenamed("source", "node")
-    seen = None
-    for k in range(most):
-        near = e.join(r.toDF("target", "troot"), "target").groupBy("source").agg(F.min("troot").alias("m")).withColumnRenamed("source", "node")
-        r = r.join(near, "node").select("node", F.least("root", "m").alias("root"))
-        up = r.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-        r = r.join(up, "root", "left").select("node", F.least("root", F.coalesce("upper", "root")).alias("root"))
-        if k % checkpoint_every == checkpoint_every - 1:
-            r = r.checkpoint()
-            now = r.agg(F.sum("root").alias("s"), F.count("*").alias("n")).first()
-            if now == seen:
-                return r
-            seen = now
-    raise RuntimeError("components did not settle")
+    e = edges.select("source", "target").where("source <> target").checkpoint()
+    took = []
+    for _ in range(most):
+        if e.isEmpty():
+            break
+        both = e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target")))
+        name = both.groupBy("source").agg(F.min("target").alias("m")).select(F.col("source").alias("node"), F.least("source", "m").alias("name")).checkpoint()
+        while True:  # names that others took lead on to theirs, twice as far each time
+            up = name.where("name <> node").toDF("name", "upper")
+            if name.join(up, "name", "left_semi").isEmpty():
+                break
+            name = name.join(up, "name", "left").select("node", F.coalesce("upper", "name").alias("name")).checkpoint()
+        took.append(name)
+        e = e.join(name.toDF("source", "s"), "source").join(name.toDF("target", "t"), "target").where("s <> t")
+        e = e.select(F.least("s", "t").alias("source"), F.greatest("s", "t").alias("target")).distinct().checkpoint()
+    else:
+        raise RuntimeError("components did not settle")
+    root = took.pop() if took else e.toDF("node", "name")
+    while took:
+        root = took.pop().join(root.toDF("name", "root"), "name", "left").select("node", F.coalesce("root", "name").alias("name"))
+    return root.toDF("node", "root")
 
 
 def strongest_edges(edges: DataFrame) -> DataFrame:
