@@ -530,9 +530,11 @@ def embedding_topk(spark, sf):
 
 @query("""SELECT a.l_partkey AS x, b.l_partkey AS y, count(*) AS support FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2""")
 def entity_cooccurrence(spark, sf):
-    m = t(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    m = lines_by_order(spark, sf, "l_partkey").distinct()
     a, b = m.toDF("o", "x"), m.toDF("o", "y")
-    return a.join(b, "o").where("x < y").groupBy("x", "y").agg(F.count("*").alias("support")).where("support >= 2")
+    # Hardly a pair comes twice, so pairs travel as they are, into as many tasks as keep their counts small.
+    pairs = a.join(b, "o").where("x < y").select("x", "y").repartition(tasks_for(t(spark, sf, "lineitem"), 2), "x", "y")
+    return pairs.groupBy("x", "y").agg(F.count("*").alias("support")).where("support >= 2")
 
 
 @query("SELECT l_partkey AS entity, o AS source, nxt AS target FROM (SELECT l_partkey, l_orderkey AS o, lead(l_orderkey) OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS nxt FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem)) WHERE nxt IS NOT NULL")
