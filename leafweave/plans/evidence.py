@@ -44,10 +44,12 @@ def claimed_table_bodies(spark, sf):
 x AS (SELECT doc_id, node_id, row_number() OVER w AS reading_order, lead(node_id) OVER w AS next_node_id FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY o, part, node_id)) SELECT * FROM x"""
 )
 def canonical_order(spark, sf):
-    n = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("document_order")).agg(F.min("l_partkey").alias("k"))
+    n = lines_by_order(spark, sf, "l_linenumber", "l_partkey").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("document_order")).agg(F.min("l_partkey").alias("k"))
     id_ = F.concat(F.lit("E"), "document_order")
     third = F.col("k") % 3 == 0
-    m = n.select("doc_id", "document_order", id_.alias("node_id"), third.cast("int").alias("part")).unionByName(n.where(third).select("doc_id", "document_order", F.concat(id_, F.lit("_PREFIX_01")).alias("node_id"), F.lit(0).alias("part")))
+    node = lambda i, part: F.struct(i.alias("node_id"), part.alias("part"))
+    own, prefix = node(id_, third.cast("int")), node(F.concat(id_, F.lit("_PREFIX_01")), F.lit(0))
+    m = n.select("doc_id", "document_order", F.explode(F.when(third, F.array(own, prefix)).otherwise(F.array(own))).alias("v")).select("doc_id", "document_order", "v.*")
     return evidence.renumbered(m).select("doc_id", "node_id", "reading_order", "next_node_id")
 
 
