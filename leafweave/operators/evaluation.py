@@ -102,9 +102,11 @@ def closed_scores(pairs: DataFrame) -> DataFrame:
     return c.select("*", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"), share(tp + tn, tp + fp + fn + tn).alias("accuracy"))
 
 
-def set_changes(old: DataFrame, new: DataFrame, gold: DataFrame) -> DataFrame:
-    """Counts of pairs (a, b) added, removed and kept from old to new, and of those that are gold."""
-    mark = lambda d, x: d.select("a", "b", F.lit(x).alias("from")).distinct()
-    p = mark(old, "old").unionByName(mark(new, "new")).unionByName(mark(gold, "gold")).groupBy("a", "b").agg(*(F.bool_or(F.col("from") == x).alias(x) for x in ("old", "new", "gold")))
+def set_changes(old: DataFrame, new: DataFrame, gold: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Counts of pairs (a, b) added, removed and kept from old to new, and of those that are gold. Pairs may repeat and meet once, in `tasks` tasks where it is given."""
+    mark = lambda d, x: d.select("a", "b", *(F.lit(x == y).alias(y) for y in ("old", "new", "gold")))
+    p = mark(old, "old").unionByName(mark(new, "new")).unionByName(mark(gold, "gold"))
+    p = p.repartition(tasks, "a", "b") if tasks else p
+    p = p.groupBy("a", "b").agg(*(F.bool_or(x).alias(x) for x in ("old", "new", "gold")))
     change = F.when(F.col("old") & F.col("new"), "kept").when(F.col("new"), "added").when(F.col("old"), "removed").otherwise("missed")
     return p.groupBy(change.alias("change")).agg(F.count("*").alias("pairs"), F.count_if("gold").alias("gold"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leafweave.operators import evaluation, graph, selection
 from leafweave.plans.decisions import QUOTA, _pairs
-from leafweave.plans.registry import query, t
+from leafweave.plans.registry import query, t, tasks_for
 
 
 @query(
@@ -33,7 +33,7 @@ SELECT CASE WHEN old AND new THEN 'kept' WHEN new THEN 'added' WHEN old THEN 're
 )
 def candidate_set_changes(spark, sf):
     p = t(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_linenumber").alias("n"))
-    return evaluation.set_changes(p.where("n <= 3"), p.where("n between 2 and 5"), p.where("n >= 5"))
+    return evaluation.set_changes(p.where("n <= 3"), p.where("n between 2 and 5"), p.where("n >= 5"), tasks_for(p, 2))
 
 
 @query(f"WITH {QUOTA} SELECT doc_id, node, count(DISTINCT other) AS n, array_to_string(list_sort(list(DISTINCT other)), ',') AS candidates FROM i GROUP BY doc_id, node")
