@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from leafweave.functions import geometry as g
 from leafweave.functions import text as tx
 from leafweave.operators import nodes, pages, retrieval
-from leafweave.plans.registry import LINES, ROLES, TFIDF, _roles, _turns, query, t
+from leafweave.plans.registry import LINES, ROLES, TFIDF, _roles, _turns, lines_by_order, query, t
 from leafweave.sources import ocr
 
 
@@ -27,7 +27,7 @@ def grounding_boxes(spark, sf):
     """Tags written for each order's lines, parsed back."""
     n = [F.col("l_partkey") % 999, F.col("l_suppkey") % 999, F.col("l_partkey") % 777, F.col("l_suppkey") % 888]
     tag = F.concat(F.lit("<|ref|> "), "l_returnflag", "l_linenumber", F.lit("\n<|/ref|><|det|>[["), F.concat_ws(", ", *n), F.lit("]]<|/det|>"))
-    p = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", tag.alias("tag")))), lambda s: s["tag"]), "\n").alias("text"))
+    p = lines_by_order(spark, sf, "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").groupBy(F.col("l_orderkey").alias("page")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", tag.alias("tag")))), lambda s: s["tag"]), "\n").alias("text"))
     b = ocr.grounding(p.withColumn("width", F.lit(1200)).withColumn("height", F.lit(900)), "norm999")
     return b.select("page", "id", "text", F.col("raw_bbox")[0].alias("raw_x1"), F.col("pixel_bbox")[0].alias("left_px"), F.col("pixel_bbox")[3].alias("bottom_px"))
 

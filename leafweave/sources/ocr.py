@@ -43,8 +43,7 @@ def grounding(pages: DataFrame, scale: str = "auto") -> DataFrame:
     keys = [c for c in pages.columns if c not in ("text", "width", "height")]
 
     def boxes(det):
-        parts = [F.regexp_extract_all(det, F.lit(BOX), F.lit(i)) for i in (1, 2, 3, 4)]
-        return F.transform(F.arrays_zip(*(p.alias(k) for p, k in zip(parts, "abcd", strict=True))), lambda z: F.array(*(z[k].cast("double") for k in "abcd")))
+        return F.transform(F.regexp_extract_all(det, F.lit(BOX), F.lit(0)), lambda b: F.regexp_extract_all(b, F.lit(NUMBER), F.lit(1)).cast("array<double>"))
 
     def items(pattern, text, det, source):
         pairs = F.arrays_zip(text.alias("text"), F.regexp_extract_all("text", F.lit(pattern), F.lit(det)).alias("det"))
