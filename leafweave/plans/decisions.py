@@ -44,7 +44,7 @@ def ocr_markdown_blocks(spark, sf):
     n, p = F.col("l_linenumber"), F.col("l_partkey")
     kind = F.when(n % 3 == 0, "sub_title").otherwise("text")
     md = F.concat(F.lit('<!-- bbox: {"type": "'), kind, F.lit('", "pixel_bbox": ['), p, F.lit(", 0, 9, 9]} -->\n\n"), F.when(n % 3 == 1, "Figure ").otherwise("part "), p, F.when(n % 2 == 0, F.concat(F.lit("\n\nstatus "), "l_linestatus")).otherwise(""), F.lit("\n"))
-    md = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_linestatus", md.alias("md")))), lambda s: s["md"]), "\n").alias("text"))
+    md = lines_by_order(spark, sf, "l_linenumber", "l_partkey", "l_linestatus").groupBy(F.col("l_orderkey").alias("page")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_linestatus", md.alias("md")))), lambda s: s["md"]), "\n").alias("text"))
     return ocr.markdown_blocks(md).select("page", "block_no", "block_type", F.col("bbox")[0].alias("x1"), "markdown")
 
 

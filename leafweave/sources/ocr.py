@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from leafweave.functions.text import once
 
 NUMBER = r"(-?\d+(?:\.\d+)?)"
 BOX = r"\[+\s*" + r"\s*,\s*".join([NUMBER] * 4) + r"\s*\]+"
@@ -58,29 +59,40 @@ def grounding(pages: DataFrame, scale: str = "auto") -> DataFrame:
 
 def block_type(text: Column, raw_type: Column) -> Column:
     """heading, table, caption or text; the type that the OCR gave counts before the look of the text."""
-    r, s = F.lower(F.coalesce(raw_type, F.lit(""))), _trim(text)
-    table = F.contains(s, F.lit("|")) & F.regexp_like(s, F.lit(r"\|[-:\s]+\|"))
-    return F.when(F.contains(r, F.lit("title")) | F.startswith(s, F.lit("#")), "heading").when(F.contains(r, F.lit("table")), "table").when(F.contains(r, F.lit("caption")), "caption").when(table, "table").when(F.regexp_like(s, F.lit(r"(?i)^(fig\.|figure|table)\s*\d*")), "caption").otherwise("text")
+    r, s = F.coalesce(raw_type, F.lit("")), _trim(text)
+    says = lambda x: F.regexp_like(r, F.lit(f"(?i){x}"))  # noqa: E731  (F.lower costs a microsecond and more)
+    table = F.contains(text, F.lit("|")) & F.regexp_like(s, F.lit(r"\|[-:\s]+\|"))
+    return F.when(says("title") | F.startswith(s, F.lit("#")), "heading").when(says("table"), "table").when(says("caption"), "caption").when(table, "table").when(F.regexp_like(s, F.lit(r"(?i)^(fig\.|figure|table)\s*\d*")), "caption").otherwise("text")
 
 
 def markdown_blocks(pages: DataFrame, page: str = "page") -> DataFrame:
     """Blocks of a page's OCR Markdown (columns page, text): page, block_no from 1, block_type, markdown, bbox, raw_bbox.
 
     A block is a stretch of lines without blank ones. A box comment belongs to the next block only; one with broken JSON is text.
-    A page's lines meet in one window, so a page must fit one task.
+    A page is parsed within its row: pieces between blank lines, and lines only of pieces that hold a comment.
     """
-    lines = pages.where("text is not null").select(page, F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("n", "line"))
-    found = F.regexp_extract(_trim(F.col("line")), COMMENT, 1)
-    lines = lines.withColumn("meta", F.when(F.get_json_object(found, "$").isNotNull(), found))
-    stop = F.col("meta").isNotNull() | (_trim(F.col("line")) == "")
-    w = Window.partitionBy(page).orderBy("n")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("meta").isNotNull(), F.struct(F.col("n").alias("at"), "meta")), True).over(so_far)
-    lines = lines.withColumn("stop", stop).withColumn("seen", seen).withColumn("stretch", F.sum(F.col("stop").cast("long")).over(so_far)).where(~F.col("stop"))
-    text = _trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda s: s["line"]), "\n"))
-    b = lines.groupBy(page, "stretch").agg(text.alias("markdown"), F.min("n").alias("n"), F.first("seen").alias("seen")).where("markdown <> ''")
-    own = F.col("seen.at") > F.coalesce(F.lag("n").over(w), F.lit(-1))
-    b = b.withColumn("m", F.from_json(F.when(own, F.col("seen.meta")), META)).withColumn("block_no", F.row_number().over(w).cast("long"))
+
+    def let(value, then):
+        """then(value), the value worked out once: a lambda's variable is, a Column used twice within one is not."""
+        return F.get(F.transform(F.array(value), then), 0)
+
+    def parts(piece):
+        """(meta, text) of a piece: what precedes its first comment, and each comment with the text behind it."""
+        meta = lambda x: let(F.regexp_extract(_trim(x), COMMENT, 1), lambda c: F.when(F.get_json_object(c, "$").isNotNull(), c))
+        metas = lambda lines: F.transform(lines, lambda x: F.when(F.contains(x, F.lit("<!--")), meta(x)))
+        stops = lambda m: F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.get(m, i).isNotNull())
+        between = lambda lines, at, end: F.array_join(F.slice(lines, at + 2, end - at - 1), "\n")
+        cut = lambda lines, m, ends: F.transform(F.sequence(F.lit(0), F.size(ends) - 2), lambda k: item(F.get(m, F.get(ends, k)), between(lines, F.get(ends, k), F.get(ends, k + 1))))
+        return let(F.split(piece, "\n"), lambda lines: let(metas(lines), lambda m: let(F.concat(F.array(F.lit(-1)), stops(m), F.array(F.size(lines))), lambda ends: cut(lines, m, ends))))
+
+    item = lambda meta, text: F.struct(meta.cast("string").alias("meta"), _trim(text).alias("text"))
+    text = F.regexp_replace("text", r"\r\n|\r", "\n")
+    p = pages.where("text is not null").select(page, once(F.split(text, r"\n(?=[ \t\x0B\f]*\n)")).alias("pieces"))
+    each = F.transform("pieces", lambda x: F.when(F.contains(x, F.lit("<!--")), parts(x)).otherwise(F.array(item(F.lit(None), x))))
+    p = p.select(page, once(F.filter(F.flatten(each), lambda x: (x["text"] != "") | x["meta"].isNotNull())).alias("items"))
+    before = lambda i: F.get("items", i - 1)
+    own = F.transform("items", lambda x, i: item(F.coalesce(x["meta"], F.when((i > 0) & (before(i)["text"] == ""), before(i)["meta"])), x["text"]))
+    b = p.select(page, F.posexplode(F.filter(own, lambda x: x["text"] != "")).alias("n", "b")).select(page, (F.col("n") + 1).cast("long").alias("block_no"), F.col("b.text").alias("markdown"), once(F.from_json("b.meta", META)).alias("m"))
     return b.select(page, "block_no", block_type(F.col("markdown"), F.col("m.type")).alias("block_type"), "markdown", F.coalesce("m.pixel_bbox", "m.bbox").alias("bbox"), F.col("m.raw_bbox").alias("raw_bbox"))
 
 
