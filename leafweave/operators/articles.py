@@ -32,8 +32,16 @@ def normal(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), " ")
 
 
+# What a text must hold for a pattern to match; patterns that begin at any word are slow to refuse a whole page.
+GUARDS = {AD_CONTACT[0]: ["://"], AD_CONTACT[1]: ["www."], AD_CONTACT[2]: ["@"], AD_CONTACT[3]: ["+"], AD_CONTACT[5]: [".com"], AD_CONTACT[6]: [f".{x}" for x in ("com", "org", "net", "it", "eu", "ch", "se")], AD_CONTACT[7]: ["("]}
+GUARDS |= dict(zip(AD_STRONG, [["scan me"], ["order now"], ["visit us"], ["booth"], ["registration open"], ["platinum sponsor"], ["patent pending"], ["customi"], ["why choose"], ["best model"], ["call for"], ["job listing"], ["available"], ["send your application"], ["registration deadline"], ["abstract submission deadline"]], strict=False))
+GUARDS |= dict(zip(AD_PRODUCT, [["product"], ["model"], ["power suppl"], ["digitizer"], ["precision"], ["request a quote"]], strict=True))
+
+
 def _hits(text: Column, patterns: list[str]) -> Column:
-    return sum((_like(text, x).cast("int") for x in patterns), F.lit(0))
+    """How many of the patterns a lower-case text matches."""
+    may = lambda x: reduce(lambda a, b: a | b, (F.contains(text, F.lit(g)) for g in GUARDS[x])) if x in GUARDS else F.lit(True)
+    return sum((F.when(may(x), _like(text, x).cast("int")).otherwise(0) for x in patterns), F.lit(0))
 
 
 def _upper(text: Column) -> Column:
