@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from leafweave.functions import geometry as g
 from leafweave.functions.groups import by_whole_groups
+from leafweave.functions.text import once
 
 # Terms of advertisements and of navigation pages.
 AD_TERMS = ["advertisement", "advertising", "product", "products", "solution", "solutions", "powered crate", "powered crates", "power supply", "power supplies", "high voltage", "low voltage", "source measure unit", "digitizer", "fpga", "module", "modules", "order now", "contact", "sales", "brochure", "technology", "technologies"]
@@ -36,8 +37,8 @@ def _count(c: Column) -> Column:
 def page_roles(blocks: DataFrame) -> DataFrame:
     """The role of each page of blocks (doc_id, page, text, unmatched, template), with its counts; the first rule that holds, else ARTICLE_OR_MIXED."""
     s = F.regexp_replace("text", r"^\s+|\s+$", "")
-    low = F.lower("s")
-    b = blocks.withColumn("s", s).withColumn("c", ~F.col("template") & (F.col("s") != ""))
+    low = F.col("low")
+    b = blocks.withColumn("s", s).withColumn("low", once(F.lower("s"))).withColumn("c", ~F.col("template") & (F.col("s") != ""))
     hits = sum(F.contains(low, F.lit(x)).cast("long") for x in AD_TERMS)
     nav = F.lit(False)
     for x in NAV_TERMS:

@@ -89,9 +89,11 @@ SELECT *, CASE WHEN templates / blocks >= 0.65 THEN 'TEMPLATE_HEAVY' WHEN (nav A
   WHEN urls >= 1 AND ad_hits >= 2 AND short_unmatched >= 4 THEN 'FULL_AD' ELSE 'ARTICLE_OR_MIXED' END AS role FROM p"""
 )
 def page_roles(spark, sf):
-    b = nodes.blocks(t(spark, sf, "documents")).withColumn("form", tx.normalised(F.col("text")))
-    k = b.where(F.char_length("form") >= 3).groupBy("form").agg(F.countDistinct("doc_id").alias("d")).where("d >= 3").select("form", F.lit(True).alias("template"))
-    b = b.join(k, "form", "left").withColumn("template", F.coalesce("template", F.lit(False)))
+    # Forms are found once a block and compared by 16-byte digests.
+    b = nodes.blocks(t(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")).select("doc_id", "block_no", "page", "text", tx.once(tx.normalised(F.col("text"))).alias("form"))
+    b = b.select("doc_id", "block_no", "page", "text", F.when(F.char_length("form") >= 3, F.unhex(F.md5("form"))).alias("key"))
+    k = b.where("key is not null").groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("d")).where("d >= 3").select("key", F.lit(True).alias("template"))
+    b = b.join(k, "key", "left").withColumn("template", F.coalesce("template", F.lit(False)))
     return pages.page_roles(b.withColumn("unmatched", F.col("block_no") % 2 == 0))
 
 
