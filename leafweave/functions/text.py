@@ -35,9 +35,9 @@ def incomplete_reason(text: Column) -> Column:
     )
 
 
-def normalised(text: Column) -> Column:
-    """For repeated templates: lower case, no scheme, digits as #, other symbols as spaces."""
-    c = F.regexp_replace(F.lower(text), "https?://", "")
+def normalised(text: Column, lowered: bool = False) -> Column:
+    """For repeated templates: lower case (unless the text is lowered), no scheme, digits as #, other symbols as spaces."""
+    c = F.regexp_replace(text if lowered else F.lower(text), "https?://", "")
     c = F.regexp_replace(c, r"\d+", "#")
     c = F.regexp_replace(c, r"[^a-zà-öø-ÿ0-9#@./:+_-]+", " ")
     return F.trim(c)

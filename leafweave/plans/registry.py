@@ -218,9 +218,9 @@ d AS (SELECT count(DISTINCT doc_id) AS total FROM n)
 SELECT form, documents, blocks, CASE WHEN documents >= 0.8 * total THEN 'UNIVERSAL' WHEN documents >= 0.1 * total THEN 'SECTION_SPECIFIC' ELSE 'REPEATED' END AS pattern FROM c, d"""
 )
 def repeated_templates(spark, sf):
-    d = t(spark, sf, "documents").where("text is not null").select("doc_id", "text")
+    d = t(spark, sf, "documents").where("text is not null").select("doc_id", "text").repartition("doc_id")
     total = d.agg(F.countDistinct("doc_id").alias("total"))
-    form = lambda df: df.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", tx.normalised(F.col("line")).alias("form")).where(F.char_length("form") >= 3)
+    form = lambda df: df.select("doc_id", F.explode(F.split(F.lower("text"), "\n")).alias("line")).select("doc_id", tx.once(tx.normalised(F.col("line"), lowered=True)).alias("form")).where(F.char_length("form") >= 3)
     # Forms are counted by 16-byte digests; only those of the few that repeat are read again.
     n = form(d).select("doc_id", F.unhex(F.md5("form")).alias("key"))
     c = n.groupBy("key", "doc_id").agg(F.count("*").alias("k")).groupBy("key").agg(F.count("*").alias("documents"), F.sum("k").alias("blocks")).where("documents >= 3")
