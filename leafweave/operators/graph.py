@@ -37,14 +37,9 @@ def both_ways(edges: DataFrame, inverse: dict[str, str]) -> DataFrame:
     return f.unionByName(b)
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, root): the smallest node id reachable over undirected edges (source, target).
-
-    Rounds of contraction: every node takes the name of its smallest neighbour, down to one that is smaller than all of its
-    own, and edges are redrawn between names, each once. At most half of the nodes are names, so a round works on what the last
-    one left and not on all edges. Then names are followed from the last round back to the first. Rounds end in checkpoints.
-    """
-    spark = edges.sparkSession
+def kept(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder: what several steps read is worked out once, and lineage ends."""
+    spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
@@ -52,7 +47,17 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             shared = tempfile.mkdtemp()
         spark.sparkContext.setCheckpointDir(shared)
-    e = edges.select("source", "target").where("source <> target").checkpoint()
+    return df.checkpoint()
+
+
+def components(edges: DataFrame, most: int = 60) -> DataFrame:
+    """(node, root): the smallest node id reachable over undirected edges (source, target).
+
+    Rounds of contraction: every node takes the name of its smallest neighbour, down to one that is smaller than all of its
+    own, and edges are redrawn between names, each once. At most half of the nodes are names, so a round works on what the last
+    one left and not on all edges. Then names are followed from the last round back to the first. Rounds end in checkpoints.
+    """
+    e = kept(edges.select("source", "target").where("source <> target"))
     took = []
     for _ in range(most):
         if e.isEmpty():

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from leafweave.functions import geometry as g
 from leafweave.functions import text as tx
-from leafweave.operators import evidence, segmentation
+from leafweave.operators import evidence, graph, segmentation
 from leafweave.plans.layout import H, W
 from leafweave.plans.registry import BOX, EDGES, INSIDE, INTER, _boxes, _evidence, _turns, lines_by_order, nodes, query, t
 
@@ -106,7 +106,7 @@ def semantic_candidates(spark, sf):
 UNION ALL SELECT 'isolated_evidence_nodes', node_id FROM evidence WHERE node_id NOT IN (SELECT source FROM edges WHERE edge_type IN ('NEXT', 'PREVIOUS', 'CONTINUES_TO') UNION SELECT target FROM edges WHERE edge_type IN ('NEXT', 'PREVIOUS', 'CONTINUES_TO'))
 UNION ALL SELECT DISTINCT 'edge_to_nonexistent_node', source || '->' || target || '->' || edge_type FROM edges WHERE edge_type IN ('IN_DOCUMENT', 'IN_SECTION')) SELECT issue, count(*) AS n, md5(min(ref) || max(ref)) AS ends FROM x GROUP BY issue""")
 def graph_issues(spark, sf):
-    e = _evidence(spark, sf)
+    e = graph.kept(_evidence(spark, sf).select("node_id", "doc_id", "document_order", "page", "section_no", "plain", "is_complete"))  # nodes and edges are read seven times
     n = e.select("node_id", F.lit("evidence").alias("kind"), F.col("plain").alias("text"), "is_complete")
     i = evidence.graph_issues(n, nodes.structural_edges(e).withColumn("layer", F.lit("structural")))
     return i.groupBy("issue").agg(F.count("*").alias("n"), F.md5(F.concat(F.min("ref"), F.max("ref"))).alias("ends"))
