@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafweave.operators import references
-from leafweave.plans.registry import query, t
+from leafweave.plans.registry import lines_by_order, query
 
 S = "(l_partkey + l_linenumber) % 10"
 FIELDS = {
@@ -42,7 +42,7 @@ ALL = "a AS (SELECT doc_id, source, target, cue, 'explicit_label' AS rule, 1.0 A
 
 
 def _nodes(spark, sf):
-    n = t(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    n = lines_by_order(spark, sf, "l_linenumber", "l_partkey", "l_suppkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
     n = n.selectExpr(*(f"{e} as {k}" for k, e in FIELDS.items()))
     return n.withColumn("section_path", F.array("title"))
 
