@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leafweave.functions import geometry as g
 from leafweave.operators import layout as _layout
 from leafweave.plans.layout import _in
-from leafweave.plans.registry import BOX, _boxes, query, t
+from leafweave.plans.registry import BOX, _boxes, lines_by_order, query, t
 from leafweave.sources import graphs
 
 LABEL = "CASE (page + n) % 6 WHEN 0 THEN 'Text' WHEN 1 THEN 'paragraph_title' WHEN 2 THEN 'figure' WHEN 3 THEN 'table' WHEN 4 THEN 'caption' ELSE 'aside' END"
@@ -25,7 +25,7 @@ def layout_regions(spark, sf):
 
 
 def _network(spark, sf):
-    u = t(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    u = lines_by_order(spark, sf, "l_linenumber", "l_partkey", "l_suppkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
     doc, page, n = (F.col("l_orderkey") % 100).alias("doc_id"), F.col("l_orderkey").alias("page"), F.col("l_linenumber")
     regions = u.where("l_linenumber % 2 = 0").select(doc, page, n.alias("layout_id"))
     blocks = u.select(doc, page, n.alias("place"), F.when(F.col("p") % 9 == 0, F.lit(1)).otherwise(n).alias("block_id"), F.when(F.col("s") % 4 == 0, F.col("s") % 3).alias("split_index"), F.when(F.col("p") % 3 != 0, (F.col("p") % 8).cast("int")).alias("anchor"), F.when(F.col("s") % 4 == 0, n - 1).alias("parent"))
