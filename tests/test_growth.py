@@ -1,6 +1,7 @@
 """Rounding as the SQL does it, and steps whose cost must grow no faster than their input."""
 
 import random
+import re
 
 import duckdb
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leafweave.functions import geometry as g
 from leafweave.functions import groups
-from leafweave.operators import evidence, graph, layout, pages
+from leafweave.operators import articles, evidence, graph, layout, pages
 from leafweave.plans import registry
 from leafweave.sources import ocr
 
@@ -138,3 +139,21 @@ def test_many_blank_lines_and_comments(spark):
     md = "\n" * 20000 + "a\n \t\n" + '<!-- bbox: {"bbox": [1, 2, 3, 4]} -->\nb\n<!-- bbox: {"bbox": [5, 6, 7, 8]} -->\n<!-- bbox: {"type": "Table"} -->\n\nc' + "\nline" * 500
     got = [tuple(r) for r in ocr.markdown_blocks(spark.createDataFrame([(1, md)], "page long, text string")).select("block_no", "block_type", "markdown", "bbox").orderBy("block_no").collect()]
     assert got == [(1, "text", "a", None), (2, "text", "b", [1, 2, 3, 4]), (3, "table", "c" + "\nline" * 500, None)]
+
+
+def test_evidence_is_worked_out_once(spark):
+    """Nodes and edges are read seven times, from rows that are kept."""
+    assert "FileScan" not in _plan(registry.QUERIES["graph_issues"](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["repeated_templates", "page_roles"])
+def test_forms_are_found_once_a_read(spark, name):
+    """A filter over a form no longer works it out again; each of the two reads has the pattern once."""
+    assert _plan(registry.QUERIES[name](spark, SF)).count("à-ö") == 2
+
+
+def test_guards_refuse_nothing_that_matches():
+    said = ["new! best model, order now, booth 12, visit us, scan me", "customised solution, why choose x, call for a quote, job listings, positions available, patent pending", "https://a.ch www.b.com x@y.org +41 22 767 61 11 a.com .com d.se (123) 456-7890", "products model x1 power supplies digitizer high-precision request a quote", "registration open, platinum sponsor, send your application, registration deadline, abstract submission deadline"]
+    for p, guards in articles.GUARDS.items():
+        hits = [m[0] for s in said for m in re.finditer(p, s)] + ([".com"] if p == r"\b\.com\b" else [])
+        assert hits and all(any(g in h for g in guards) for h in hits), p
